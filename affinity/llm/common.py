@@ -1,22 +1,21 @@
-"""What the operators of this subpackage share: session folders and tables."""
+"""What the operators of this subpackage share: session folders, tables, SQL pieces."""
 
 from __future__ import annotations
 
 import atexit
 import tempfile
 import uuid
+from collections.abc import Iterator
 
-from pyspark import cloudpickle
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: The separators of a word in most contracts: space and the controls 09 to 0D.
 BLANKS = " \t\n\x0b\f\r"
-
-
-def ship(module) -> None:
-    """Send a module's functions to executors by value, as they need not have this package."""
-    cloudpickle.register_pickle_by_value(module)
+#: The same as a regular-expression class, for Java and for DuckDB.
+BLANK_CLASS = r"[\x20\x09-\x0D]"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -44,11 +43,12 @@ def materialize(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/affinity-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    atexit.register(_remove, spark, path)
+    atexit.register(discard, spark, path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def _remove(spark: SparkSession, path: str) -> None:
+def discard(spark: SparkSession, path: str) -> None:
+    """Delete a folder of the shared file system, if it and the session still exist."""
     try:
         where = spark._jvm.org.apache.hadoop.fs.Path(path)
         where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
@@ -61,16 +61,40 @@ def let(value: Column, body) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
-#: DuckDB: CRC-32 (the reflected polynomial EDB88320) of a blob, as a macro-free pair of CTEs.
-CRC_TABLE_SQL = """crc_steps(b, c, k) AS (
-    SELECT b, b::UBIGINT, 0 FROM range(256) r(b)
+def blank_words(text: Column) -> Column:
+    """The words ``[^\\x20\\x09-\\x0D]+`` of a text, in order; none for null or blank text."""
+    trimmed = F.btrim(text, F.lit(BLANKS))
+    return F.when(F.coalesce(trimmed, F.lit("")) == "", F.array().cast("array<string>")).otherwise(
+        F.split(trimmed, r"[\x20\x09-\x0D]+", -1)
+    )
+
+
+def text_slices(batch: pa.RecordBatch, most: int = 1 << 21) -> Iterator[pa.RecordBatch]:
+    """Cut a record batch with a ``text`` column into runs of at most about ``most`` bytes of text.
+
+    A single longer text makes a run of its own: texts are never cut.
+    """
+    sizes = pc.binary_length(batch.column(batch.schema.get_field_index("text"))).to_pylist()
+    first = total = 0
+    for i, size in enumerate(sizes):
+        size = size or 0
+        if i > first and total + size > most:
+            yield batch.slice(first, i - first)
+            first, total = i, 0
+        total += size
+    if first < len(sizes):
+        yield batch.slice(first)
+
+
+#: DuckDB CTEs (recursive): the 256 entries of the reflected CRC-32 table, polynomial EDB88320.
+CRC_CTES = """crc_steps(b, c, k) AS (
+    SELECT b::UBIGINT, b::UBIGINT, 0 FROM range(256) r(b)
     UNION ALL
-    SELECT b, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384::UBIGINT) ELSE c >> 1 END, k + 1 FROM crc_steps WHERE k < 8),
+    SELECT b, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384::UBIGINT) ELSE c >> 1 END, k + 1
+    FROM crc_steps WHERE k < 8),
 crc_table AS (SELECT list(c ORDER BY b) AS t FROM crc_steps WHERE k = 8)"""
 
-
-def crc_sql(text: str) -> str:
-    """DuckDB expression: CRC-32 of a string's UTF-8 bytes; the FROM clause must hold ``crc_table``."""
-    return (
-        f"(xor(4294967295::UBIGINT, list_reduce([unhex(substr(hex(encode({text})), 2 * i + 1, 2)) for i in range(0)], lambda a, x: a)))"
-    )
+#: DuckDB expression: the CRC-32 of bytes given as the hexadecimal string ``hx``, beside ``crc_table``.
+CRC_OF_HX = """xor(list_reduce(
+    [('0x' || hx[2 * i + 1:2 * i + 2])::UBIGINT for i in range(length(hx) // 2)],
+    lambda a, x: xor(a >> 8, t[(xor(a, x) & 255)::BIGINT + 1]), 4294967295::UBIGINT), 4294967295::UBIGINT)::BIGINT"""
