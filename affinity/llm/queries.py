@@ -6,11 +6,24 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from affinity.llm import bpe
+from affinity.llm import bpe, quality, sharding
 from affinity.llm.common import table
 
 RANKS = "byte_bpe_50k.tiktoken"
+SHARDS, VNODES = 8, 64
+
+
+def op1_llr_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Judge every document by the base rules and the log-likelihood ratio."""
+    return quality.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op2_bounded_ring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Put every document into one of 8 shards whose counts differ by one at most."""
+    placed = sharding.shard(table(spark, sf_dir, "documents"), SHARDS, VNODES)
+    return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
 def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -18,11 +31,14 @@ def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"), public_tokenizers.path(RANKS))
 
 
+QUERIES = [op1_llr_quality, op2_bounded_ring, op6_byte_bpe]
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """Query name to a function of the session and the folder of tables."""
-    return {"op6_byte_bpe": op6_byte_bpe}
+    return {f.__name__: f for f in QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:
     """The DuckDB SQL of the queries that SQL can express."""
-    return {}
+    return {"op1_llr_quality": quality.judge_sql(), "op2_bounded_ring": sharding.shard_sql(SHARDS, VNODES)}
