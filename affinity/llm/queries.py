@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from affinity.llm import bpe, quality, sharding
+from affinity.llm import bpe, pii, quality, secret_scan, sharding, url_filter
 from affinity.llm.common import table
 
 RANKS = "byte_bpe_50k.tiktoken"
@@ -26,12 +26,27 @@ def op2_bounded_ring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op4_secret_ownership(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Find secrets in every document and tell owner-specific ones from examples."""
+    return secret_scan.digests(secret_scan.scan(table(spark, sf_dir, "documents")))
+
+
+def op5_boosted_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Find personal data in every document."""
+    return pii.digests(pii.detect(table(spark, sf_dir, "documents")))
+
+
 def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Encode and decode every document by the 50k byte-level ranks."""
     return bpe.digests(table(spark, sf_dir, "documents"), public_tokenizers.path(RANKS))
 
 
-QUERIES = [op1_llr_quality, op2_bounded_ring, op6_byte_bpe]
+def op7_link_trust(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Judge every page by the url rules, else by its host's trust and distrust."""
+    return url_filter.judge(table(spark, sf_dir, "pages"))
+
+
+QUERIES = [op1_llr_quality, op2_bounded_ring, op4_secret_ownership, op5_boosted_pii, op6_byte_bpe, op7_link_trust]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -41,4 +56,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     """The DuckDB SQL of the queries that SQL can express."""
-    return {"op1_llr_quality": quality.judge_sql(), "op2_bounded_ring": sharding.shard_sql(SHARDS, VNODES)}
+    return {
+        "op1_llr_quality": quality.judge_sql(),
+        "op2_bounded_ring": sharding.shard_sql(SHARDS, VNODES),
+        "op4_secret_ownership": secret_scan.scan_sql(),
+        "op7_link_trust": url_filter.judge_sql(),
+    }
