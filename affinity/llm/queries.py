@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from affinity.llm import bpe, pii, quality, secret_scan, sharding, url_filter
+from affinity.llm import bpe, decontam, neardup, pii, quality, secret_scan, sharding, substring_fm, substring_sa, url_filter
 from affinity.llm.common import table
 
 RANKS = "byte_bpe_50k.tiktoken"
@@ -26,6 +26,11 @@ def op2_bounded_ring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op3_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document's component of near-duplicates."""
+    return neardup.cluster(table(spark, sf_dir, "documents"))
+
+
 def op4_secret_ownership(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Find secrets in every document and tell owner-specific ones from examples."""
     return secret_scan.digests(secret_scan.scan(table(spark, sf_dir, "documents")))
@@ -46,7 +51,22 @@ def op7_link_trust(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(table(spark, sf_dir, "pages"))
 
 
-QUERIES = [op1_llr_quality, op2_bounded_ring, op4_secret_ownership, op5_boosted_pii, op6_byte_bpe, op7_link_trust]
+def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Find the benchmark's windows in every document."""
+    return decontam.judge(decontam.hits(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
+
+
+def op9_fm_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Remove the 13-word windows of every document that an earlier one holds."""
+    return substring_fm.digests(table(spark, sf_dir, "documents"))
+
+
+def op10_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Remove the 100-byte strings of every document that start earlier."""
+    return substring_sa.digests(table(spark, sf_dir, "documents"))
+
+
+QUERIES = [op1_llr_quality, op2_bounded_ring, op3_minhash_dedup, op4_secret_ownership, op5_boosted_pii, op6_byte_bpe, op7_link_trust, op8_decontaminate, op9_fm_substrings, op10_suffix_array]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -60,5 +80,6 @@ def oracle_sql() -> dict[str, str]:
         "op1_llr_quality": quality.judge_sql(),
         "op2_bounded_ring": sharding.shard_sql(SHARDS, VNODES),
         "op4_secret_ownership": secret_scan.scan_sql(),
+        "op8_decontaminate": decontam.judge_sql(),
         "op7_link_trust": url_filter.judge_sql(),
     }
