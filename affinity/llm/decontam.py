@@ -20,14 +20,16 @@ from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from affinity.llm import window_scan
 from affinity.llm.common import text_slices
 
 BLOCK_WORDS = 300_000
-SCHEMA = "doc_id long, n_words long, run_starts array<int>, run_ends array<int>, item_ids array<string>"
+SCHEMA = T.StructType.fromDDL("n_words long, run_starts array<int>, run_ends array<int>, item_ids array<string>")
+FOUND = SCHEMA.names
 
 
 def blocks(benchmark: DataFrame, most: int = BLOCK_WORDS) -> Iterator[list[tuple]]:
@@ -68,14 +70,22 @@ def shingle_counts(docs: DataFrame, block: window_scan.Block) -> dict[tuple[int,
 
 def hits(docs: DataFrame, benchmark: DataFrame, most: int = BLOCK_WORDS) -> DataFrame:
     """For each document: doc_id, n_words, the runs of hit words (start, end exclusive) and the items that hit it."""
-    found = None
+    return _with_hits(docs.select(F.struct("doc_id").alias("row"), "text"), benchmark, most).select("row.doc_id", *FOUND)
+
+
+def keep(docs: DataFrame, benchmark: DataFrame, most: int = BLOCK_WORDS) -> DataFrame:
+    """The documents that aren't contaminated, with all their columns."""
+    found = _with_hits(docs.select(F.struct(*docs.columns).alias("row"), "text"), benchmark, most)
+    return found.where(~contaminated()).select("row.*")
+
+
+def _with_hits(rows: DataFrame, benchmark: DataFrame, most: int) -> DataFrame:
+    """Adds what was found to rows that have a text and whatever goes with it as ``row``."""
+    found, texts = rows, rows.select("text")
     for items in blocks(benchmark, most):
         block = window_scan.Block(items)
-        index = block.index(shingle_counts(docs, block))
-        if found is None:
-            found = docs.select("doc_id", "text")
-        found = found.mapInArrow(_scanner(index), SCHEMA.replace("doc_id long,", "doc_id long, text string,"))
-    return found.drop("text")
+        found = found.mapInArrow(_scanner(block.index(shingle_counts(texts, block))), T.StructType([rows.schema["row"], rows.schema["text"], *SCHEMA]))
+    return found
 
 
 def _scanner(index: window_scan.Index):
@@ -93,25 +103,34 @@ def _scanner(index: window_scan.Index):
                 ints = pa.list_(pa.int32())
                 yield pa.RecordBatch.from_arrays(
                     [
-                        _column(part, "doc_id"), _column(part, "text"), pa.array([n for n, *_ in own], pa.int64()),
+                        _column(part, "row"), _column(part, "text"), pa.array([n for n, *_ in own], pa.int64()),
                         pa.array([r[0] for r in runs], ints), pa.array([r[1] for r in runs], ints), pa.array(names, pa.list_(pa.string())),
                     ],
-                    ["doc_id", "text", "n_words", "run_starts", "run_ends", "item_ids"],
+                    ["row", "text", *FOUND],
                 )
 
     return run
 
 
+def n_hit() -> Column:
+    """How many words lie in the hit runs."""
+    return F.aggregate(F.zip_with("run_ends", "run_starts", lambda b, a: b - a), F.lit(0).cast("long"), lambda a, x: a + x)
+
+
+def contaminated() -> Column:
+    """Whether a twentieth of the words at least, and one at least, is hit."""
+    return (n_hit() > 0) & (n_hit() * 20 >= F.col("n_words"))
+
+
 def judge(found: DataFrame) -> DataFrame:
     """The counts, the digest of items and the verdict (a twentieth of the words hit) for the result of ``hits``."""
-    n_hit = F.aggregate(F.zip_with("run_ends", "run_starts", lambda b, a: b - a), F.lit(0).cast("long"), lambda a, x: a + x)
     return found.select(
         "doc_id",
         "n_words",
-        n_hit.alias("n_hit"),
+        n_hit().alias("n_hit"),
         F.size("item_ids").cast("long").alias("n_items"),
         F.sha2(F.array_join(F.array_sort("item_ids"), ","), 256).alias("items_sha256"),
-        ((n_hit > 0) & (n_hit * 20 >= F.col("n_words"))).alias("contaminated"),
+        contaminated().alias("contaminated"),
     )
 
 
