@@ -7,6 +7,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 # The packed metadata format. Clauses follow one another in this order; the date and descriptors are required.
 CLAUSES = ["Composer", "Producer", "Conductor", "Writer", "Lyricist", "Arranger"]
@@ -129,7 +130,7 @@ def moods(values: Column, names: list[str] = MOODS) -> Column:
     return F.filter(values, lambda v: v.isin(names))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def fold(names: pd.Series) -> pd.Series:
     """Compatibility-composed and case-folded strings; Spark has no function for either."""
     return names.map(lambda x: None if x is None else unicodedata.normalize("NFKC", x).casefold())
