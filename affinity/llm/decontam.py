@@ -28,7 +28,14 @@ from affinity.llm import window_scan
 from affinity.llm.common import text_slices
 
 BLOCK_WORDS = 300_000
-SCHEMA = T.StructType.fromDDL("n_words long, run_starts array<int>, run_ends array<int>, item_ids array<string>")
+SCHEMA = T.StructType(
+    [
+        T.StructField("n_words", T.LongType()),
+        T.StructField("run_starts", T.ArrayType(T.IntegerType())),
+        T.StructField("run_ends", T.ArrayType(T.IntegerType())),
+        T.StructField("item_ids", T.ArrayType(T.StringType())),
+    ]
+)
 FOUND = SCHEMA.names
 
 
