@@ -36,6 +36,8 @@ CLASS = "anchor long, content long, lo int, hi int, doc long, at int"
 BROADCAST_BYTES = 48 << 20
 #: Classes of an anchor from which its windows are aggregated one by one; classes in a shard.
 MANY_CLASSES, SHARD_CLASSES = 4000, 20_000
+#: Bytes of an id in a broadcast table.
+ID_BYTES = 24
 
 
 def _column(batch: pa.RecordBatch, name: str) -> pa.Array:
@@ -68,7 +70,10 @@ def small_join(docs: DataFrame, other: DataFrame, size: Column, how: str) -> Dat
 def class_texts(docs: DataFrame, classes: DataFrame, kind: type) -> DataFrame:
     """The symbols of each class, from its first occurrence: the class's columns and ``symbols`` (binary)."""
     wanted = classes.groupBy(F.col("first.doc_id").alias("doc_id")).agg(F.collect_list(F.struct("anchor", "content", "k", F.col("first.at").alias("at"), F.col("first.n").alias("n"), F.col("first.offset").alias("offset"))).alias("own"))
-    rows = small_join(docs.select("doc_id", "text"), materialize(wanted), F.size("own") * 48 + 32, "inner")
+    wanted = materialize(wanted)
+    # Texts that hold no class aren't shuffled: ids are 8 bytes each, so millions of them make a small table.
+    texts = small_join(docs.select("doc_id", "text"), wanted.select("doc_id"), F.lit(ID_BYTES), "left_semi")
+    rows = texts.join(wanted, "doc_id")
     names = ["anchor", "content", "k", "at", "n", "offset"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
