@@ -18,20 +18,21 @@ def holdout(edges: DataFrame, share: float = 0.1, seed: int = 42) -> DataFrame:
 
 
 def negatives(edges: DataFrame, nodes: DataFrame, per_node: int, seed: int = 42) -> DataFrame:
-    """Pairs of nodes without an edge, drawn by hash: src, dst. Each node is joined to ``per_node`` others by rank of hash."""
-    n = nodes.agg(F.count("*").alias("n")).scalar()
-    numbered = nodes.select("node", F.row_number().over(_by_hash(seed)).alias("i"))
-    draws = numbered.select("node", F.explode(F.sequence(F.lit(1), F.lit(per_node))).alias("k"))
-    draws = draws.select("node", (F.pmod(F.xxhash64("node", "k", F.lit(seed)), n) + 1).cast("int").alias("i"))
-    pairs = draws.join(numbered.withColumnRenamed("node", "other"), "i").where("node <> other")
+    """Pairs of nodes without an edge, drawn by hash: src, dst.
+
+    Every node draws ``per_node`` of as many buckets as there are nodes, and
+    every node lies in one of them, so a draw meets one other node on average;
+    nothing is numbered or sorted.
+    """
+    n = nodes.agg(F.greatest(F.count("*"), F.lit(1)).alias("n")).scalar()
+    placed = nodes.select(F.col("node").alias("other"), F.pmod(F.xxhash64("node", F.lit("place"), F.lit(seed)), n).alias("bucket"))
+    draws = nodes.select("node", F.explode(F.sequence(F.lit(1), F.lit(per_node))).alias("k"))
+    draws = draws.select("node", F.pmod(F.xxhash64("node", "k", F.lit(seed)), n).alias("bucket"))
+    pairs = draws.join(placed, "bucket").where("node <> other")
     pairs = pairs.select(F.least("node", "other").alias("src"), F.greatest("node", "other").alias("dst")).distinct()
     return pairs.join(edges.select("src", "dst"), ["src", "dst"], "left_anti")
 
 
-def _by_hash(seed: int):
-    return Window.orderBy(F.xxhash64("node", F.lit(seed)), "node")
-
-
 def auc(scored: DataFrame, score: str, label: str) -> DataFrame:
     """ROC-AUC of a score, equals sharing their rank: auc, n_positive, n_negative, passed.
 
@@ -74,7 +75,7 @@ def silhouette(points: DataFrame, id: str, label: str, vector: str) -> DataFrame
     sums = each.groupBy("label").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda p: p["x"]).alias("s"))
     sizes = unit.groupBy("label").agg(F.count("*").alias("n"))
     clusters = sums.join(sizes, "label").agg(F.collect_list(F.struct("label", "s", "n")).alias("clusters"))  # one row for each label
-    both = unit.join(F.broadcast(clusters))
+    both = unit.withColumn("clusters", clusters.scalar())
     own = F.element_at(F.filter("clusters", lambda c: c["label"] == F.col("label")), 1)
     inner = F.when(own["n"] > 1, (own["n"] - vectors.dot(F.col("v"), own["s"])) / (own["n"] - 1))  # the own distance is 0
     others = F.transform(F.filter("clusters", lambda c: c["label"] != F.col("label")), lambda c: 1 - vectors.dot(F.col("v"), c["s"]) / c["n"])
