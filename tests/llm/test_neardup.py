@@ -28,6 +28,26 @@ def brute(docs):
     return sorted(((i, len(x), find(i) if i is not None else None, i is None or find(i) == i) for i, x in sets), key=str)
 
 
+def test_family(spark):
+    """A family of which many are like others, but not like the centre: the bounded remainder finds all links."""
+    rng = random.Random(8)
+    base = [f"w{k}" for k in range(150)]
+    docs = []
+    for k in range(120):
+        own = list(base)
+        for _ in range(rng.choice([0, 1, 2, 4, 5, 6])):
+            own[rng.randrange(150)] = f"x{rng.randrange(10**6)}"
+        docs.append(" ".join(own))
+        if k % 4 == 0:
+            own[rng.randrange(150)] = "y"
+            docs.append(" ".join(own))
+    docs = list(enumerate(docs))
+    want = {r[0]: r[2] for r in brute(docs)}
+    assert 20 < len(set(want.values())) < 120
+    got = neardup.cluster(spark.createDataFrame(docs, "doc_id long, text string"))
+    assert {r.doc_id: r.component_id for r in got.collect()} == want
+
+
 def test_brute(spark):
     rng = random.Random(2)
     word = lambda: "".join(rng.choices("abcdé", k=rng.randrange(1, 5)))
