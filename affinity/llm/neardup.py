@@ -10,8 +10,9 @@ their square. Candidates are confirmed on full shingle sets.
 A star can miss a link between two members that are not like its centre. So,
 after the components of the confirmed links, members of one bucket that still
 lie in different components are paired with each other (not with their own
-component), within the bound on set sizes, and confirmed too: no pair that
-shares a bucket is left out. Two sets of similarity 0.85 share none of the 32
+component) and confirmed too, but for pairs that can't be alike: each member's
+difference from the centre is known, as counts and bitmaps, and bounds what two
+of them can share. No pair of a bucket that could be a link is left out. Two sets of similarity 0.85 share none of the 32
 buckets with a chance under 1e-10.
 
 Null and blank texts have an empty set, are linked with nothing and are kept.
@@ -26,7 +27,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from affinity.llm import signatures
@@ -70,8 +71,12 @@ def sign(docs: DataFrame, shingle: int = SHINGLE, bands: int = BANDS, rows: int
     return docs.select("doc_id", "text").mapInArrow(run, SIGNED)
 
 
-def confirm(pairs: DataFrame, texts: DataFrame, shingle: int, percent: int) -> DataFrame:
-    """Of pairs (a, b) of nodes those whose full sets are alike enough; ``texts`` has (node, text)."""
+def compare(pairs: DataFrame, texts: DataFrame, shingle: int, percent: int) -> DataFrame:
+    """Compare pairs (a, b) of nodes on their full sets; ``texts`` has (node, text).
+
+    Returns a, b, whether they are alike enough, how many shingles of a are
+    missing from b and how many b has besides, and bitmaps of both.
+    """
     left = texts.select(F.col("node").alias("b"), F.col("text").alias("text_b"))
     right = texts.select(F.col("node").alias("a"), F.col("text").alias("text_a"))
     both = pairs.join(left, "b").join(right, "a")
@@ -79,23 +84,53 @@ def confirm(pairs: DataFrame, texts: DataFrame, shingle: int, percent: int) -> D
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache, last, kept = signatures.Words(), None, None
         for batch in batches:
-            alike = []
+            alike, missing, extra, maps = [], [], [], []
             for a, b in zip(_column(batch, "text_a"), _column(batch, "text_b"), strict=True):
                 a, b = a.as_py(), b.as_py()
                 if a != last:  # rows of the same centre follow one another
                     last, kept = a, signatures.shingle_set(signatures.word_hashes(a, cache, True), shingle)
                 own = signatures.shingle_set(signatures.word_hashes(b, cache, True), shingle)
-                same = signatures.common(kept, own)
+                gone, more = signatures.without(kept, own), signatures.without(own, kept)
+                same = len(kept) - len(gone)
                 alike.append(same * 100 >= percent * (len(kept) + len(own) - same))
-            mask = pa.array(alike, pa.bool_())
-            yield pa.RecordBatch.from_arrays([_column(batch, n).filter(mask) for n in ("a", "b")], ["a", "b"])
+                missing.append(len(gone))
+                extra.append(len(more))
+                maps.append(signatures.np.concatenate([signatures.bitmap(gone), signatures.bitmap(more)]).view(signatures.np.int64))
+            yield pa.RecordBatch.from_arrays(
+                [_column(batch, "a"), _column(batch, "b"), pa.array(alike, pa.bool_()), pa.array(missing, pa.int32()), pa.array(extra, pa.int32()), pa.array(maps, pa.list_(pa.int64()))],
+                ["a", "b", "alike", "missing", "extra", "maps"],
+            )
+
+    return both.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long, alike boolean, missing int, extra int, maps array<long>")
+
+
+def could_link(percent: int):
+    """Whether two members x and y of a bucket can be alike, by what each differs in from the bucket's centre.
+
+    Shared shingles are at most the centre's, less those that either lacks, and
+    those that both have besides. What both lack, and what both have besides,
+    is bounded by bitmaps: shared bits, and the hashes that fell together.
+    """
+    words = signatures.MAP_WORDS
+
+    def shared(first: int, count: str) -> Column:
+        common = bits("x", "y", first)
+        own = F.least(F.col(f"x_{count}") - bits("x", "x", first), F.col(f"y_{count}") - bits("y", "y", first))
+        return F.least(common + own, F.col(f"x_{count}"), F.col(f"y_{count}"))
+
+    def bits(p: str, q: str, first: int) -> Column:
+        total = F.lit(0)
+        for i in range(first, first + words):
+            total = total + F.bit_count(F.col(f"{p}_{i}").bitwiseAND(F.col(f"{q}_{i}")))
+        return total
 
-    return both.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
+    most = F.col("centre_n") - F.col("x_missing") - F.col("y_missing") + shared(0, "missing") + shared(words, "extra")
+    return most * 100 >= (F.col("x_n") + F.col("y_n") - most) * percent
 
 
 def similar_size(percent: int):
     """The bound that sizes of alike sets keep: the smaller is at least so many percent of the larger."""
-    return F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * percent
+    return F.least("x_n", "y_n") * 100 >= F.greatest("x_n", "y_n") * percent
 
 
 def cluster(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
@@ -111,25 +146,30 @@ def cluster(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT, ban
     # The centre of a bucket is the member that shares most places in buckets.
     fame = spots.groupBy("node").agg(F.sum("members").alias("fame"))
     centres = spots.join(fame, "node").groupBy("bucket").agg(F.max(F.struct("fame", (-F.col("node")).alias("node"), "n")).alias("c"))
-    centres = centres.select("bucket", (-F.col("c.node")).alias("a"), F.col("c.n").alias("n_a"))
-    star = spots.select("bucket", F.col("node").alias("b"), F.col("n").alias("n_b")).join(centres, "bucket").where("a <> b")
-    star = materialize(star.where(similar_size(percent)).select("a", "b").distinct())
+    centres = centres.select("bucket", (-F.col("c.node")).alias("centre"), F.col("c.n").alias("centre_n"))
+    placed = materialize(spots.join(centres, "bucket"))
+    star = placed.where("node <> centre").select(F.col("centre").alias("a"), F.col("node").alias("b")).distinct()
     wanted = spots.select("node", F.col("node").alias("doc_id")).distinct()
     named_texts = docs.where("doc_id IS NOT NULL").select("doc_id", "text").join(wanted, "doc_id").select("node", "text")
-    texts = materialize(named_texts.distinct() if _repeats(named) else named_texts)
-    found = materialize(confirm(star, texts, shingle, percent))
+    repeats = _repeats(named)  # then a node may have several texts, and differences aren't of one
+    texts = materialize(named_texts.distinct() if repeats else named_texts)
+    tested = materialize(compare(star, texts, shingle, percent))
+    found = tested.where("alike").select("a", "b")
     roots = components(found)
     # What the stars left apart: of a bucket with several components, pairs of a member outside the largest with any other.
-    placed = spots.join(roots, "node", "left").select("bucket", "node", "n", F.coalesce("root", "node").alias("root"))
+    placed = placed.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     shares = placed.groupBy("bucket", "root").agg(F.count("*").alias("k"))
-    main = shares.groupBy("bucket").agg(F.max(F.struct("k", "root"))["root"].alias("main"), F.count("*").alias("roots")).where("roots > 1").select("bucket", "main")
-    placed = materialize(placed.join(main, "bucket"))
-    one = placed.where("root <> main").select("bucket", F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("root").alias("root_a"))
-    two = placed.select("bucket", F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("root").alias("root_b"))
-    rest = one.join(two, "bucket").where("root_a <> root_b").where(similar_size(percent))
-    rest = rest.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    tested = star.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    more = confirm(rest.join(tested, ["a", "b"], "left_anti"), texts, shingle, percent)
+    main = shares.groupBy("bucket").agg(F.max(F.struct("k", "root"))["root"].alias("main"), F.count("*").alias("roots"), F.sum("k").alias("members")).where("roots > 1 AND members > 2").select("bucket", "main")
+    own = placed.where("node <> centre").drop("members").join(main, "bucket")
+    own = own.join(tested.select(F.col("a").alias("centre"), F.col("b").alias("node"), "missing", "extra", "maps"), ["centre", "node"])
+    own = materialize(own.select("bucket", "centre_n", "main", "node", "n", "root", "missing", "extra", *[F.col("maps")[i].alias(str(i)) for i in range(2 * signatures.MAP_WORDS)]))
+    columns = ["node", "n", "root", "missing", "extra", *map(str, range(2 * signatures.MAP_WORDS))]
+    one = own.where("root <> main").select("bucket", "centre_n", *[F.col(c).alias(f"x_{c}") for c in columns])
+    two = own.select("bucket", *[F.col(c).alias(f"y_{c}") for c in columns])
+    rest = one.join(two, "bucket").where("x_root <> y_root").where(similar_size(percent))
+    rest = rest if repeats else rest.where(could_link(percent))
+    rest = rest.select(F.least("x_node", "y_node").alias("a"), F.greatest("x_node", "y_node").alias("b")).distinct()
+    more = compare(rest, texts, shingle, percent).where("alike").select("a", "b")
     # Texts of one id are one document.
     by_id = named.where("bands IS NOT NULL").join(nodes, "sid").select("doc_id", "node").distinct()
     several = by_id.groupBy("doc_id").agg(F.min("node").alias("a"), F.count("*").alias("k")).where("k > 1")

@@ -11,6 +11,8 @@ LOWER = bytes(b + 32 if 0x41 <= b <= 0x5A else b for b in range(256))
 BIN_BITS = 7
 BINS = 1 << BIN_BITS
 CACHED_WORDS = 300_000
+#: 64-bit words of a bitmap of hashes.
+MAP_WORDS = 8
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -99,9 +101,16 @@ def set_id(shingles: np.ndarray) -> bytes:
     return xxhash.xxh3_128_digest(shingles.tobytes())
 
 
-def common(a: np.ndarray, b: np.ndarray) -> int:
-    """The size of the intersection of two sorted sets."""
-    if len(a) > len(b):
-        a, b = b, a
-    at = np.minimum(np.searchsorted(b, a), max(0, len(b) - 1))
-    return int((b[at] == a).sum()) if len(b) else 0
+def without(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The elements of a sorted set that another lacks."""
+    if not len(b):
+        return a
+    at = np.minimum(np.searchsorted(b, a), len(b) - 1)
+    return a[b[at] != a]
+
+
+def bitmap(hashes: np.ndarray) -> np.ndarray:
+    """A bitmap of 64 * MAP_WORDS bits with one bit set for each hash."""
+    bits = np.zeros(64 * MAP_WORDS, np.uint8)
+    bits[(hashes % np.uint64(64 * MAP_WORDS)).astype(np.int64)] = 1
+    return np.packbits(bits, bitorder="little").view(np.uint64)
