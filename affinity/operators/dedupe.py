@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from affinity.functions import text
+from affinity.operators.session import cut
 
 GATE = 0.25
 
@@ -83,3 +84,22 @@ def rewritten(references: DataFrame, renamed: DataFrame, junk: DataFrame) -> Dat
     out = out.join(parts, "dst", "left").join(junk.select(F.col("name").alias("src")), "src", "left_anti")
     out = out.select("src", F.explode(F.coalesce("parts", F.array("dst"))).alias("dst"), "match")
     return out.where("src <> dst").groupBy("src", "dst").agg(F.max("match").alias("match"))
+
+
+def deduplicated(entities: DataFrame, references: DataFrame, folded: bool = True, gate: float = GATE) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """All steps in order: loose keys, gated keys without stops, compounds, rewritten references.
+
+    Entities have (name, tags, depth). Returns the entities and references that
+    are left, and the pairs that a person should review (name, winner, jaccard).
+    In-degrees are counted once, before any merge. Each step is used by several
+    others, so it is checkpointed.
+    """
+    degree = cut(references.groupBy(F.col("dst").alias("node")).agg(F.count("*").alias("in_degree")))
+    loose = cut(canonical(entities, text.loose_key(F.col("name"), folded), degree))
+    once = cut(merged(entities, renames(loose)))
+    judged = cut(gated(once, canonical(once, text.punctuation_key(F.col("name"), folded), degree), gate))
+    renamed = cut(renames(loose, judged.where("merge")))
+    left = cut(merged(entities, renamed))
+    junk = cut(compound_junk(left))
+    review = judged.where("NOT merge").select("name", "winner", "jaccard")
+    return left.join(junk.select("name"), "name", "left_anti"), rewritten(references, renamed, junk), review

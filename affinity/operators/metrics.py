@@ -248,3 +248,22 @@ def summary(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return nodes.groupBy(F.lit("nodes").alias("what"), F.col("kind").alias("name")).agg(F.count("*").alias("n")).unionByName(
         edges.groupBy(F.lit("edges").alias("what"), F.col("type").alias("name")).agg(F.count("*").alias("n"))
     )
+
+
+def clustering(edges: DataFrame) -> DataFrame:
+    """The local clustering coefficient: node, triangles, coefficient (0 for fewer than two neighbours).
+
+    Edges point from the end of lower degree, so paths are few also at hubs.
+    """
+    degree = layers.degrees(edges)
+    ends = lambda end: degree.select(F.col("node").alias(end), F.col("degree").alias(f"{end}_degree"))
+    both = edges.select("src", "dst").join(ends("src"), "src").join(ends("dst"), "dst")
+    forward = F.struct("src_degree", "src") < F.struct(F.col("dst_degree"), F.col("dst"))
+    out = both.select(F.when(forward, F.col("src")).otherwise(F.col("dst")).alias("u"), F.when(forward, F.col("dst")).otherwise(F.col("src")).alias("v"))
+    a, b = out.withColumnRenamed("v", "x"), out.withColumnRenamed("v", "y")
+    open_ = a.join(b, "u").where("x < y")
+    closing = edges.select(F.least("src", "dst").alias("x"), F.greatest("src", "dst").alias("y"))
+    found = open_.join(closing, ["x", "y"]).select(F.explode(F.array("u", "x", "y")).alias("node")).groupBy("node").agg(F.count("*").alias("triangles"))
+    own = degree.join(found, "node", "left").withColumn("triangles", F.coalesce("triangles", F.lit(0)))
+    pairs = F.col("degree") * (F.col("degree") - 1)
+    return own.select("node", "triangles", F.when(pairs > 0, 2 * F.col("triangles") / pairs).otherwise(0.0).alias("coefficient"))

@@ -110,3 +110,19 @@ def slot_match(history: DataFrame, slot: str, item: str, value: str, recent: Dat
     sums = history.join(recent.select(item).distinct(), item, "left_anti").groupBy(slot, item).agg(F.sum(value).alias(value))
     best = F.min(F.struct((-F.col(value)).alias("v"), F.col(item).alias("i"))).alias("b")
     return sums.groupBy(slot).agg(best).select(slot, F.col("b.i").alias(item), (-F.col("b.v")).alias(value))
+
+
+def with_metadata(history: DataFrame, tracks: DataFrame, item: str = "item") -> DataFrame:
+    """A history with the columns of known items; plays of unknown ones stay, with nulls."""
+    return history.join(tracks, item, "left")
+
+
+def session_vectors(sessions: DataFrame, who: str, vectors: DataFrame, item: str = "item") -> DataFrame:
+    """The mean vector of each session's items: who, session, vector.
+
+    ``vectors`` has (item, vector). Means are taken by element, so no session's
+    vectors are gathered.
+    """
+    each = sessions.join(vectors, item).select(who, "session", F.posexplode("vector").alias("i", "x"))
+    means = each.groupBy(who, "session", "i").agg(F.avg("x").alias("x"))
+    return means.groupBy(who, "session").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda p: p["x"]).alias("vector"))

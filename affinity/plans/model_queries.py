@@ -39,6 +39,15 @@ def degree_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metrics.degree_histogram(strong(spark, sf_dir))
 
 
+@REGISTRY.add(f"""WITH {ENDS_SQL}, d AS (SELECT node, count(*) AS degree FROM ends GROUP BY node),
+t AS (SELECT a.src AS x, a.dst AS y, b.dst AS z FROM strong a JOIN strong b ON b.src = a.dst JOIN strong c ON c.src = a.src AND c.dst = b.dst),
+n AS (SELECT node, count(*) AS triangles FROM (SELECT x AS node FROM t UNION ALL SELECT y FROM t UNION ALL SELECT z FROM t) GROUP BY node)
+SELECT node, coalesce(triangles, 0) AS triangles, CASE WHEN degree > 1 THEN 2 * coalesce(triangles, 0) / (degree * (degree - 1)) ELSE 0.0::DOUBLE END AS coefficient FROM d LEFT JOIN n USING (node)""")
+def clustering_coefficient(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How often two neighbours of a node are neighbours too."""
+    return metrics.clustering(strong(spark, sf_dir))
+
+
 @REGISTRY.add(f"WITH {CO_SQL} SELECT src, dst, {DRAW_SQL} < {int(0.1 * 2**32)} AS held_out FROM strong")
 def holdout_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A tenth of the edges held out, by hash."""

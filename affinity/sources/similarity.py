@@ -47,16 +47,31 @@ class SimilaritySource(DataSource):
 
 
 class SimilarityReader(DataSourceReader):
-    """One partition for each file; a file that fails is skipped up to a number of failures in a row."""
+    """One partition for some files each; a file that fails is left out, too many failures in a row end the read."""
+
+    FILES, FAILURES = 200, 50
 
     def __init__(self, path: str, floor: float):
         self.path, self.floor = path, floor
 
     def partitions(self) -> list[InputPartition]:
-        return [InputPartition(str(p)) for p in sorted(Path(self.path).glob("*.json"))]
+        found = [str(p) for p in sorted(Path(self.path).glob("*.json"))]
+        return [InputPartition(found[k : k + self.FILES]) for k in range(0, len(found), self.FILES)]
+
+    def fetch(self, file: str) -> dict:
+        """What the service says of one item."""
+        return json.loads(Path(file).read_text())
 
     def read(self, partition: InputPartition) -> Iterator[tuple]:
-        data = with_retry(lambda: json.loads(Path(partition.value).read_text()))
-        for s in data.get("similar", []):
-            if float(s["match"]) >= self.floor:
-                yield data["name"], s["name"], float(s["match"])
+        failed = 0
+        for file in partition.value:
+            try:
+                data = with_retry(lambda f=file: self.fetch(f))
+                rows = [(data["name"], s["name"], float(s["match"])) for s in data.get("similar", [])]
+            except (OSError, ValueError, KeyError, Busy):
+                failed += 1
+                if failed > self.FAILURES:
+                    raise
+                continue
+            failed = 0
+            yield from (r for r in rows if r[2] >= self.floor)

@@ -217,3 +217,38 @@ def test_walks_and_vectors(spark):
     pairs = spark.createDataFrame([(f"a{i}", f"a{j}", True) for i, j in itertools.combinations(range(5), 2)] + [(f"a{i}", f"b{j}", False) for i in range(5) for j in range(5)], "src string, dst string, y boolean")
     assert evaluate.auc(evaluate.cosine_scores(pairs, vectors, "vector"), "score", "y").first().auc > 0.9
     assert embedding.projected(vectors, "node", "vector").count() == 11
+
+
+def test_all_steps_of_deduplication(spark):
+    entities = [("Lil Wayne", ["rap"], 2), ("Lil' Wayne", ["rap", "us"], 1), ("H.E.R.", ["soul", "pop"], 1), ("Her", ["metal"], 2), ("J.J.", ["x"], 1), ("JJ", ["x"], 3), ("X", ["t"], 0), ("Y", ["u"], 3), ("X, Y", [], 1)]
+    refs = [("X", "Lil Wayne", 0.4), ("Y", "X, Y", 0.7), ("X", "JJ", 0.5), ("X", "J.J.", 0.6)]
+    left, rewritten, review = dedupe.deduplicated(
+        spark.createDataFrame(entities, "name string, tags array<string>, depth int"), spark.createDataFrame(refs, "src string, dst string, match double")
+    )
+    assert {r.name for r in left.collect()} == {"Lil Wayne", "H.E.R.", "Her", "J.J.", "X", "Y"}
+    assert rows(rewritten) == [("X", "J.J.", 0.6), ("X", "Lil Wayne", 0.4), ("Y", "X", 0.7)]
+    assert {frozenset((r.name, r.winner)) for r in review.collect()} == {frozenset(("H.E.R.", "Her"))}
+    again = dedupe.deduplicated(left, rewritten)[0]
+    assert {r.name for r in again.collect()} == {r.name for r in left.collect()}
+
+
+def test_clustering(spark):
+    edges = small_graph(5)
+    near = {v: {u for u, _ in n} for v, n in metrics._neighbours(edges, "weight").items()}
+    linked = {frozenset((a, b)) for a, b, _ in edges}
+    want = {}
+    for v, around in near.items():
+        k = sum(frozenset(p) in linked for p in itertools.combinations(around, 2))
+        want[v] = (k, 2 * k / (len(around) * (len(around) - 1)) if len(around) > 1 else 0.0)
+    got = {r.node: (r.triangles, r.coefficient) for r in metrics.clustering(spark.createDataFrame(edges, EDGES)).collect()}
+    assert got == want
+
+
+def test_session_vectors(spark):
+    from affinity.operators import temporal
+
+    plays = spark.createDataFrame([("u", 1, "a"), ("u", 1, "b"), ("u", 2, "a"), ("u", 2, "?")], "who string, session long, item string")
+    vectors = spark.createDataFrame([("a", [1.0, 0.0]), ("b", [0.0, 1.0])], "item string, vector array<double>")
+    got = {r.session: r.vector for r in temporal.session_vectors(plays, "who", vectors).collect()}
+    assert got == {1: [0.5, 0.5], 2: [1.0, 0.0]}
+    assert temporal.with_metadata(plays, vectors).where("vector IS NULL").count() == 1
