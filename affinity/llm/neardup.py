@@ -190,3 +190,17 @@ def keep(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> Dat
     """The documents that stay, one of each component, with all their columns; rows that repeat its id stay too."""
     stays = cluster(docs, shingle, percent).where("kept").select("doc_id").distinct()
     return docs.join(stays, docs["doc_id"].eqNullSafe(stays["doc_id"]), "left_semi")
+
+
+def cluster_sql() -> str:
+    """DuckDB SQL of ``cluster(documents)`` where ids are unique."""
+    return r"""WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, array_to_string(w[k:k + 2], ' ') AS x FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 1, 2))) AS k FROM d WHERE len(w) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS i FROM s a JOIN s b ON a.x = b.x AND a.doc_id < b.doc_id GROUP BY ALL),
+l AS MATERIALIZED (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * i >= 85 * (x.n + y.n - i)),
+e AS MATERIALIZED (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+reach(v, u) AS (SELECT a, b FROM e UNION SELECT r.v, e.b FROM reach r JOIN e ON e.a = r.u),
+c AS (SELECT v, min(u) AS root FROM reach GROUP BY v)
+SELECT doc_id, coalesce(n, 0) AS n_shingles, least(doc_id, coalesce(root, doc_id)) AS component_id, coalesce(root, doc_id) >= doc_id AS kept
+FROM d LEFT JOIN n USING (doc_id) LEFT JOIN c ON c.v = doc_id"""

@@ -79,7 +79,9 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op1_llr_quality": quality.judge_sql(),
         "op2_bounded_ring": sharding.shard_sql(SHARDS, VNODES),
+        "op3_minhash_dedup": neardup.cluster_sql(),
         "op4_secret_ownership": secret_scan.scan_sql(),
-        "op8_decontaminate": decontam.judge_sql(),
         "op7_link_trust": url_filter.judge_sql(),
+        "op8_decontaminate": decontam.judge_sql(),
+        "op9_fm_substrings": substring_fm.digests_sql(),
     }

@@ -85,3 +85,14 @@ def digests(docs: DataFrame, many: int = repeats.MANY_CLASSES) -> DataFrame:
         return [pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()), pa.array([hashlib.sha256(r[2]).hexdigest() for r in rows], pa.string())]
 
     return repeats.without(docs, removed(docs, many), run, DIGEST)
+
+
+def digests_sql() -> str:
+    """DuckDB SQL of ``digests(documents)``."""
+    return r"""WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+t AS (SELECT r, doc_id, k, array_to_string(w[k:k + 12], ' ') AS x FROM (SELECT r, doc_id, w, unnest(range(1, len(w) - 11)) AS k FROM d)),
+f AS (SELECT x, min(doc_id) AS first FROM t GROUP BY x),
+c AS (SELECT DISTINCT r, unnest(range(k, k + 13)) AS p FROM t JOIN f USING (x) WHERE first < doc_id),
+v AS (SELECT r, unnest(w) AS x, generate_subscripts(w, 1) AS p FROM d),
+k AS (SELECT v.r, string_agg(v.x, ' ' ORDER BY v.p) AS kept, count(*) AS n FROM v LEFT JOIN c ON c.r = v.r AND c.p = v.p WHERE c.p IS NULL GROUP BY v.r)
+SELECT doc_id, len(w)::BIGINT AS n_words, (len(w) - coalesce(n, 0))::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM d LEFT JOIN k USING (r)"""
