@@ -50,7 +50,7 @@ def with_header(lines: DataFrame, *header: str) -> DataFrame:
     """Report lines after fixed ones."""
     spark = lines.sparkSession
     head = spark.range(1).select(F.posexplode(F.array(*map(F.lit, header))).alias("pos", "line"))
-    return head.select((F.col("pos") + 1 - 0).cast("long").alias("pos"), "line").unionByName(lines)
+    return head.select((F.col("pos") + 1).cast("long").alias("pos"), "line").unionByName(lines)
 
 
 def checklist(frontier: DataFrame, order: list[Column], vias: int = 3) -> DataFrame:

@@ -48,7 +48,7 @@ def directed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def library(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The library: every fifth part is at home (a property of the domain, not a sample): node."""
+    """The library: the parts of five brands: node."""
     return table(spark, sf_dir, "part").where("p_brand IN ('Brand#11', 'Brand#12', 'Brand#13', 'Brand#21', 'Brand#22')").select(F.col("p_partkey").alias("node"))
 
 
