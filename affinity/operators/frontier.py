@@ -10,7 +10,7 @@ from affinity.functions import text, vectors
 LOVED = ["seed_artist", "highlight", "loved", "anchor", "currently_listening"]
 LOVED_FACTOR = 1.5
 #: Rows of vectors that are compared as one block.
-BLOCK = 2000
+BLOCK = 200
 
 
 def discovery_frontier(directed: DataFrame, library: DataFrame, loved: DataFrame, most: int = 20, vias: int = 4) -> DataFrame:
@@ -37,7 +37,9 @@ def nearest(points: DataFrame, id: str, vector: str, k: int = 8, queries: DataFr
     blocks = F.greatest(F.ceil(points.agg(F.count("*").alias("n")).scalar() / BLOCK), F.lit(1)).cast("int")
     right = unit.select(F.col("id").alias("other"), F.col("v").alias("w"), F.pmod(F.xxhash64("id"), blocks).alias("block"))
     left = unit if queries is None else unit.join(queries.select(F.col(id).cast("long").alias("id")), "id", "left_semi")
-    left = left.withColumn("block", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    # A stated number of partitions, as the rows are few for the work on them and would be put into one task.
+    spread = int(points.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    left = left.withColumn("block", F.explode(F.sequence(F.lit(0), blocks - 1))).repartition(spread, "block")
     scored = left.join(right, "block").where("id <> other").select("id", "other", "block", vectors.dot(F.col("v"), F.col("w")).alias("cosine"))
     order = [F.desc("cosine"), "other"]
     some = scored.withColumn("r", F.row_number().over(Window.partitionBy("id", "block").orderBy(*order))).where(F.col("r") <= k)
