@@ -64,6 +64,19 @@ def test_quality_finds_junk(spark):
     assert kept == {i for i in range(200) if i % 4}
 
 
+def test_quality_finds_thin_junk(spark):
+    """Junk within good text, of a mean between the two thresholds, is found; all labelled good texts stay."""
+    rng = random.Random(4)
+    good = lambda n: rng.choices(["river", "stone", "cloud", "green", "walks", "under"], k=n)
+    junk = lambda n: rng.choices(["win###", "cash$$$", "click&&&", "now%%%", "free***"], k=n)
+    thin = {k: " ".join(good(200 - k) + junk(k)) for k in (35, 36)}
+    docs = spark.createDataFrame([(i, " ".join(good(80) if i % 4 else junk(80))) for i in range(200)] + [(1000 + k, t) for k, t in thin.items()], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(200) if i % 4], "doc_id long, quality int, toxic int")
+    got = {r.doc_id: r for r in quality.judge(docs, labels).collect()}
+    assert all(-80_000 < got[1000 + k].llr_micro / got[1000 + k].n_grams < -50_000 and not got[1000 + k].kept for k in thin)
+    assert all(got[i].kept for i in range(200) if i % 4)
+
+
 def test_sharding(spark):
     docs = spark.createDataFrame([(i, t, i) for i, t in enumerate(texts() * 5)] + [(None, "x", 0), (1, "dup", 0)], "doc_id long, text string, arc int")
     got = sharding.shard(docs, 4, 16).collect()
