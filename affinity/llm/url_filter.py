@@ -5,7 +5,8 @@ trusted seed, pages under a block rule a blocked one (the majority decides).
 Personalised PageRank spreads trust from the trusted seeds along links; distrust
 spreads from the blocked seeds against links, to those that link to them. A host
 is blocked where its distrust exceeds its trust. Links are the absolute ``href``
-targets of pages; besides, a host links to its parent domain and back.
+targets of pages; besides, a host links to its parent domain and back, and that to
+its own parent, up to a domain of two labels.
 
 Ranks are whole numbers (shares of 10^15), so sums don't depend on their order.
 A null url, or one without ``://``, has no host and is judged like a host without
@@ -19,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from affinity.llm.common import materialize
+from affinity.llm.common import let, materialize
 
 #: (verdict, host, path); a rule fits its host and subdomains where the url's path starts with the rule's.
 RULES = [("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("allow", "net", "/de/"), ("block", "example.net", "/de/8"), ("block", "org", "/es/")]
@@ -63,7 +64,11 @@ def links(pages: DataFrame) -> DataFrame:
     hosts = pages.select("host").where("host <> ''").distinct()
     named = F.regexp_extract_all(F.coalesce("html", F.lit("")), F.lit(LINK), F.lit(1))
     stated = pages.where("host <> ''").select(F.col("host").alias("a"), F.explode(F.array_distinct(F.transform(named, host_of))).alias("b"))
-    upward = hosts.select(F.col("host").alias("a"), F.regexp_extract("host", r"^[^.]+\.(.+\..+)$", 1).alias("b"))
+    parts = F.split("host", r"\.")
+    # The chain of a host: itself and every parent domain, each of two labels at least.
+    chain = F.transform(F.sequence(F.lit(1), F.greatest(F.size(parts) - 1, F.lit(1))), lambda i: F.array_join(F.slice(parts, i, F.size(parts)), "."))
+    steps = hosts.select(F.explode(let(chain, lambda c: F.zip_with(F.slice(c, 1, F.size(c) - 1), F.slice(c, 2, F.size(c)), lambda a, b: F.struct(a.alias("a"), b.alias("b"))))).alias("s"))
+    upward = steps.select("s.a", "s.b").distinct()
     both = stated.unionByName(upward).unionByName(upward.select(F.col("b").alias("a"), F.col("a").alias("b")))
     return both.where("a <> '' AND b <> '' AND a <> b").distinct()
 

@@ -137,6 +137,19 @@ def test_propagation(spark):
     assert got == {1: "allow", 2: "allow", 3: "block", 4: "block", 5: "allow"}
 
 
+def test_parent_chain(spark):
+    """Distrust reaches a deep host over parent domains that have no pages."""
+    pages = [(1, "http://example.xyz/", ""), (2, "http://blog.x.example.xyz/", ""), (3, "http://lone.xyz/", "")]
+    frame = spark.createDataFrame(pages, "page_id long, url string, html string")
+    rules = [("block", "example.xyz", "/bad")]
+    hosts = {(r.a, r.b) for r in url_filter.links(frame.select("page_id", "html", url_filter.host_of(frame["url"]).alias("host"))).collect()}
+    up = {("blog.x.example.xyz", "x.example.xyz"), ("x.example.xyz", "example.xyz")}
+    assert hosts == up | {(b, a) for a, b in up}
+    bad = frame.unionByName(spark.createDataFrame([(4, "http://example.xyz/bad", "")], frame.schema))
+    got = {r.page_id: r.verdict for r in url_filter.judge(bad, rules).collect()}
+    assert got == {1: "block", 2: "block", 3: "allow", 4: "block"}
+
+
 @pytest.mark.parametrize("rules", [[("block", "x", "/")] * 1001])
 def test_rule_bound(rules):
     with pytest.raises(ValueError, match="more than"):
