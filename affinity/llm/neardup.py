@@ -192,6 +192,16 @@ def keep(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> Dat
     return docs.join(stays, docs["doc_id"].eqNullSafe(stays["doc_id"]), "left_semi")
 
 
+def keep_either(docs: DataFrame, settings: list[tuple[int, int]]) -> DataFrame:
+    """The documents that stay if all links of several settings (shingle, percent) hold at once; rows without an id stay."""
+    links = None
+    for shingle, percent in settings:
+        own = cluster(docs, shingle, percent).where("doc_id <> component_id").select(F.col("component_id").alias("a"), F.col("doc_id").alias("b")).distinct()
+        links = own if links is None else links.unionByName(own)
+    gone = components(materialize(links.distinct())).where("node <> root").select(F.col("node").alias("gone"))
+    return docs.join(gone, docs["doc_id"] == gone["gone"], "left_anti")
+
+
 def cluster_sql() -> str:
     """DuckDB SQL of ``cluster(documents)`` where ids are unique."""
     return r"""WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),

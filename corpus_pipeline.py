@@ -14,6 +14,9 @@ from affinity.llm import bpe, decontam, neardup, pii, quality
 from affinity.llm.common import materialize, table
 from affinity.llm.queries import RANKS
 
+#: Words a shingle and least similarity in percent; either links two documents.
+NEAR = [(neardup.SHINGLE, neardup.PERCENT), (5, 80)]
+
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop documents that fail the base rules or the log-likelihood ratio."""
@@ -21,8 +24,8 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep one document of each component of near-duplicates."""
-    return neardup.keep(docs)
+    """Keep one document of each component of near-duplicates, alike in three words (0.85) or in five (0.8)."""
+    return neardup.keep_either(docs, NEAR)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -3,6 +3,7 @@
 import random
 import re
 
+import corpus_pipeline
 from affinity.llm import neardup
 
 
@@ -78,3 +79,13 @@ def test_brute(spark):
     kept = neardup.keep(spark.createDataFrame(docs, "doc_id long, text string"))
     assert {r.doc_id for r in kept.collect()} == {i for i, _, _, k in want.values() if k}
     assert neardup.cluster(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_stage_links_block_edits_and_scattered_ones(spark):
+    """A block of six edited words is alike in five words only, two single edits in three words only; both copies go."""
+    words = lambda name, n: [f"{name}{k}" for k in range(n)]
+    block, scattered = words("a", 100), words("b", 90)
+    edited = block[:47] + words("x", 6) + block[53:]
+    single = [f"y{k}" if k in (30, 60) else w for k, w in enumerate(scattered)]
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate((block, edited, scattered, single, words("c", 50)))] + [(None, "d")], "doc_id long, text string")
+    assert {r.doc_id for r in corpus_pipeline.near_duplicates(spark, docs, "").collect()} == {0, 2, 4, None}
