@@ -8,14 +8,18 @@ characters and the words around). A candidate whose score reaches a threshold
 calibrated for precision on held-out candidates is redacted. Strict spans that
 pass their own checks always are.
 
-The trees are fitted on the candidates of at most ``SAMPLE_DOCS`` documents (the
-lowest MD5 of id), labelled by whether a checked span covers them; half of these
-fit, half calibrate. They are then plain column expressions, so scoring and
+The trees are fitted on the strict spans of at most ``SAMPLE_DOCS`` documents (the
+lowest MD5 of id): their forms with the strict marks hidden (spelled out, without
+a plus) against independent forms that are no personal data (an address without
+a domain, wrong checks, plain runs of digits, dates, decimals). Loose spans
+outside strict ones are no examples, so that it doesn't matter how many there
+are. Half of the documents fit, half calibrate. The trees are then plain column expressions, so scoring and
 redacting run within the row: no shuffle, no row is left out.
 
 Null text is empty. Null keys, repeated rows and extra columns pass through; an
-empty table, or a sample without both kinds of candidates, fits no trees and
-adds nothing. Only DataFrame functions and MLlib on DataFrames are used.
+empty table, or a sample without both kinds of examples, fits no trees and
+adds nothing. Plain runs of digits aren't told from other numbers and stay. Only
+DataFrame functions and MLlib on DataFrames are used.
 """
 
 from __future__ import annotations
@@ -98,7 +102,7 @@ def loose_spans(text: Column) -> Column:
     return F.concat(*[spans.matches(text, pattern, kind) for kind, pattern in LOOSE.items()])
 
 
-FEATURES = ["email", "length", "digits", "letters", "blanks", "dots", "dashes", "at", "plus", "luhn", "word_before", "word_after", *CONTEXT]
+FEATURES = ["email", "length", "digits", "letters", "blanks", "dots", "dashes", "at", "plus", "luhn", "brackets", "domain", "word_before", "word_after", *CONTEXT]
 
 
 def features(text: Column, span: Column) -> Column:
@@ -110,7 +114,7 @@ def features(text: Column, span: Column) -> Column:
     flag = lambda c: F.when(c, 1.0).otherwise(0.0)
     return F.array(
         flag(span["kind"] == "email"), F.length(value).cast("double"), count("[0-9]"), count("[A-Za-z]"), count(r"\x20"), count(r"\."), count("-"), count("@"), count(r"\+"),
-        flag(valid_card(value)), flag(before.rlike("[A-Za-z0-9]$")), flag(after.rlike("[A-Za-z0-9]")), *[flag(F.lower(before).rlike(x)) for x in CONTEXT.values()],
+        flag(valid_card(value)), count(r"[(\[]"), count(r"(?:@|(?:at|AT)[)\]])\x20?[A-Za-z0-9-]+(?:\.|\x20?[(\[](?:dot|DOT))"), flag(before.rlike("[A-Za-z0-9]$")), flag(after.rlike("[A-Za-z0-9]")), *[flag(F.lower(before).rlike(x)) for x in CONTEXT.values()],
     )
 
 
@@ -138,7 +142,8 @@ class Model:
         """Whether a candidate is to be redacted."""
         if not self.trees:
             return F.lit(False)
-        return let(features(text, span), lambda x: self.score(x) >= self.margin)
+        # As with strict ones, an address without a dotted domain is none.
+        return let(features(text, span), lambda x: (self.score(x) >= self.margin) & ((x[0] == 0) | (x[FEATURES.index("domain")] > 0)))
 
 
 def parse_tree(text: str):
@@ -157,19 +162,60 @@ def parse_tree(text: str):
     return node()
 
 
+def hidden_forms(span: Column) -> Column:
+    """Loose forms of a base span, its strict marks hidden (label 1), and forms of its parts that are no personal data (label 0)."""
+    value, d = span["value"], digits(span["value"])
+    local, domain = F.regexp_extract(value, "^(.*)@", 1), F.regexp_extract(value, "@(.*)$", 1)
+    short = F.substring_index(local, ".", -1)
+    name, last = F.substring_index(domain, ".", 1), (F.right(d, F.lit(1)).cast("int") + 1) % 10
+    part = lambda i, n: F.substr(d, F.length(d) - 9 + i, F.lit(n))  # noqa: E731  of the last ten digits
+    good = {
+        "email": [F.concat(who, F.lit(x), F.replace(domain, F.lit("."), F.lit(y))) for who in (local, short) for x, y in ((" (at) ", " (dot) "), ("(at)", "(dot)"), (" [at] ", " [dot] "), ("@", " (dot) "), (" (at) ", "."))],
+        "phone": [
+            F.substring(value, 2, 100), F.regexp_replace(F.regexp_replace(value, "[()]", ""), r"^\+[0-9]{1,3}[\x20.-]+", "0"),
+            F.concat(F.lit("0"), part(0, 2), F.lit(" "), part(2, 4), F.lit(" "), part(6, 4)), F.concat(part(0, 3), F.lit(") "), part(3, 3), F.lit("-"), part(6, 4)), F.concat(part(0, 3), F.lit("-"), part(3, 3), F.lit("-"), part(6, 4)),
+        ],
+    }
+    dates = F.concat(*[x for i in (0, 4) for x in (F.lit("20"), part(i, 2), F.lit("-0"), part(i + 2, 1), F.lit("-1"), part(i + 3, 1), F.lit(" " if i == 0 else ""))])
+    wrong = F.concat(F.substr(value, F.lit(1), F.length(value) - 1), last.cast("string"))
+    numbers = [F.concat(F.substr(d, F.lit(1), F.length(d) - 1), last.cast("string")), F.concat(F.left(d, F.lit(2)), F.lit("."), F.substr(d, F.lit(3), F.lit(20))), dates]
+    bad = {
+        "email": [F.concat(who, F.lit(x), name) for who in (local, short) for x in ("@", " (at) ", "(at)", " [at] ")],
+        "ip": [F.regexp_replace(value, "^[0-9]+", "999")],
+        "card": [wrong, *numbers],
+        "phone": numbers,
+    }
+    out = F.array().cast("array<struct<value:string,label:double>>")
+    for kind in KINDS:
+        pattern = LOOSE["email" if kind == "email" else "number"]
+        forms = [F.struct(x.alias("value"), F.lit(label).alias("label")) for label, some in ((1.0, good), (0.0, bad)) for x in some.get(kind, [])]
+        fits = lambda f: f["value"].rlike(f"^(?:{pattern})$") & ((f["label"] == 1.0) | ~valid_card(f["value"]))  # noqa: B023, E731  called at once
+        out = F.when(span["kind"] == kind, F.filter(F.array(*forms), fits)).otherwise(out)
+    return out
+
+
 def labelled(docs: DataFrame, most: int = SAMPLE_DOCS) -> DataFrame:
-    """Candidates of a bounded sample of documents: x (features), label, held_out, in a fixed order."""
+    """Examples from the base spans of a bounded sample of documents: x (features), label, held_out.
+
+    What the loose generators find outside base spans is no example: nobody knows what it is.
+    """
     order = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"))
     ids = docs.where("doc_id IS NOT NULL").select("doc_id").distinct().orderBy(order).limit(most)
     text = F.coalesce("text", F.lit(""))
     sample = docs.join(F.broadcast(ids), "doc_id").select("doc_id", text.alias("text"))  # at most ``most`` ids
-    sample = sample.select("doc_id", "text", base_spans(F.col("text")).alias("base"), loose_spans(F.col("text")).alias("loose"))
-    each = sample.where("size(base) + size(loose) > 0").select("doc_id", "text", "base", F.explode(F.concat("base", "loose")).alias("s"))
-    kind = F.when(F.col("s.kind") == "email", "email").otherwise("number")
-    span = F.struct(kind.alias("kind"), F.col("s.start").alias("start"), F.col("s.end").alias("end"), F.col("s.value").alias("value"))
-    covered = F.exists("base", lambda b: (b["start"] <= F.col("s.start")) & (F.col("s.end") <= b["end"]))
+    each = sample.select("doc_id", "text", F.explode(base_spans(F.col("text"))).alias("s"))
+    start = F.col("s.start")
+    near = F.substr("text", F.greatest(start - AROUND, F.lit(0)) + 1, F.least(start, F.lit(AROUND)))
+    # Good forms stand where the span does and elsewhere in the text; the others only elsewhere.
+    far = F.concat(F.substr("text", F.pmod(F.xxhash64("s.value", "s.start"), F.length("text")).cast("int") + 1, F.lit(AROUND)), F.lit(" "))
+    each = each.select("doc_id", "s.kind", near.alias("near"), far.alias("far"), F.explode(hidden_forms(F.col("s"))).alias("f"))
+    put = F.when(F.col("f.label") == 1.0, F.array("near", "far")).otherwise(F.array("far"))
+    each = each.select("doc_id", "kind", "f.value", "f.label", F.explode(put).alias("before"))
+    begin = F.length("before")
+    kind = F.when(F.col("kind") == "email", "email").otherwise("number")
+    span = F.struct(kind.alias("kind"), begin.alias("start"), (begin + F.length("value")).alias("end"), F.col("value"))
     held = F.substring(order, 32, 1).isin(*"89abcdef")
-    return each.select("doc_id", features(F.col("text"), span).alias("x"), covered.cast("double").alias("label"), held.alias("held_out"))
+    return each.select("doc_id", features(F.concat("before", "value", F.lit(" ")), span).alias("x"), "label", held.alias("held_out"))
 
 
 def fit(docs: DataFrame, most: int = SAMPLE_DOCS) -> Model:

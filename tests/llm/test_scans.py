@@ -96,3 +96,19 @@ def test_redaction_and_trees(spark):
         assert r.text.replace("[EMAIL]", "").count("mail to ") == data[r.doc_id][1].count("mail to ")
     null = pii.redact(spark.createDataFrame([(1, None, "s", "en", "")], SCHEMA), model).first()
     assert null.text is None
+
+
+def test_many_loose_spans_in_the_fitted_corpus(spark):
+    """Spelled-out addresses and plain phones are redacted however many the fitted corpus holds; other numbers stay."""
+    rng = random.Random(6)
+    digit = lambda n: "".join(rng.choices("0123456789", k=n))
+    word = lambda: "".join(rng.choices("abcdefgh", k=rng.randrange(3, 9)))
+    strict = [lambda: f"call +49 {rng.randrange(30, 99)} {digit(7)} now", lambda: f"mail to {word()}.{word()}@{word()}.org today", lambda: "x 4111111111111111 y"]
+    loose = [lambda: f"{word()} (at) {word()} (dot) org", lambda: f"030 {digit(4)} {digit(4)}", lambda: f"({rng.randrange(200, 999)}) {digit(3)}-{digit(4)}"]
+    planted = {i: loose[i % 3]() for i in range(300)}
+    data = [(i, f"{word()} {word()} {x} {word()}", "s", "en", "") for i, x in planted.items()]
+    data += [(1000 + i, " ".join([word() for _ in range(20)] + [rng.choice(strict)()]), "s", "en", "") for i in range(300)]
+    data += [(2000 + i, f"look (at) {word()} or {digit(11)} end", "s", "en", "") for i in range(50)]
+    got = {r.doc_id: r.text for r in pii.redact(spark.createDataFrame(data, SCHEMA)).collect()}
+    assert not [x for i, x in planted.items() if x.strip("(") in got[i]]
+    assert not [got[i] for i in got if i >= 2000 and "[" in got[i]]
