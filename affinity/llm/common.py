@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import atexit
-import tempfile
 import uuid
 from collections.abc import Iterator
 
@@ -24,24 +23,28 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that the cluster names for checkpoints; a temporary one only where none is named."""
-    context = spark.sparkContext
+    """The folder for intermediate tables that the driver and all executors see.
+
+    It is what the cluster names in spark.checkpoint.dir, else the session's own
+    checkpoint folder, else a folder in the warehouse. No setting is changed.
+    """
     named = spark.conf.get("spark.checkpoint.dir", None)
-    current = context._jsc.sc().getCheckpointDir()
-    if current.isEmpty():
-        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="affinity-"))
-        current = context._jsc.sc().getCheckpointDir()
-    return named or current.get()
+    current = spark.sparkContext._jsc.sc().getCheckpointDir()
+    if named or current.isDefined():
+        return named or current.get()
+    return f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/affinity-tables"
 
 
 def materialize(df: DataFrame) -> DataFrame:
     """Write a result as a table in the shared folder and read it again.
 
     Cuts the lineage: a lost executor costs no recomputation of what came
-    before. The folder goes when the driver's process ends.
+    before. The tables of an application lie in one folder named after it; they
+    go when the driver's process ends, and what a killed driver leaves is told
+    by the folder's name.
     """
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/affinity-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/affinity-{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     atexit.register(discard, spark, path)
     return spark.read.schema(df.schema).parquet(path)
@@ -56,11 +59,50 @@ def discard(spark: SparkSession, path: str) -> None:
         return
 
 
+#: A key with more than one in so many of all rows is hot: there are fewer of these than this number.
+HOT_SHARE = 1000
+
+
+def hot_keys(counted: DataFrame, weight: str) -> DataFrame:
+    """The keys of hot groups: the rows of ``counted`` (one for each key) that hold over a thousandth of all ``weight``.
+
+    There are fewer than ``HOT_SHARE``, so they can be sent to every executor.
+    """
+    total = counted.agg(F.coalesce(F.sum(weight), F.lit(0))).first()[0]
+    return counted.where(F.col(weight) * HOT_SHARE > F.lit(total))
+
+
+def spread_join(many: DataFrame, few: DataFrame, hot: DataFrame, keys: list[str]) -> DataFrame:
+    """The inner join by ``keys``, where ``hot`` (from ``hot_keys``) names the keys that ``many`` has very often.
+
+    Rows of hot keys meet theirs by broadcast, wherever they lie; the others are
+    shuffled, and none of their keys is a large part. ``few`` has at most a
+    bounded number of rows for a key.
+    """
+    named = F.broadcast(hot.select(*keys))  # fewer than HOT_SHARE rows
+    near = many.join(F.broadcast(few.join(named, keys, "left_semi")), keys)
+    far = many.join(named, keys, "left_anti").join(few.join(named, keys, "left_anti"), keys)
+    return near.unionByName(far)
+
+
 def let(value: Column, body) -> Column:
     """``body(value)`` with the value computed once per row, also where body uses it in a lambda."""
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
+def running(values: Column, combine) -> Column:
+    """``combine`` over every leading part of an array: running sums, or running maxima.
+
+    Each step doubles how many values a place has combined, so n values cost n log n.
+    """
+
+    def step(a: Column, w: Column) -> Column:
+        rest = F.size(a) - w
+        return F.concat(F.slice(a, 1, w), F.zip_with(F.slice(a, 1, rest), F.slice(a, w + 1, rest), combine))
+
+    return let(values, lambda v: F.aggregate(F.filter(F.array(*[F.lit(1 << k) for k in range(31)]), lambda w: w < F.size(v)), v, step))
+
+
 def blank_words(text: Column) -> Column:
     """The words ``[^\\x20\\x09-\\x0D]+`` of a text, in order; none for null or blank text."""
     trimmed = F.btrim(text, F.lit(BLANKS))

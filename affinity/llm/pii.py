@@ -33,17 +33,19 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from affinity.llm import spans
-from affinity.llm.common import let
+from affinity.llm.common import let, materialize
 
 # Fixed values of the contract: kinds in their order and their patterns.
 KINDS = ["email", "ip", "card", "phone"]
-EMAIL = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)++"
-IP = r"[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+"
+# A local part or a number is read once, from its first character on: a run that fails isn't tried again from within.
+LOCAL = r"(?:(?<![A-Za-z0-9._%+-])|\G)[A-Za-z0-9._%+-]++"
+EMAIL = LOCAL + r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)++"
+IP = r"(?:(?<![0-9])|\G)[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++"
 CARD = r"[0-9](?:[\x20-]?[0-9])++"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 #: Loose generators, by kind.
 LOOSE = {
-    "email": r"[A-Za-z0-9._%+-]+(?:@|\x20?[(\[](?:at|AT)[)\]]\x20?)[A-Za-z0-9-]+(?:(?:\.|\x20?[(\[](?:dot|DOT)[)\]]\x20?)[A-Za-z0-9-]+)*+",
+    "email": LOCAL + r"(?:@|\x20?[(\[](?:at|AT)[)\]]\x20?)[A-Za-z0-9-]+(?:(?:\.|\x20?[(\[](?:dot|DOT)[)\]]\x20?)[A-Za-z0-9-]+)*+",
     "number": r"\+?[0-9](?:[\x20().-]{0,2}[0-9]){8,18}+",
 }
 CONTEXT = {"mail": "mail|contact|write", "call": "phone|call|tel|fax|mobil", "card": "card|visa|pay|iban|account"}
@@ -105,12 +107,12 @@ def loose_spans(text: Column) -> Column:
 FEATURES = ["email", "length", "digits", "letters", "blanks", "dots", "dashes", "at", "plus", "luhn", "brackets", "domain", "word_before", "word_after", *CONTEXT]
 
 
-def features(text: Column, span: Column) -> Column:
-    """The features of a candidate: its format, and what stands around it."""
+def features(cut: Column, span: Column) -> Column:
+    """The features of a candidate: its format, and what stands around it in a text cut into pieces."""
     value = span["value"]
     count = lambda x: F.regexp_count(value, F.lit(x)).cast("double")
-    before = F.substring(text, F.greatest(span["start"] - AROUND, F.lit(0)) + 1, F.least(span["start"], F.lit(AROUND)))
-    after = F.substring(text, span["end"] + 1, F.lit(1))
+    before = spans.part(cut, F.greatest(span["start"] - AROUND, F.lit(0)), span["start"])
+    after = spans.part(cut, span["end"], span["end"] + 1)
     flag = lambda c: F.when(c, 1.0).otherwise(0.0)
     return F.array(
         flag(span["kind"] == "email"), F.length(value).cast("double"), count("[0-9]"), count("[A-Za-z]"), count(r"\x20"), count(r"\."), count("-"), count("@"), count(r"\+"),
@@ -138,12 +140,12 @@ class Model:
             total = total + F.lit(weight) * value(tree)
         return total
 
-    def picks(self, text: Column, span: Column) -> Column:
-        """Whether a candidate is to be redacted."""
+    def picks(self, cut: Column, span: Column) -> Column:
+        """Whether a candidate is to be redacted, in a text cut into pieces."""
         if not self.trees:
             return F.lit(False)
         # As with strict ones, an address without a dotted domain is none.
-        return let(features(text, span), lambda x: (self.score(x) >= self.margin) & ((x[0] == 0) | (x[FEATURES.index("domain")] > 0)))
+        return let(features(cut, span), lambda x: (self.score(x) >= self.margin) & ((x[0] == 0) | (x[FEATURES.index("domain")] > 0)))
 
 
 def parse_tree(text: str):
@@ -202,7 +204,8 @@ def labelled(docs: DataFrame, most: int = SAMPLE_DOCS) -> DataFrame:
     order = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"))
     ids = docs.where("doc_id IS NOT NULL").select("doc_id").distinct().orderBy(order).limit(most)
     text = F.coalesce("text", F.lit(""))
-    sample = docs.join(F.broadcast(ids), "doc_id").select("doc_id", text.alias("text"))  # at most ``most`` ids
+    # Written first, so that the patterns run over the sample alone. At most ``most`` ids are sent.
+    sample = materialize(docs.join(F.broadcast(ids), "doc_id").select("doc_id", text.alias("text")))
     each = sample.select("doc_id", "text", F.explode(base_spans(F.col("text"))).alias("s"))
     start = F.col("s.start")
     near = F.substr("text", F.greatest(start - AROUND, F.lit(0)) + 1, F.least(start, F.lit(AROUND)))
@@ -215,7 +218,7 @@ def labelled(docs: DataFrame, most: int = SAMPLE_DOCS) -> DataFrame:
     kind = F.when(F.col("kind") == "email", "email").otherwise("number")
     span = F.struct(kind.alias("kind"), begin.alias("start"), (begin + F.length("value")).alias("end"), F.col("value"))
     held = F.substring(order, 32, 1).isin(*"89abcdef")
-    return each.select("doc_id", features(F.concat("before", "value", F.lit(" ")), span).alias("x"), "label", held.alias("held_out"))
+    return each.select("doc_id", features(spans.pieces(F.concat("before", "value", F.lit(" "))), span).alias("x"), "label", held.alias("held_out"))
 
 
 def fit(docs: DataFrame, most: int = SAMPLE_DOCS) -> Model:
@@ -249,8 +252,9 @@ def calibrate(scored: DataFrame, precision: float = PRECISION) -> float:
 
 def found_spans(text: Column, model: Model) -> Column:
     """A struct of ``base`` spans and ``added`` ones: picked candidates that no base span touches."""
-    candidates = lambda base: F.filter(loose_spans(text), lambda s: ~spans.overlaps(s, base) & model.picks(text, s))
-    return let(base_spans(text), lambda b: F.struct(b.alias("base"), candidates(b).alias("added")))
+    picked = lambda some: let(spans.pieces(text), lambda cut: F.filter(some, lambda s: model.picks(cut, s)))
+    free = lambda base: let(spans.untouched(loose_spans(text), base), lambda some: F.when(F.size(some) > 0, picked(some)).otherwise(some))
+    return let(base_spans(text), lambda b: F.struct(b.alias("base"), free(b).alias("added")))
 
 
 def detect(docs: DataFrame, model: Model | None = None) -> DataFrame:

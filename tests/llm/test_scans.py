@@ -4,9 +4,13 @@ import hashlib
 import random
 import re
 
+import duckdb
+from pyspark.sql import functions as F
+
 from affinity.llm import pii, secret_scan
+from affinity.llm import spans as span_type
 
-ASSIGN = re.compile(r"""((?i:[p][a][s][s][w][o][r][d]|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.A)
+ASSIGN = re.compile(r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.A)
 EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
 IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
 CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
@@ -69,10 +73,60 @@ def test_secrets(spark):
 
 
 def test_ownership(spark):
-    leak, example = "Zq9x" * 8 + "T7", "Ab1c2D3e4F5g6H7i8J9k0L1m"
+    """Values of three owners, or of six repositories of two, are examples; a varied one of few is live, an even one dull."""
+    leak, example, copied, few, even = "Zq9xW3bT7mK1vR5cN8yL2hG4sD6f", "Ab1c2D3e4F5g6H7i8J9k0L1m", "Qw7e8R5t6Y3u4I1o2P9a0S8d7", "Mn4b5V6c7X8z9L1k2J3h4G5f", "12abab12abab12abab12abab12"
+    langs = ["en", "de", "fr", "es", "it", "nl"]
     data = [(i, f"see {example} here", f"src{i}", "en", "") for i in range(5)] + [(9, f"é {leak}", "src1", "en", "")]
-    got = {r.doc_id: r.spans for r in secret_scan.digests(secret_scan.scan(spark.createDataFrame(data, SCHEMA))).collect()}
-    assert got == {**{i: "" for i in range(5)}, 9: "token:2:36"}
+    data += [(20 + i, f"see {copied} here", f"src{i % 2}", lang, "") for i, lang in enumerate(langs)]
+    data += [(30 + i, f"see {few} here", "src1", lang, "") for i, lang in enumerate(langs[:5])]
+    data += [(40, f"see {even} here", "src1", "en", ""), (41, f"token={leak} secret={example} password={'ab' * 6}", "src1", "en", "")]
+    got = {r.doc_id: r for r in secret_scan.digests(secret_scan.scan(spark.createDataFrame(data, SCHEMA))).collect()}
+    assert {i: r.spans for i, r in got.items() if i != 41} == {
+        **{i: "" for i in (0, 1, 2, 3, 4, 20, 21, 22, 23, 24, 25, 40)}, 9: "token:2:30", **{30 + i: "token:4:28" for i in range(5)},
+    }
+    assert (got[41].n_assign, got[41].n_live, got[41].n_example, got[41].n_dull) == (3, 1, 1, 1)
+
+
+def test_secrets_sql(spark):
+    docs = spark.createDataFrame(rows(), SCHEMA).where("length(text) < 1000 AND doc_id IS NOT NULL AND doc_id > 0")
+    con = duckdb.connect()
+    con.register("documents", docs.toPandas())
+    names = ["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans", "n_live", "n_example", "n_dull"]
+    want = sorted(con.execute(f"SELECT {', '.join(names)} FROM ({secret_scan.scan_sql()})").fetchall())
+    assert sorted(map(tuple, secret_scan.digests(secret_scan.scan(docs)).select(*names).collect())) == want
+
+
+def test_many_matches_in_one_text(spark):
+    """100,000 spans of one text are found and redacted in time that grows little more than in proportion."""
+    n = 100_000
+    docs = spark.createDataFrame([(1, "1.2.3.4 " * n, "s", "en", ""), (2, "password=abcdefgh1 " * n, "s", "en", ""), (3, "1" * n + "@ " + "a" * n + " x@" + "b-" * n, "s", "en", "")], SCHEMA)
+    found = {r.doc_id: r for r in pii.digests(pii.detect(docs, pii.Model([], 0.0))).collect()}
+    assert (found[1].n_ip, found[2].n_ip, found[1].spans.rsplit(",", 1)[1]) == (n, 0, f"ip:{8 * n - 8}:{8 * n - 1}")
+    assert {r.text for r in pii.redact(docs.where("doc_id = 1"), pii.Model([], 0.0)).collect()} == {"[IP] " * n}
+    assert {r.doc_id: r.n_assign for r in secret_scan.digests(secret_scan.scan(docs)).collect()} == {1: 0, 2: n, 3: 0}
+
+
+def test_spans_apart_and_replaced(spark):
+    """Spans that touch no others, and the replacement of overlapping ones, against plain Python."""
+    rng = random.Random(7)
+    text = "aé🙂 bc\n" * 300
+    some = lambda n: sorted((a, min(len(text), a + rng.randrange(1, 40))) for a in rng.choices(range(len(text)), k=n))
+    data = [(i, text, some(rng.randrange(20)), some(rng.randrange(6))) for i in range(40)]
+    wide = lambda spans: [("k", a, b, str(a)) for a, b in spans]
+    frame = spark.createDataFrame([(i, t, wide(x), wide(y)) for i, t, x, y in data], f"i int, text string, x array<{span_type.SPAN}>, y array<{span_type.SPAN}>")
+    got = frame.select("i", span_type.untouched(frame["x"], frame["y"]).alias("free"), span_type.replaced(frame["text"], frame["x"], lambda s: F.concat(F.lit("<"), s["value"], F.lit(">"))).alias("out"))
+    for r in got.collect():
+        _, _, x, y = data[r.i]
+        assert sorted((s.start, s.end) for s in r.free) == sorted((a, b) for a, b in x if not any(c < b and a < d for c, d in y))
+        out, at, k = [], 0, 0
+        while k < len(x):
+            a, b = x[k]
+            out += [text[at:a], f"<{a}>"]
+            while k < len(x) and x[k][0] < max(b, a + 1):
+                b = max(b, x[k][1])
+                k += 1
+            at = b
+        assert r.out == "".join(out) + text[at:]
 
 
 def test_personal(spark):
