@@ -81,9 +81,13 @@ def hits(docs: DataFrame, benchmark: DataFrame, most: int = BLOCK_WORDS) -> Data
 
 
 def keep(docs: DataFrame, benchmark: DataFrame, most: int = BLOCK_WORDS) -> DataFrame:
-    """The documents that aren't contaminated, with all their columns."""
+    """The documents that hold no full window of an item and aren't contaminated, with all their columns.
+
+    A long document is dropped for one passage of 13 words too; a word or two of
+    a short item, which any text may hold, count only by their share.
+    """
     found = _with_hits(docs.select(F.struct(*docs.columns).alias("row"), "text"), benchmark, most)
-    return found.where(~contaminated()).select("row.*")
+    return found.where(~(contaminated() | holds_passage())).select("row.*")
 
 
 def _with_hits(rows: DataFrame, benchmark: DataFrame, most: int) -> DataFrame:
@@ -129,6 +133,11 @@ def contaminated() -> Column:
     return (n_hit() > 0) & (n_hit() * 20 >= F.col("n_words"))
 
 
+def holds_passage() -> Column:
+    """Whether a hit run has as many words as a full window."""
+    return F.exists(F.zip_with("run_ends", "run_starts", lambda b, a: b - a), lambda n: n >= window_scan.WINDOW)
+
+
 def judge(found: DataFrame) -> DataFrame:
     """The counts, the digest of items and the verdict (a twentieth of the words hit) for the result of ``hits``."""
     return found.select(

@@ -29,7 +29,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop documents of which a twentieth stands in the benchmark."""
+    """Drop documents that hold a window of 13 words of the benchmark, or of which a twentieth stands in it."""
     return decontam.keep(docs, table(spark, sf_dir, "benchmark"))
 
 
