@@ -72,17 +72,25 @@ def hot_keys(counted: DataFrame, weight: str) -> DataFrame:
     return counted.where(F.col(weight) * HOT_SHARE > F.lit(total))
 
 
-def spread_join(many: DataFrame, few: DataFrame, hot: DataFrame, keys: list[str]) -> DataFrame:
-    """The inner join by ``keys``, where ``hot`` (from ``hot_keys``) names the keys that ``many`` has very often.
+def met(many: DataFrame, few: DataFrame, hot: DataFrame, keys: list[str], spread: Column) -> DataFrame:
+    """The inner join of ``many`` with ``few`` by ``keys`` in one pass over ``many``.
 
-    Rows of hot keys meet theirs by broadcast, wherever they lie; the others are
-    shuffled, and none of their keys is a large part. ``few`` has at most a
-    bounded number of rows for a key.
+    Rows of ``many`` whose keys are hot (from ``hot_keys``) get the rows of ``few`` from a
+    broadcast table; for the shuffle they are dealt out by ``spread`` and meet nothing.
     """
+    columns = [c for c in few.columns if c not in keys]
     named = F.broadcast(hot.select(*keys))  # fewer than HOT_SHARE rows
-    near = many.join(F.broadcast(few.join(named, keys, "left_semi")), keys)
-    far = many.join(named, keys, "left_anti").join(few.join(named, keys, "left_anti"), keys)
-    return near.unionByName(far)
+    at_hand = few.join(named, keys, "left_semi").groupBy(*keys).agg(F.collect_list(F.struct(F.lit(1).alias("is"), *columns)).alias("near"))
+    far = few.join(named, keys, "left_anti").withColumnsRenamed({k: f"far_{k}" for k in keys}).select(*[f"far_{k}" for k in keys], F.lit(0).alias("far_part"), F.struct(F.lit(1).alias("is"), *columns).alias("far"))
+    flagged = many.join(F.broadcast(at_hand), keys, "left")
+    part = F.when(F.col("near").isNull(), 0).otherwise(F.pmod(spread, F.lit(1 << 20)).cast("int") + 1)
+    flagged = flagged.withColumn("part", part)
+    on = F.col("part") == F.col("far_part")
+    for k in keys:
+        on = on & (F.col(k) == F.col(f"far_{k}"))
+    both = flagged.join(far, on, "left").where("near IS NOT NULL OR far IS NOT NULL")
+    every = both.withColumn("m", F.explode(F.when(F.col("near").isNotNull(), F.col("near")).otherwise(F.array("far"))))
+    return every.select(*many.columns, *[F.col("m")[c].alias(c) for c in columns])
 
 
 def let(value: Column, body) -> Column:

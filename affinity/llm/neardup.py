@@ -8,12 +8,14 @@ member with the others are candidates, so pairs grow with the members, not with
 their square. Candidates are confirmed on full shingle sets.
 
 A star can miss a link between two members that are not like its centre. So,
-after the components of the confirmed links, members of one bucket that still
+after the components of the confirmed links, members of one centre that still
 lie in different components are paired with each other (not with their own
 component) and confirmed too, but for pairs that can't be alike: each member's
 difference from the centre is known, as counts and bitmaps, and bounds what two
-of them can share. No pair of a bucket that could be a link is left out. Two sets of similarity 0.85 share none of the 32
-buckets with a chance under 1e-10.
+of them can share. No pair of a bucket that could be a link is left out. These
+pairs are bounded in the join, before any text is read; the work of a centre with
+many members is dealt out in blocks of ``BLOCK_PAIRS`` pairs. Two sets of
+similarity 0.85 share none of the 32 buckets with a chance under 1e-10.
 
 Null and blank texts have an empty set, are linked with nothing and are kept.
 Rows that repeat an id are one document with a node for each text, linked by
@@ -31,12 +33,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from affinity.llm import signatures
-from affinity.llm.common import materialize, text_slices
+from affinity.llm.common import hot_keys, materialize, met, text_slices
 from affinity.llm.components import components
 
 SHINGLE = 3
 PERCENT = 85
 BANDS, ROWS = 32, 4
+#: Remaining pairs of a centre that one task looks at, by their counts and bitmaps.
+BLOCK_PAIRS = 4_000_000
 SIGNED = "doc_id long, n_shingles long, sid binary, bands array<long>"
 
 
@@ -74,8 +78,8 @@ def sign(docs: DataFrame, shingle: int = SHINGLE, bands: int = BANDS, rows: int
 def compare(pairs: DataFrame, texts: DataFrame, shingle: int, percent: int) -> DataFrame:
     """Compare pairs (a, b) of nodes on their full sets; ``texts`` has (node, text).
 
-    Returns a, b, whether they are alike enough, how many shingles of a are
-    missing from b and how many b has besides, and bitmaps of both.
+    Returns a, b, whether they are alike enough, the sizes of both sets, how many
+    shingles of a are missing from b and how many b has besides, and bitmaps of these.
     """
     left = texts.select(F.col("node").alias("b"), F.col("text").alias("text_b"))
     right = texts.select(F.col("node").alias("a"), F.col("text").alias("text_a"))
@@ -84,7 +88,7 @@ def compare(pairs: DataFrame, texts: DataFrame, shingle: int, percent: int) -> D
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache, last, kept = signatures.Words(), None, None
         for batch in batches:
-            alike, missing, extra, maps = [], [], [], []
+            alike, sizes, others, missing, extra, maps = [], [], [], [], [], []
             for a, b in zip(_column(batch, "text_a"), _column(batch, "text_b"), strict=True):
                 a, b = a.as_py(), b.as_py()
                 if a != last:  # rows of the same centre follow one another
@@ -93,15 +97,17 @@ def compare(pairs: DataFrame, texts: DataFrame, shingle: int, percent: int) -> D
                 gone, more = signatures.without(kept, own), signatures.without(own, kept)
                 same = len(kept) - len(gone)
                 alike.append(same * 100 >= percent * (len(kept) + len(own) - same))
+                sizes.append(len(kept))
+                others.append(len(own))
                 missing.append(len(gone))
                 extra.append(len(more))
                 maps.append(signatures.np.concatenate([signatures.bitmap(gone), signatures.bitmap(more)]).view(signatures.np.int64))
             yield pa.RecordBatch.from_arrays(
-                [_column(batch, "a"), _column(batch, "b"), pa.array(alike, pa.bool_()), pa.array(missing, pa.int32()), pa.array(extra, pa.int32()), pa.array(maps, pa.list_(pa.int64()))],
-                ["a", "b", "alike", "missing", "extra", "maps"],
+                [_column(batch, "a"), _column(batch, "b"), pa.array(alike, pa.bool_()), *[pa.array(x, pa.int32()) for x in (sizes, others, missing, extra)], pa.array(maps, pa.list_(pa.int64()))],
+                ["a", "b", "alike", "size_a", "size_b", "missing", "extra", "maps"],
             )
 
-    return both.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long, alike boolean, missing int, extra int, maps array<long>")
+    return both.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long, alike boolean, size_a int, size_b int, missing int, extra int, maps array<long>")
 
 
 def could_link(percent: int):
@@ -134,56 +140,76 @@ def similar_size(percent: int):
 
 
 def cluster(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """Each row's set size, component and whether it stays: doc_id, n_shingles, component_id, kept, sid."""
+    """Each row's set size, component and whether it stays: doc_id, n_shingles, component_id, kept."""
     signed = materialize(sign(docs, shingle, bands, rows))
     named = signed.where("doc_id IS NOT NULL")
     # A node for each distinct set: the least id that has it.
-    nodes = named.groupBy("sid").agg(F.min("doc_id").alias("node"))
-    held = named.where("bands IS NOT NULL").join(nodes, "sid").where("doc_id = node").dropDuplicates(["sid"])
-    spots = held.select("node", F.col("n_shingles").alias("n"), F.explode("bands").alias("bucket"))
+    nodes = materialize(named.groupBy("sid").agg(F.min("doc_id").alias("node"), F.count("*").alias("rows")))
+    # By set and id, so that the rows of a set that very many documents have aren't in one task.
+    held = named.where("bands IS NOT NULL").join(nodes.select("sid", F.col("node").alias("doc_id")), ["sid", "doc_id"])
+    held = held.groupBy("sid").agg(F.first("doc_id").alias("node"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"))
+    spots = held.select("node", "n", F.explode("bands").alias("bucket"))
     shared = spots.groupBy("bucket").agg(F.count("*").alias("members")).where("members > 1")
     spots = materialize(spots.join(shared, "bucket"))
     # The centre of a bucket is the member that shares most places in buckets.
     fame = spots.groupBy("node").agg(F.sum("members").alias("fame"))
-    centres = spots.join(fame, "node").groupBy("bucket").agg(F.max(F.struct("fame", (-F.col("node")).alias("node"), "n")).alias("c"))
-    centres = centres.select("bucket", (-F.col("c.node")).alias("centre"), F.col("c.n").alias("centre_n"))
-    placed = materialize(spots.join(centres, "bucket"))
-    star = placed.where("node <> centre").select(F.col("centre").alias("a"), F.col("node").alias("b")).distinct()
+    centres = spots.join(fame, "node").groupBy("bucket").agg((-F.max(F.struct("fame", (-F.col("node")).alias("node")))["node"]).alias("centre"))
+    star = spots.join(centres, "bucket").where("node <> centre").select(F.col("centre").alias("a"), F.col("node").alias("b")).distinct()
     wanted = spots.select("node", F.col("node").alias("doc_id")).distinct()
-    named_texts = docs.where("doc_id IS NOT NULL").select("doc_id", "text").join(wanted, "doc_id").select("node", "text")
-    repeats = _repeats(named)  # then a node may have several texts, and differences aren't of one
-    texts = materialize(named_texts.distinct() if repeats else named_texts)
+    texts = materialize(docs.where("doc_id IS NOT NULL").select("doc_id", "text").join(wanted, "doc_id").select("node", "text"))
     tested = materialize(compare(star, texts, shingle, percent))
     found = tested.where("alike").select("a", "b")
-    roots = components(found)
-    # What the stars left apart: of a bucket with several components, pairs of a member outside the largest with any other.
-    placed = placed.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    shares = placed.groupBy("bucket", "root").agg(F.count("*").alias("k"))
-    main = shares.groupBy("bucket").agg(F.max(F.struct("k", "root"))["root"].alias("main"), F.count("*").alias("roots"), F.sum("k").alias("members")).where("roots > 1 AND members > 2").select("bucket", "main")
-    own = placed.where("node <> centre").drop("members").join(main, "bucket")
-    own = own.join(tested.select(F.col("a").alias("centre"), F.col("b").alias("node"), "missing", "extra", "maps"), ["centre", "node"])
-    own = materialize(own.select("bucket", "centre_n", "main", "node", "n", "root", "missing", "extra", *[F.col("maps")[i].alias(str(i)) for i in range(2 * signatures.MAP_WORDS)]))
-    columns = ["node", "n", "root", "missing", "extra", *map(str, range(2 * signatures.MAP_WORDS))]
-    one = own.where("root <> main").select("bucket", "centre_n", *[F.col(c).alias(f"x_{c}") for c in columns])
-    two = own.select("bucket", *[F.col(c).alias(f"y_{c}") for c in columns])
-    rest = one.join(two, "bucket").where("x_root <> y_root").where(similar_size(percent))
-    rest = rest if repeats else rest.where(could_link(percent))
-    rest = rest.select(F.least("x_node", "y_node").alias("a"), F.greatest("x_node", "y_node").alias("b")).distinct()
+    several = materialize(several_texts(named))
+    rest = remaining(tested, components(found), several, percent)
     more = compare(rest, texts, shingle, percent).where("alike").select("a", "b")
-    # Texts of one id are one document.
-    by_id = named.where("bands IS NOT NULL").join(nodes, "sid").select("doc_id", "node").distinct()
-    several = by_id.groupBy("doc_id").agg(F.min("node").alias("a"), F.count("*").alias("k")).where("k > 1")
-    by_id = by_id.join(several, "doc_id").where("node <> a").select("a", F.col("node").alias("b"))
-    roots = components(found.unionByName(more).unionByName(by_id))
-    filled = F.when(F.col("bands").isNotNull(), F.col("sid"))  # empty sets are nodes of their own
-    rooted = nodes.join(roots, "node", "left").select(F.col("sid").alias("own"), F.coalesce("root", "node").alias("root"))
-    out = signed.withColumn("own", F.when(F.col("doc_id").isNotNull(), filled)).join(rooted, "own", "left")
-    component = F.coalesce("root", "doc_id")
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"))
-
-
-def _repeats(named: DataFrame) -> bool:
-    return named.groupBy("doc_id").count().where("count > 1").limit(1).count() > 0
+    roots = components(found.unionByName(more).unionByName(links_of_ids(named, several, nodes)))
+    rooted = nodes.join(roots, "node", "left").select("sid", F.coalesce("root", "node").alias("root"))
+    # Rows with an id and a set take their set's root; sets that very many rows have are met by broadcast.
+    filled = met(named.where("bands IS NOT NULL").select("doc_id", "n_shingles", "sid"), rooted, hot_keys(nodes, "rows"), ["sid"], F.xxhash64("doc_id"))
+    bare = signed.where("doc_id IS NULL OR bands IS NULL").select("doc_id", "n_shingles", F.col("doc_id").alias("root"))
+    out = filled.select("doc_id", "n_shingles", "root").unionByName(bare)
+    return out.select("doc_id", "n_shingles", F.col("root").alias("component_id"), F.coalesce(F.col("root") == F.col("doc_id"), F.lit(True)).alias("kept"))
+
+
+def several_texts(named: DataFrame) -> DataFrame:
+    """The ids whose rows have different sets: doc_id."""
+    name = F.xxhash64("sid")
+    return named.where("bands IS NOT NULL").groupBy("doc_id").agg(F.min(name).alias("low"), F.max(name).alias("high")).where("low <> high").select("doc_id")
+
+
+def links_of_ids(named: DataFrame, several: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Links between the nodes of one id's texts, which are one document."""
+    by_id = named.where("bands IS NOT NULL").join(several, "doc_id", "left_semi").select("doc_id", "sid").distinct().join(nodes.select("sid", "node"), "sid")
+    least = by_id.groupBy("doc_id").agg(F.min("node").alias("a"))
+    return by_id.join(least, "doc_id").where("node <> a").select("a", F.col("node").alias("b")).distinct()
+
+
+def remaining(tested: DataFrame, roots: DataFrame, several: DataFrame, percent: int) -> DataFrame:
+    """What the stars left apart: pairs (a, b) of one centre's members in different components that may be alike.
+
+    One of a pair lies outside the centre's largest component. What the bitmaps
+    say isn't used for nodes with several texts (``several``), which they don't tell apart.
+    """
+    mixed = several.select(F.col("doc_id").alias("mixed"))
+    members = tested.select(F.col("a").alias("centre"), F.col("b").alias("node"), F.col("size_a").alias("centre_n"), F.col("size_b").alias("n"), "missing", "extra", "maps")
+    members = members.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    shares = members.groupBy("centre", "root").agg(F.count("*").alias("k"))
+    groups = shares.groupBy("centre").agg(F.max(F.struct("k", "root")).alias("most"), F.count("*").alias("roots"), F.sum("k").alias("all")).where("roots > 1")
+    blocks = F.ceil((F.col("all") - F.col("most.k")) * F.col("all") / BLOCK_PAIRS)
+    groups = groups.select("centre", F.col("most.root").alias("main"), blocks.cast("int").alias("blocks"))
+    unsure = F.col("mixed").isNotNull()
+    groups = groups.join(mixed, F.col("centre") == F.col("mixed"), "left").withColumn("centre_unsure", unsure).drop("mixed")
+    own = members.join(groups, "centre").join(mixed, F.col("node") == F.col("mixed"), "left").withColumn("unsure", unsure | F.col("centre_unsure"))
+    maps = [F.col("maps")[i].alias(str(i)) for i in range(2 * signatures.MAP_WORDS)]
+    own = materialize(own.select("centre", "centre_n", "main", "blocks", "node", "n", "root", "missing", "extra", "unsure", *maps))
+    columns = ["node", "n", "root", "missing", "extra", "unsure", *map(str, range(2 * signatures.MAP_WORDS))]
+    one = own.where("root <> main").select("centre", "centre_n", "main", F.pmod(F.xxhash64("node"), "blocks").cast("int").alias("block"), *[F.col(c).alias(f"x_{c}") for c in columns])
+    two = own.select("centre", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), *[F.col(c).alias(f"y_{c}") for c in columns])
+    # Two outside the largest component would meet twice.
+    once = (F.col("y_root") == F.col("main")) | (F.col("x_node") < F.col("y_node"))
+    rest = one.join(two, ["centre", "block"]).where(F.col("x_root") != F.col("y_root")).where(once)
+    rest = rest.where(F.col("x_unsure") | F.col("y_unsure") | (similar_size(percent) & could_link(percent)))
+    return rest.select(F.least("x_node", "y_node").alias("a"), F.greatest("x_node", "y_node").alias("b")).distinct()
 
 
 def keep(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:

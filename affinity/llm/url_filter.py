@@ -30,7 +30,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from affinity.llm.common import hot_keys, let, materialize, spread_join
+from affinity.llm.common import hot_keys, let, materialize, met
 
 #: (verdict, host, path); a rule fits its host and subdomains where the url's path starts with the rule's.
 RULES = [("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("allow", "net", "/de/"), ("block", "example.net", "/de/8"), ("block", "org", "/es/")]
@@ -125,7 +125,7 @@ def judge(pages: DataFrame, rules=RULES, rounds: int = ROUNDS) -> DataFrame:
     pages_of = known.groupBy("host").agg(F.count("*").alias("n"))
     # A row for every host that a page has, so that pages and hosts can be joined inwardly.
     hosts = materialize(pages_of.join(hosts, "host", "left"))
-    judged = spread_join(known.select("page_id", "host", "path", "r"), hosts.drop("n"), hot_keys(hosts, "n"), ["host"])
+    judged = met(known.select("page_id", "host", "path", "r"), hosts.drop("n"), hot_keys(hosts, "n"), ["host"], F.xxhash64("page_id", "path"))
     own = F.when(F.coalesce("distrust", F.lit(0)) > F.coalesce("trust", F.lit(0)), "block").otherwise("allow")
     return judged.select(
         "page_id", "host", "path", F.col("r.rule").alias("rule"), F.coalesce(F.col("r.verdict"), own).alias("verdict"),
