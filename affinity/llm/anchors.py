@@ -4,7 +4,8 @@ A window is ``k`` consecutive symbols of one text. Its anchor is the run of
 ``g`` symbols in it with the least hash, the leftmost of equals. Consecutive
 windows with the same anchor are one segment. Equal windows have equal anchors
 at the same place in them, whatever stands around, so repeats are found among
-the segments of one anchor; there are far fewer segments than windows.
+the segments of one anchor; there are far fewer segments than windows. Equal
+segments that follow one another, as in periodic text, are one row.
 """
 
 from __future__ import annotations
@@ -74,8 +75,13 @@ def least(values: np.ndarray, w: int) -> np.ndarray:
     return np.minimum(values[: len(values) - (w - size)], values[w - size :]) if w > size else values
 
 
+def cut(symbols: np.ndarray, k: int, most: int = 1 << 20) -> list[tuple[int, np.ndarray]]:
+    """A text in parts of so many windows at most, each with its place; the parts overlap so that no window is lost."""
+    return [(at, symbols[at : at + most + k - 1]) for at in range(0, max(1, len(symbols) - k + 1), most)]
+
+
 class Segments:
-    """The segments of several texts: for each its text, anchor, start, windows, anchor offset and content hash."""
+    """The segments of several texts: for each its text, anchor, start, windows, anchor offset, content hash and how often it follows itself."""
 
     def __init__(self, texts: list[np.ndarray], kind):
         k, g = kind.k, kind.g
@@ -84,14 +90,14 @@ class Segments:
         symbols = np.concatenate(texts) if texts else np.zeros(0, np.uint8)
         n = len(symbols) - k + 1
         empty = np.zeros(0, np.int64)
-        self.text = self.start = self.n = self.offset = empty
+        self.text = self.start = self.n = self.offset = self.times = empty
         self.anchor = self.content = empty.astype(np.uint64)
         if n <= 0:
             return
         owner = np.repeat(np.arange(len(texts)), sizes)
         inside = owner[:n] == owner[k - 1 :]
         if len(symbols) > int(LOW):
-            raise ValueError("a text of more than 2**28 symbols")
+            raise ValueError("parts of texts of more than 2**28 symbols in all")
         hashes = kind.gram_hashes(symbols)
         keys = (hashes & ~LOW) | np.arange(len(hashes), dtype=np.uint64)
         at = (least(keys, k - g + 1) & LOW).astype(np.int64)[:n]
@@ -108,11 +114,17 @@ class Segments:
         np.multiply.accumulate(places, out=places)
         np.multiply.accumulate(inverse, out=inverse)
         sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(kind.values(symbols) * places[:-1], dtype=np.uint64)])
+        content = mix((sums[first + count + k - 1] - sums[first]) * inverse[first] + count.astype(np.uint64) * K2 + (at[first] - first).astype(np.uint64))
+        # Runs of equal segments, each right behind the one before it.
+        run = np.ones(len(first), bool)
+        run[1:] = (content[1:] != content[:-1]) | (owner[first[1:]] != owner[first[:-1]]) | (first[1:] != first[:-1] + count[:-1]) | (count[1:] != count[:-1])
+        head = np.flatnonzero(run)
+        self.times = np.diff(np.append(head, len(first)))
+        first = first[head]
         self.text = owner[first]
         self.start = first - begin[self.text]
-        self.n, self.offset = count, at[first] - first
-        self.anchor = hashes[at[first]]
-        self.content = mix((sums[first + count + k - 1] - sums[first]) * inverse[first] + count.astype(np.uint64) * K2 + self.offset.astype(np.uint64))
+        self.n, self.offset = count[head], at[first] - first
+        self.anchor, self.content = hashes[at[first]], content[head]
 
 
 def earliest(group: np.ndarray, key_a: np.ndarray, key_b: np.ndarray) -> np.ndarray:

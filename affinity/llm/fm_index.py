@@ -11,19 +11,21 @@ import numpy as np
 
 
 class Bits:
-    """A bit vector with rank: packed words of 64 bits and the ones before each."""
+    """A bit vector with rank: words of 64 bits, 16 bits for each word and 32 for every eight of them."""
 
     def __init__(self, bits: np.ndarray):
-        padded = np.zeros(-(-(len(bits) + 1) // 64) * 64, np.uint8)
+        padded = np.zeros(-(-(len(bits) + 1) // 512) * 512, np.uint8)
         padded[: len(bits)] = bits
         self.words = np.packbits(padded, bitorder="little").view(np.uint64)
-        self.before = np.concatenate([[0], np.cumsum(np.bitwise_count(self.words).astype(np.int64))])
+        counts = np.bitwise_count(self.words).astype(np.uint32).reshape(-1, 8)
+        self.blocks = np.concatenate([[0], np.cumsum(counts.sum(axis=1))[:-1]]).astype(np.uint32)
+        self.inside = (np.cumsum(counts, axis=1) - counts).astype(np.uint16).ravel()
 
     def ones(self, at: np.ndarray) -> np.ndarray:
         """How many ones lie before each place."""
         word = at >> 6
         mask = (np.uint64(1) << (at & 63).astype(np.uint64)) - np.uint64(1)
-        return self.before[word] + np.bitwise_count(self.words[word] & mask)
+        return self.blocks[word >> 3].astype(np.int64) + self.inside[word] + np.bitwise_count(self.words[word] & mask)
 
 
 class WaveletTree:
@@ -47,14 +49,18 @@ class WaveletTree:
 
 
 class FMIndex:
-    """Index of sequences, whose suffixes are ordered by their first ``depth`` symbols at least.
+    """Index of sequences: the wavelet tree of their Burrows-Wheeler transform, and each window's least label.
 
-    ``symbols`` are numbers from 1 on; each sequence ends with a 0.
+    ``symbols`` are numbers from 1 on; each sequence ends with a 0. Suffixes are
+    ordered by their first ``depth`` symbols, which is all that backward search
+    over ``depth`` symbols needs. The suffix array isn't kept: a bit vector marks
+    where suffixes differ in these symbols, and of each group only the least of
+    its ``labels`` (one for each symbol) is kept.
     """
 
-    def __init__(self, symbols: np.ndarray, depth: int):
-        self.suffixes = self.sort(symbols, depth)
-        last = symbols[self.suffixes - 1]  # of suffix 0 it is the final 0
+    def __init__(self, symbols: np.ndarray, depth: int, labels: np.ndarray):
+        suffixes, new = self.sort(symbols, depth)
+        last = symbols[suffixes - 1]  # of suffix 0 it is the final 0
         self.bits = max(1, int(symbols.max(initial=0)).bit_length())
         self.tree = WaveletTree(last, self.bits)
         # Where each symbol's run starts on the last level, and where its suffixes start.
@@ -63,22 +69,29 @@ class FMIndex:
         self.first = np.concatenate([[0], np.cumsum(counts)])
         every = np.arange(1 << self.bits)
         self.origin = self.tree.rank(every, np.zeros(len(every), np.int64))
+        self.heads = Bits(new.astype(np.uint8))
+        self.least = np.minimum.reduceat(labels[suffixes], np.flatnonzero(new))
 
     @staticmethod
-    def sort(symbols: np.ndarray, depth: int) -> np.ndarray:
-        """Suffixes by their first ``depth`` symbols, by doubling; a suffix is compared past its sequence's end too."""
-        rank = symbols.astype(np.int64)
+    def sort(symbols: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
+        """Suffixes by their first ``depth`` symbols, by doubling, and where these change; compared past a sequence's end too."""
+        rank = np.unique(symbols, return_inverse=True)[1].astype(np.int64)
         order, size = np.argsort(rank, kind="stable"), 1
         while size < depth:
+            shift = min(size, depth - size)
             after = np.zeros(len(rank), np.int64)
-            after[:-size] = rank[size:] + 1
+            after[:-shift] = rank[shift:] + 1
             key = rank * (int(after.max(initial=0)) + 1) + after
             order = np.argsort(key, kind="stable")
             own = key[order]
             rank = np.empty(len(key), np.int64)
             rank[order] = np.cumsum(np.append(0, own[1:] != own[:-1]))
-            size *= 2
-        return order
+            size += shift
+        return order, np.append(True, np.diff(rank[order]) != 0)
+
+    def least_label(self, low: np.ndarray) -> np.ndarray:
+        """The least label of the suffixes that agree with the one at each place in ``depth`` symbols."""
+        return self.least[self.heads.ones(low + 1) - 1]
 
     def step(self, symbol: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Backward search: the suffixes that start with the symbol and go on as those from low to high."""
@@ -103,23 +116,3 @@ class FMIndex:
             low[live], high[live] = a[go], b[go]
             found[live] = k
         return found, low, high
-
-
-class RangeLeast:
-    """The least of any range, from tables of ranges of doubling length."""
-
-    def __init__(self, values: np.ndarray):
-        self.tables, size = [values], 1
-        while size * 2 <= len(values):
-            last = self.tables[-1]
-            self.tables.append(np.minimum(last[:-size], last[size:]))
-            size *= 2
-
-    def least(self, low: np.ndarray, high: np.ndarray) -> np.ndarray:
-        """The least value of each non-empty range."""
-        level = np.frexp((high - low).astype(np.float64))[1] - 1
-        out = np.empty(len(low), self.tables[0].dtype)
-        for k, table in enumerate(self.tables):
-            own = level == k
-            out[own] = np.minimum(table[low[own]], table[high[own] - (1 << k)])
-        return out

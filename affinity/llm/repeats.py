@@ -5,17 +5,23 @@ and in the index that resolves what segments of one anchor have in common.
 
 1. Every text is cut into anchored segments (see ``anchors``). Anchors that
    occur once can't lie in a repeat; the others' segments go on.
-2. Equal segments are one class, with its first occurrence. Where all segments
-   of an anchor are equal, their first occurrence decides for each.
-3. Where they differ, the classes' texts (one for each class) are dealt into
-   shards by anchor, and each shard's index finds for every window of a class
-   its first occurrence. Anchors with very many classes don't fit one shard;
-   their windows are aggregated one by one over the cluster instead.
+2. Equal segments are one class, with its first occurrence.
+3. The classes' texts (one for each class) are dealt into shards by anchor, and
+   each shard's index finds for every window of a class its first occurrence.
+   An anchor of more than ``MANY_CLASSES`` classes doesn't fit one shard; its
+   windows are aggregated one by one over the cluster instead, as exactly.
 4. Every occurrence of a segment compares itself with these; what starts
    earlier elsewhere is removed from its document.
 
-Rows without an id keep all of their text and aren't compared. Ids are unique
-up to rows that repeat an id and its text, which all get the same result.
+Anchors and classes with over a thousandth of all segments (fewer than a
+thousand each) are joined by broadcast, all others by shuffle. Texts are
+shuffled by document, the same way at every size.
+
+Rows without an id keep all of their text and aren't compared. Rows that repeat
+an id are one document for the order of occurrences ("earlier" is the smaller id,
+then the earlier start in any of its rows), but each row loses what its own text
+repeats; different texts of one id are told apart by 18 bits of a hash. Texts of
+any length are cut in overlapping parts.
 """
 
 from __future__ import annotations
@@ -28,72 +34,113 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from affinity.llm import anchors, signatures
-from affinity.llm.common import materialize, text_slices
+from affinity.llm.common import hot_keys, let, materialize, met, running, text_slices
 
-SEGMENT = "doc_id long, anchor long, content long, start int, n int, offset int"
+#: ``place`` packs start (31 bits), n (7), offset (7) and the salt of the text (18).
+SALT_BITS, BITS = 18, 7
+SEGMENT = "doc_id long, anchor long, content long, place long, times int"
 CLASS = "anchor long, content long, lo int, hi int, doc long, at int"
-#: Bytes up to which a table is sent to all executors; a larger one is joined by shuffle.
-BROADCAST_BYTES = 48 << 20
-#: Classes of an anchor from which its windows are aggregated one by one; classes in a shard.
-MANY_CLASSES, SHARD_CLASSES = 4000, 20_000
-#: Bytes of an id in a broadcast table.
-ID_BYTES = 24
+#: Classes of an anchor from which its windows are aggregated one by one.
+MANY_CLASSES = 4000
+#: Bytes of classes in a shard.
+SHARD_BYTES = 4 << 20
 
 
 def _column(batch: pa.RecordBatch, name: str) -> pa.Array:
     return batch.column(batch.schema.get_field_index(name))
 
 
+def salt() -> Column:
+    """What tells texts of one id apart."""
+    return F.xxhash64("text").bitwiseAND(F.lit((1 << SALT_BITS) - 1)).cast("int")
+
+
 def segments(docs: DataFrame, kind: type) -> DataFrame:
-    """The anchored segments of all documents with an id."""
+    """The anchored segments of all documents with an id; equal ones that follow one another are one row of several ``times``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         symbols = kind()
         for batch in batches:
             for part in text_slices(batch, 1 << 20):
-                found = anchors.Segments([symbols.read(t) for t in _column(part, "text").to_pylist()], symbols)
-                ints = [pa.array(x.astype(np.int32)) for x in (found.start, found.n, found.offset)]
-                yield pa.RecordBatch.from_arrays(
-                    [_column(part, "doc_id").take(pa.array(found.text)), pa.array(found.anchor.view(np.int64)), pa.array(found.content.view(np.int64)), *ints],
-                    ["doc_id", "anchor", "content", "start", "n", "offset"],
-                )
-
-    return docs.where("doc_id IS NOT NULL").select("doc_id", "text").mapInArrow(run, SEGMENT)
-
-
-def small_join(docs: DataFrame, other: DataFrame, size: Column, how: str) -> DataFrame:
-    """Join by doc_id: ``other`` is broadcast if its rows' summed ``size`` is small, else both are shuffled."""
-    total = other.agg(F.coalesce(F.sum(size), F.lit(0))).first()[0]
-    return docs.join(F.broadcast(other) if total <= BROADCAST_BYTES else other, "doc_id", how)
+                row, begin, parts = [], [], []
+                for k, text in enumerate(_column(part, "text").to_pylist()):
+                    for at, own in anchors.cut(symbols.read(text), symbols.k):
+                        row.append(k)
+                        begin.append(at)
+                        parts.append(own)
+                salts = np.array(_column(part, "salt").to_pylist(), np.int64)
+                # Parts of a long text one by one, so that memory is bounded.
+                for few in _runs([len(x) for x in parts], 1 << 20):
+                    found = anchors.Segments([parts[k] for k in few], symbols)
+                    if len(found.text):
+                        where = np.array([row[k] for k in few])[found.text]
+                        start = found.start + np.array([begin[k] for k in few])[found.text]
+                        place = ((start << BITS | found.n) << BITS | found.offset) << SALT_BITS | salts[where]
+                        yield pa.RecordBatch.from_arrays(
+                            [_column(part, "doc_id").take(pa.array(where)), pa.array(found.anchor.view(np.int64)), pa.array(found.content.view(np.int64)), pa.array(place), pa.array(found.times.astype(np.int32))],
+                            ["doc_id", "anchor", "content", "place", "times"],
+                        )
+
+    return docs.where("doc_id IS NOT NULL").select("doc_id", "text", salt().alias("salt")).mapInArrow(run, SEGMENT)
+
+
+def _runs(sizes: list[int], most: int) -> Iterator[range]:
+    """Neighbours of at most so much in all, or one of more."""
+    first = total = 0
+    for k, n in enumerate(sizes):
+        if k > first and total + n > most:
+            yield range(first, k)
+            first, total = k, 0
+        total += n
+    if sizes:
+        yield range(first, len(sizes))
+
+
+def unpacked(place: Column) -> list[Column]:
+    """start, n, offset and salt of packed places."""
+    low = lambda c, bits: c.bitwiseAND(F.lit((1 << bits) - 1)).cast("int")
+    shift = lambda bits: F.shiftright(place, bits)
+    return [
+        shift(2 * BITS + SALT_BITS).cast("int").alias("start"), low(shift(BITS + SALT_BITS), BITS).alias("n"),
+        low(shift(SALT_BITS), BITS).alias("offset"), low(place, SALT_BITS).alias("salt"),
+    ]
 
 
 def class_texts(docs: DataFrame, classes: DataFrame, kind: type) -> DataFrame:
     """The symbols of each class, from its first occurrence: the class's columns and ``symbols`` (binary)."""
-    wanted = classes.groupBy(F.col("first.doc_id").alias("doc_id")).agg(F.collect_list(F.struct("anchor", "content", "k", F.col("first.at").alias("at"), F.col("first.n").alias("n"), F.col("first.offset").alias("offset"))).alias("own"))
-    wanted = materialize(wanted)
-    # Texts that hold no class aren't shuffled: ids are 8 bytes each, so millions of them make a small table.
-    texts = small_join(docs.select("doc_id", "text"), wanted.select("doc_id"), F.lit(ID_BYTES), "left_semi")
-    rows = texts.join(wanted, "doc_id")
-    names = ["anchor", "content", "k", "at", "n", "offset"]
+    first = classes.select("anchor", "content", "k", F.col("first.doc_id").alias("doc"), *unpacked(F.col("first.place")))
+    own = F.collect_list(F.struct("anchor", "content", "k", "start", "n", "offset")).alias("own")
+    wanted = first.groupBy("doc", "salt").agg(own)
+    rows = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").alias("doc"), salt().alias("salt"), "text").join(wanted, ["doc", "salt"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         symbols = kind()
         for batch in batches:
             for part in text_slices(batch):
-                out = {x: [] for x in ["doc", *names, "symbols"]}
-                for doc, text, own in zip(_column(part, "doc_id").to_pylist(), _column(part, "text").to_pylist(), _column(part, "own").to_pylist(), strict=True):
+                names = ["anchor", "content", "k", "n", "offset"]
+                out = {x: [] for x in ["doc", *names, "at", "symbols"]}
+                for doc, text, own in zip(_column(part, "doc").to_pylist(), _column(part, "text").to_pylist(), _column(part, "own").to_pylist(), strict=True):
                     read = symbols.read(text)
                     for c in own:
-                        start = c["at"] - c["offset"]
-                        for x in names:
-                            out[x].append(c[x])
-                        out["doc"].append(doc)
-                        out["symbols"].append(read[start : start + c["n"] + symbols.k - 1].tobytes())
+                        taken = read[c["start"] : c["start"] + c["n"] + symbols.k - 1]
+                        if len(taken) == c["n"] + symbols.k - 1:  # else another text of the same id and salt
+                            for x in names:
+                                out[x].append(c[x])
+                            out["doc"].append(doc)
+                            out["at"].append(c["start"] + c["offset"])
+                            out["symbols"].append(taken.tobytes())
                 kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary()]
                 yield pa.RecordBatch.from_arrays([pa.array(out[x], t) for x, t in zip(out, kinds, strict=True)], list(out))
 
-    schema = "doc long, anchor long, content long, k long, at int, n int, offset int, symbols binary"
-    return rows.select("doc_id", "text", "own").mapInArrow(run, schema)
+    schema = "doc long, anchor long, content long, k long, n int, offset int, at int, symbols binary"
+    return rows.select("doc", "text", "own").mapInArrow(run, schema)
+
+
+def once(table: pa.Table) -> pa.Table:
+    """The classes of a shard, each once: rows that repeat an id and its text bring theirs again."""
+    keys = np.stack([table[x].to_numpy() for x in ("anchor", "content")], axis=1)
+    _, first = np.unique(keys, axis=0, return_index=True)
+    return table if len(first) == len(keys) else table.take(pa.array(np.sort(first)))
 
 
 def one_by_one(texts: DataFrame, kind: type) -> DataFrame:
@@ -102,7 +149,7 @@ def one_by_one(texts: DataFrame, kind: type) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         symbols = kind()
         for batch in batches:
-            for row in batch.slice(0).to_pylist():
+            for row in batch.to_pylist():
                 read = np.frombuffer(row["symbols"], symbols.read("").dtype)
                 values = np.lib.stride_tricks.sliding_window_view(symbols.values(read), symbols.k)
                 hashes = np.zeros(len(values), np.uint64)
@@ -116,55 +163,65 @@ def one_by_one(texts: DataFrame, kind: type) -> DataFrame:
                 )
 
     each = materialize(texts.mapInArrow(run, "anchor long, content long, doc long, at int, place int, window long"))
-    best = each.groupBy("anchor", "place", "window").agg(F.min(F.struct("doc", "at")).alias("best"))
-    found = each.select("anchor", "content", "place", "window").join(best, ["anchor", "place", "window"])
-    return found.select("anchor", "content", F.col("place").alias("lo"), F.col("place").alias("hi"), "best.doc", "best.at")
+    keys = ["anchor", "place", "window"]
+    best = materialize(each.groupBy(*keys).agg(F.min(F.struct("doc", "at")).alias("best"), F.count("*").alias("rows")))
+    found = met(each.select("anchor", "content", "place", "window"), best.select(*keys, "best"), hot_keys(best, "rows"), keys, F.col("content"))
+    return found.select("anchor", "content", F.col("place").alias("lo"), F.col("place").alias("hi"), "best.doc", "best.at").dropDuplicates(["anchor", "content", "lo"])
 
 
-def first_occurrences(docs: DataFrame, kind: type, resolve: Callable, many: int = MANY_CLASSES) -> tuple[DataFrame, DataFrame]:
-    """The segments whose anchors repeat, and for each class runs of windows with their first occurrence.
+def first_occurrences(docs: DataFrame, kind: type, resolve: Callable, many: int = MANY_CLASSES) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The segments whose anchors repeat, the classes with how many segments they have, and for each class runs of windows with their first occurrence.
 
     A run (lo, hi, doc, at): the windows that start lo to hi symbols before the
     anchor occur first where the anchor of document ``doc`` is at ``at``.
     ``resolve(table, kind)`` finds these for a shard's classes.
     """
     own = segments(docs, kind)
-    repeated = own.groupBy("anchor").agg(F.count("*").alias("k")).where("k > 1").select("anchor")
-    own = materialize(own.join(repeated, "anchor"))
-    first = F.min(F.struct("doc_id", (F.col("start") + F.col("offset")).alias("at"), "n", "offset")).alias("first")
-    classes = own.groupBy("anchor", "content").agg(first)
-    kinds = classes.groupBy("anchor").agg(F.count("*").alias("k"))
-    classes = materialize(classes.join(kinds, "anchor"))
-    last = F.lit(1 << 30)
-    alone = classes.where("k = 1").select("anchor", "content", F.lit(0).alias("lo"), last.alias("hi"), F.col("first.doc_id").alias("doc"), "first.at")
-    texts = materialize(class_texts(docs, classes.where("k > 1"), kind))
-    shards = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), texts.count() // SHARD_CLASSES)
+    repeated = materialize(own.groupBy("anchor").agg(F.sum("times").alias("rows")).where("rows > 1"))
+    own = materialize(met(own, repeated.select("anchor"), hot_keys(repeated, "rows"), ["anchor"], F.col("content")))
+    first = F.min(F.struct("doc_id", (F.col("start") + F.col("offset")).alias("at"), "place")).alias("first")
+    classes = materialize(own.select("*", *unpacked(F.col("place"))).groupBy("anchor", "content").agg(first, F.count("*").alias("rows")))
+    kinds = materialize(classes.groupBy("anchor").agg(F.count("*").alias("k")))
+    several = met(classes.select("anchor", "content", "first"), kinds, hot_keys(kinds, "k"), ["anchor"], F.col("content"))
+    texts = materialize(class_texts(docs, several, kind))
+    size = texts.agg(F.coalesce(F.sum(F.length("symbols")), F.lit(0))).first()[0]
+    shards = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), size // SHARD_BYTES)
     dealt = texts.where(F.col("k") <= many).withColumn("shard", F.pmod("anchor", F.lit(shards)))
-    several = dealt.groupBy("shard").applyInArrow(lambda table: resolve(table, kind()), CLASS)
-    return own, alone.unionByName(several).unionByName(one_by_one(texts.where(F.col("k") > many), kind))
+    indexed = dealt.groupBy("shard").applyInArrow(lambda table: resolve(table, kind()), CLASS)
+    return own, classes, materialize(indexed.unionByName(one_by_one(texts.where(F.col("k") > many), kind)))
 
 
 def removals(docs: DataFrame, kind: type, resolve: Callable, earlier: Callable[[Column, Column, Column, Column], Column], many: int = MANY_CLASSES) -> DataFrame:
-    """The symbols to remove from each document that loses some: doc_id, ranges (start, end exclusive)."""
-    own, runs = first_occurrences(docs, kind, resolve, many)
-    at, k = F.col("start") + F.col("offset"), kind.k
-    hit = own.join(runs.withColumnRenamed("at", "best_at"), ["anchor", "content"]).where(earlier(F.col("doc"), F.col("best_at"), F.col("doc_id"), at))
-    a = F.greatest(F.col("start"), at - F.col("hi"))
-    b = F.least(F.col("start") + F.col("n") - 1, at - F.col("lo")) + k
-    ranges = hit.select("doc_id", a.alias("a"), b.alias("b")).where(F.col("b") - F.col("a") >= k).groupBy("doc_id").agg(F.array_sort(F.collect_set(F.struct("a", "b"))).alias("r"))
+    """The symbols to remove from each text that loses some: doc_id, salt, ranges (start, end exclusive)."""
+    own, classes, runs = first_occurrences(docs, kind, resolve, many)
+    keys, k = ["anchor", "content"], kind.k
+    hit = met(own, runs.withColumnRenamed("at", "best_at"), hot_keys(classes, "rows"), keys, F.xxhash64("doc_id", "place"))
+    hit = hit.select("doc_id", "times", "lo", "hi", "doc", "best_at", *unpacked(F.col("place")))
+    at = F.col("start") + F.col("offset")
+    # Of segments that follow themselves, the later ones may repeat the first.
+    gone = lambda shift: F.coalesce(earlier(F.col("doc"), F.col("best_at"), F.col("doc_id"), at + shift), F.lit(False))
+    first, later = gone(F.lit(0)), gone(F.col("n")) & (F.col("times") > 1)
+    a = F.greatest(F.col("start"), at - F.col("hi")) + F.when(first, 0).otherwise(F.col("n"))
+    b = F.least(F.col("start") + F.col("n") - 1, at - F.col("lo")) + k + (F.col("times") - 1) * F.col("n")
+    ranges = hit.where(first | later).select("doc_id", "salt", a.alias("a"), b.alias("b")).where(F.col("b") - F.col("a") >= k)
+    listed = ranges.groupBy("doc_id", "salt").agg(F.array_sort(F.collect_set(F.struct("a", "b"))).alias("r"))
+    return materialize(listed.select("doc_id", "salt", merged(F.col("r")).alias("ranges")))
+
+
+def merged(ranges: Column) -> Column:
+    """Sorted ranges (a, b), those that touch as one."""
 
-    def merge(done: Column, x: Column) -> Column:
-        last = F.try_element_at(done, F.lit(-1))
-        wider = F.struct(last["a"].alias("a"), F.greatest(last["b"], x["b"]).alias("b"))
-        return F.when(F.coalesce(last["b"] >= x["a"], F.lit(False)), F.array_append(F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0))), wider)).otherwise(F.array_append(done, x))
+    def joined(s: Column, reach: Column) -> Column:
+        heads = F.filter(F.transform(s, lambda x, i: F.when(F.coalesce(x["a"] > F.get(reach, i - 1), F.lit(True)), i)), lambda i: i.isNotNull())
+        ends = lambda h, j: F.get(reach, F.coalesce(F.get(h, j + 1), F.size(s)) - 1)
+        return let(heads, lambda h: F.transform(h, lambda i, j: F.struct(F.get(s, i)["a"].alias("a"), ends(h, j).alias("b"))))
 
-    empty = F.array().cast("array<struct<a:int,b:int>>")
-    return materialize(ranges.select("doc_id", F.aggregate("r", empty, merge).alias("ranges")))
+    return let(ranges, lambda s: let(running(F.transform(s, lambda x: x["b"]), lambda x, y: F.greatest(x, y)), lambda reach: joined(s, reach)))
 
 
 def without(docs: DataFrame, removed: DataFrame, function: Callable, schema: str) -> DataFrame:
-    """Apply ``function(doc_ids, texts, ranges)``, which gives record-batch columns, to every document."""
-    rows = small_join(docs.select("doc_id", "text"), removed, F.size("ranges") * 8 + 32, "left").select("doc_id", "text", "ranges")
+    """Apply ``function(texts, ranges)``, which gives record-batch columns, to every document."""
+    rows = docs.select("doc_id", "text", salt().alias("salt")).join(removed, ["doc_id", "salt"], "left").select("doc_id", "text", "ranges")
     names = [x.split()[0] for x in schema.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

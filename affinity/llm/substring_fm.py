@@ -1,12 +1,12 @@
 """Substring dedup over words: a compressed FM-index for each shard.
 
-Method: the classes of segments (see ``repeats``) of a shard are indexed by a
-compressed FM-index, a wavelet tree over their Burrows-Wheeler transform. The
-documents' segments are streamed through backward search, which gives matching
-statistics at every word; where these reach the threshold of 13 words, the
-suffixes of the interval name the documents that hold the window, and a
-range-minimum table over them its first document. Equal segments are indexed
-once: a shard is by content (anchor), so every copy of a window meets in one.
+Method: every repeated segment (see ``repeats``) is indexed once in the FM-index
+of its shard, a wavelet tree over the shard's Burrows-Wheeler transform. The
+segments are streamed through backward search, which gives matching statistics
+at every word; where these reach the threshold of 13 words, the interval's least
+document is the window's first. A shard is by content (anchor), so every copy of
+a window meets in one, and a segment that thousands of documents share is
+streamed once for all of them.
 
 A window is removed from all documents but the one of least id. Null and blank
 texts have no words; texts of fewer than 13 words lose none.
@@ -28,6 +28,7 @@ DIGEST = "doc_id long, n_words long, n_removed long, kept_sha256 string"
 def resolve(table: pa.Table, kind) -> pa.Table:
     """The first document of every window of a shard's classes, by backward search in the shard's index."""
     k = kind.k
+    table = repeats.once(table)
     n = np.array(table["n"].to_pylist(), np.int64)
     hashes = [np.frombuffer(x, np.uint64) for x in table["symbols"].to_pylist()]
     sizes = n + k - 1
@@ -37,16 +38,14 @@ def resolve(table: pa.Table, kind) -> pa.Table:
     spot = np.arange(len(owner)) + owner  # a 0 ends each class
     symbols = np.zeros(begin[-1], np.int64)
     symbols[spot] = numbers + 1
-    index = fm_index.FMIndex(symbols, k)
-    which = np.repeat(np.arange(len(n)), sizes + 1)
     docs = np.array(table["doc"].to_pylist(), np.int64)
-    least = fm_index.RangeLeast(docs[which[index.suffixes]])
+    index = fm_index.FMIndex(symbols, k, np.repeat(docs, sizes + 1))
     owner = np.repeat(np.arange(len(n)), n)
     step = np.arange(len(owner)) - np.repeat(np.cumsum(n) - n, n)
-    found, low, high = index.search(symbols, begin[owner] + step + k, k)
+    found, low, _ = index.search(symbols, begin[owner] + step + k, k)
     best = np.full(len(owner), np.iinfo(np.int64).max)
     long_enough = found >= k
-    best[long_enough] = least.least(low[long_enough], high[long_enough])
+    best[long_enough] = index.least_label(low[long_enough])
     where, first, last, doc = anchors.runs_of(best, owner, step)
     offset = np.array(table["offset"].to_pylist(), np.int64)[where]
     ints = [pa.array(x.astype(np.int32)) for x in (offset - last, offset - first)]

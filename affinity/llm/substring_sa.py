@@ -44,6 +44,7 @@ class Side:
 def resolve(table: pa.Table, kind) -> pa.Table:
     """The first occurrence of every window of a shard's classes, from their sorted suffixes."""
     k = kind.k
+    table = repeats.once(table)
     n, offset, at = (np.array(table[x].to_pylist(), np.int64) for x in ("n", "offset", "at"))
     docs = np.array(table["doc"].to_pylist(), np.int64)
     data = np.frombuffer(b"".join(table["symbols"].to_pylist()), np.uint8)

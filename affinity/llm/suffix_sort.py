@@ -1,15 +1,17 @@
 """Deep-shallow sorting of suffixes, on the workers; numpy and the standard library only.
 
-Shallow: multikey quicksort, eight bytes at a time and all groups at once, down
-to a fixed depth. Deep: the groups that are still tied have long common prefixes
-and are ordered by blind tries, which look at one byte for each branching.
+Shallow: multikey quicksort down to a fixed depth. Every open group is split in
+three by the byte that its middle suffix has at the group's depth: less, equal
+and greater; the equal ones go one byte deeper. All groups are split at once.
+Deep: the groups that are still tied have long common prefixes and are ordered
+by blind tries, which look at one byte for each branching.
 """
 
 from __future__ import annotations
 
 import numpy as np
 
-SHALLOW = 24
+SHALLOW = 32
 ALPHABET_END = -1
 
 
@@ -78,39 +80,54 @@ class BlindTrie:
         return out
 
 
+def multikey_quicksort(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, group: np.ndarray, most: int = SHALLOW) -> tuple[np.ndarray, list[tuple[int, int]]]:
+    """Suffixes ``data[starts:ends]`` in order within each group by ``most`` bytes, and the places of those still tied."""
+    order = np.argsort(group, kind="stable")
+    own = group[order]
+    first = np.flatnonzero(np.append(True, own[1:] != own[:-1])) if len(own) else np.zeros(0, np.int64)
+    size, depth = np.diff(np.append(first, len(own))), np.zeros(len(first), np.int64)
+    padded, tied = np.append(data, np.uint8(0)), []
+    while True:
+        deep = (depth >= most) & (size > 1)
+        tied += zip(first[deep].tolist(), (first + size)[deep].tolist(), strict=True)
+        go = (depth < most) & (size > 1)
+        first, size, depth = first[go], size[go], depth[go]
+        if not len(first):
+            return order, sorted(tied)
+        which = np.repeat(np.arange(len(first)), size)
+        live = np.arange(len(which)) - np.repeat(np.cumsum(size) - size, size) + first[which]
+        at = starts[order[live]] + depth[which]
+        # Past its end, a suffix has what sorts before all bytes.
+        byte = np.where(at < ends[order[live]], padded[np.minimum(at, len(data))].astype(np.int16), ALPHABET_END)
+        pivot = byte[np.cumsum(size) - size + size // 2]
+        key = which * 3 + 1 + np.sign(byte - pivot[which])
+        own = np.argsort(key, kind="stable")
+        order[live] = order[live][own]
+        size = np.bincount(key, minlength=3 * len(first))
+        start = np.repeat(first, 3) + (np.cumsum(size) - size) - np.repeat(np.cumsum(size.reshape(-1, 3).sum(axis=1)) - size.reshape(-1, 3).sum(axis=1), 3)
+        depth = np.repeat(depth, 3)
+        equal = np.tile([False, True, False], len(first))
+        depth[equal] += 1
+        ended = equal & (np.repeat(pivot, 3) == ALPHABET_END)
+        size = np.where(ended, 0, size)  # alike to the end of all
+        first = start
+
+
 def sort_suffixes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, group: np.ndarray) -> np.ndarray:
     """The order of suffixes ``data[starts:ends]`` within each group (groups in the order of their number)."""
-    order = np.argsort(group, kind="stable")
-    tie = group[order].astype(np.int64)
-    padded = np.concatenate([data, np.zeros(8, np.uint8)])
-    depth, open_ = 0, np.arange(len(order))
-    while depth < SHALLOW and len(open_):
-        at = starts[order[open_]] + depth
-        left = np.clip(ends[order[open_]] - at, 0, 8)
-        cells = padded[np.minimum(at, len(data))[:, None] + np.arange(8)].astype(np.uint16) + 1
-        cells[np.arange(8) >= left[:, None]] = 0  # past the end sorts before all bytes
-        own = np.lexsort((*cells.T[::-1], tie[open_]))
-        order[open_], cells = order[open_][own], cells[own]
-        same = (tie[open_][1:] == tie[open_][:-1]) & (cells[1:] == cells[:-1]).all(axis=1)
-        fresh = np.cumsum(np.append(True, ~same)) - 1
-        tie[open_] = tie[open_] * 0 + fresh + (tie.max() + 1)
-        many = np.bincount(fresh)[fresh] > 1
-        open_ = open_[many & (left[own] == 8)]
-        depth += 8
-    if len(open_):
+    order, tied = multikey_quicksort(data, starts, ends, group)
+    if tied:
         lookup = dict(zip(starts.tolist(), ends.tolist(), strict=True))
         text = data.tobytes()
-        cut = np.flatnonzero(np.append(True, tie[open_][1:] != tie[open_][:-1]))
-        for a, b in zip(cut, np.append(cut[1:], len(open_)), strict=True):
-            members = order[open_[a:b]]
+        for a, b in tied:
+            members = order[a:b]
             trie = BlindTrie(text, lookup)
-            own = starts[members]
             by_start: dict[int, list[int]] = {}
-            for m, s in zip(members.tolist(), own.tolist(), strict=True):
+            for m, s in zip(members.tolist(), starts[members].tolist(), strict=True):
                 by_start.setdefault(s, []).append(m)
             for s in by_start:
                 trie.insert(s)
-            order[open_[a:b]] = [m for s in trie.sorted() for m in by_start[s]]
+            order[a:b] = [m for s in trie.sorted() for m in by_start[s]]
     return order
 
 

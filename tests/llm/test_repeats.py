@@ -6,7 +6,7 @@ import random
 import numpy as np
 import pytest
 
-from affinity.llm import fm_index, substring_fm, substring_sa, suffix_sort
+from affinity.llm import anchors, fm_index, substring_fm, substring_sa, suffix_sort
 
 
 def brute_words(docs):
@@ -91,13 +91,60 @@ def test_suffix_sort():
     assert got == sorted(got)
 
 
+def test_multikey_quicksort():
+    """The shallow phase orders by so many bytes and names exactly the ties."""
+    rng = random.Random(8)
+    data = bytes(rng.choices(b"abc", k=500)) + b"aaaaaaaaab" * 20
+    starts = np.arange(len(data))
+    ends = np.full(len(data), len(data))
+    group = np.zeros(len(data), np.int64)
+    order, tied = suffix_sort.multikey_quicksort(np.frombuffer(data, np.uint8), starts, ends, group, 6)
+    cut = [data[s : s + 6] for s in order]
+    assert cut == sorted(cut)
+    same = [(a, b) for a, b in tied]
+    assert all(len({cut[k] for k in range(a, b)}) == 1 and b - a > 1 for a, b in same)
+    assert sum(b - a for a, b in same) == sum(n for n in (cut.count(x) for x in set(cut)) if n > 1)
+
+
 def test_fm_index():
     rng = np.random.default_rng(1)
     symbols = np.concatenate([np.append(rng.integers(1, 5, 200), 0) for _ in range(3)])
-    index = fm_index.FMIndex(symbols, 8)
+    labels = rng.permutation(len(symbols))
+    index = fm_index.FMIndex(symbols, 6, labels)
     ends = np.arange(1, len(symbols))
     found, low, high = index.search(symbols, ends, 6)
     text = symbols.tolist()
     for e, f, a, b in zip(ends.tolist(), found.tolist(), low.tolist(), high.tolist(), strict=True):
         want = [s for s in range(len(text)) if text[s : s + f] == text[e - f : e] and len(text[s : s + f]) == f]
-        assert sorted(index.suffixes[a:b].tolist()) == want
+        assert b - a == len(want)
+        if f == 6:
+            assert index.least_label(np.array([a]))[0] == min(labels[s] for s in want)
+
+
+def test_repeated_ids_with_other_texts(spark):
+    """Texts of one id are one document: earlier is the smaller id, or the earlier start in any of its texts."""
+    rng = random.Random(12)
+    text = lambda n: [f"w{rng.randrange(40)}" for _ in range(n)]
+    shared = text(30)
+    docs = [(1, text(10) + shared), (1, text(5) + shared + text(20)), (2, shared + text(10)), (2, shared + text(10)), (3, text(40)), (4, shared[3:])]
+    docs = [(i, " ".join(t)) for i, t in docs]
+    docs += [docs[2], docs[2], (1, None), (9, "z" * 5000), (9, "y" + "z" * 3000)]
+    frame = spark.createDataFrame([(i, t, 0, 0) for i, t in docs], "doc_id long, text string, salt int, ranges int")
+    assert sorted(map(tuple, substring_fm.digests(frame).collect()), key=str) == brute_words(docs)
+    assert sorted(map(tuple, substring_sa.digests(frame).collect()), key=str) == brute_bytes(docs)
+
+
+def test_periodic_text_makes_few_segments():
+    for kind, text, most in ((anchors.ByteSymbols, "x" * 200_000, 2), (anchors.ByteSymbols, "abcdefg" * 30_000, 12), (anchors.WordSymbols, "a b " * 50_000, 6)):
+        symbols = kind()
+        found = anchors.Segments([symbols.read(text)], symbols)
+        assert len(found.text) <= most
+        assert int((found.n * found.times).sum()) == len(symbols.read(text)) - kind.k + 1
+
+
+def test_long_text_is_cut_without_loss():
+    symbols = anchors.ByteSymbols()
+    read = symbols.read("".join(random.Random(3).choices("abcdef", k=5000)))
+    parts = anchors.cut(read, 100, 700)
+    assert sum(len(x) - 99 for _, x in parts) == 4901
+    assert all((read[a : a + len(x)] == x).all() for a, x in parts)
