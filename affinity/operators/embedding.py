@@ -65,10 +65,15 @@ def walks(edges: DataFrame, tagged: DataFrame, seed: int = 42, each: int = WALKS
     return nodes.mapInArrow(run, f"node {kind}, walk int, tokens array<string>")
 
 
-def skip_gram(corpus: DataFrame, seed: int = 42, size: int = DIMENSIONS, epochs: int = EPOCHS, partitions: int = 1) -> DataFrame:
-    """Skip-gram vectors of tokens: token, vector. One partition in a fixed order gives the same vectors each time."""
-    ordered = corpus.orderBy(F.xxhash64("node", "walk", F.lit(seed)), "node", "walk").select("tokens")
-    ordered = ordered.coalesce(1) if partitions == 1 else ordered
+def skip_gram(corpus: DataFrame, seed: int = 42, size: int = DIMENSIONS, epochs: int = EPOCHS, partitions: int | None = None) -> DataFrame:
+    """Skip-gram vectors of tokens: token, vector.
+
+    Trained on as many partitions as there are threads unless stated; walks are
+    dealt to them by hash. One partition in a fixed order gives the same vectors each time.
+    """
+    partitions = partitions or corpus.sparkSession.sparkContext.defaultParallelism
+    shuffled = F.xxhash64("node", "walk", F.lit(seed))
+    ordered = corpus.repartition(partitions, shuffled).sortWithinPartitions(shuffled, "node", "walk").select("tokens")
     model = Word2Vec(vectorSize=size, windowSize=WINDOW, minCount=1, maxIter=epochs, seed=seed, numPartitions=partitions, inputCol="tokens", outputCol="v").fit(ordered)
     return model.getVectors().select(F.col("word").alias("token"), vector_to_array("vector").alias("vector"))
 

@@ -2,47 +2,53 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from affinity.functions import vectors
-from affinity.operators import layers
+from affinity.operators import layers, order
 
 PASS_AUC = 0.7
 
 
 def holdout(edges: DataFrame, share: float = 0.1, seed: int = 42) -> DataFrame:
     """Adds ``held_out``: whether an edge falls into a share of all, by a hash of its ends and the seed; no sort, no count."""
-    draw = F.conv(F.substring(F.md5(F.concat_ws(":", F.col("src").cast("string"), F.col("dst").cast("string"), F.lit(str(seed))).cast("binary")), 1, 8), 16, 10).cast("long")
-    return edges.withColumn("held_out", draw < int(share * 2**32))
+    return edges.withColumn("held_out", drawn(F.col("src"), F.col("dst"), F.lit(seed)) < int(share * 2**32))
 
 
-def negatives(edges: DataFrame, nodes: DataFrame, per_node: int, seed: int = 42) -> DataFrame:
-    """Pairs of nodes without an edge, drawn by hash: src, dst.
+def drawn(*parts: Column) -> Column:
+    """A number of 32 bits that follows from its parts alone."""
+    key = F.concat_ws(":", *[p.cast("string") for p in parts])
+    return F.conv(F.substring(F.md5(key.cast("binary")), 1, 8), 16, 10).cast("long")
+
+
+def negatives(edges: DataFrame, nodes: DataFrame, per_node: int, seed: int = 42, most: Column | None = None) -> DataFrame:
+    """Pairs of nodes without an edge, drawn by hash: src, dst; exactly ``most`` if it is given and so many are drawn.
 
     Every node draws ``per_node`` of as many buckets as there are nodes, and
     every node lies in one of them, so a draw meets one other node on average;
     nothing is numbered or sorted.
     """
     n = nodes.agg(F.greatest(F.count("*"), F.lit(1)).alias("n")).scalar()
-    placed = nodes.select(F.col("node").alias("other"), F.pmod(F.xxhash64("node", F.lit("place"), F.lit(seed)), n).alias("bucket"))
+    placed = nodes.select(F.col("node").alias("other"), F.pmod(drawn(F.col("node"), F.lit("place"), F.lit(seed)), n).alias("bucket"))
     draws = nodes.select("node", F.explode(F.sequence(F.lit(1), F.lit(per_node))).alias("k"))
-    draws = draws.select("node", F.pmod(F.xxhash64("node", "k", F.lit(seed)), n).alias("bucket"))
+    draws = draws.select("node", F.pmod(drawn(F.col("node"), F.col("k"), F.lit(seed)), n).alias("bucket"))
     pairs = draws.join(placed, "bucket").where("node <> other")
     pairs = pairs.select(F.least("node", "other").alias("src"), F.greatest("node", "other").alias("dst")).distinct()
-    return pairs.join(edges.select("src", "dst"), ["src", "dst"], "left_anti")
+    apart = pairs.join(edges.select("src", "dst"), ["src", "dst"], "left_anti")
+    if most is None:
+        return apart
+    return order.lowest_by_hash(apart, F.concat_ws(":", F.col("src").cast("string"), F.col("dst").cast("string"), F.lit(str(seed))), [], most)
 
 
 def auc(scored: DataFrame, score: str, label: str) -> DataFrame:
     """ROC-AUC of a score, equals sharing their rank: auc, n_positive, n_negative, passed.
 
-    Scores are counted by value first, so only the distinct ones are put in one
-    order; round the scores where they are continuous and many.
+    Scores are counted by value first, then summed range by range of their order.
     """
     counts = scored.groupBy(F.col(score).alias("s")).agg(F.sum(F.col(label).cast("long")).alias("pos"), F.count("*").alias("n"))
     counts = counts.select("s", "pos", (F.col("n") - F.col("pos")).alias("neg"))
-    below = Window.orderBy("s").rowsBetween(Window.unboundedPreceding, -1)
-    summed = counts.withColumn("below", F.coalesce(F.sum("neg").over(below), F.lit(0)))
+    summed = order.summed_before(counts, [F.col("s")], F.col("neg"), "below")
     total = summed.agg(F.sum(F.col("pos") * (2 * F.col("below") + F.col("neg"))).alias("u2"), F.sum("pos").alias("n_positive"), F.sum("neg").alias("n_negative"))
     value = F.when((F.col("n_positive") > 0) & (F.col("n_negative") > 0), F.col("u2") / (2 * F.col("n_positive") * F.col("n_negative")))
     return total.select(value.alias("auc"), "n_positive", "n_negative").withColumn("passed", F.coalesce(F.col("auc") >= PASS_AUC, F.lit(False)))
@@ -84,6 +90,50 @@ def silhouette(points: DataFrame, id: str, label: str, vector: str) -> DataFrame
     return out.groupBy("label").agg(F.count("*").alias("n"), F.avg("s").alias("silhouette"))
 
 
+def subset_silhouettes(points: DataFrame, id: str, vector: str, members: DataFrame) -> DataFrame:
+    """The mean cosine silhouette of all points for each of several subsets against the rest: trial, silhouette.
+
+    ``members`` has (trial, id). As in ``silhouette``, sums of unit vectors do for
+    all pairs; there are as many rows as points times trials.
+    """
+    unit = points.select(F.col(id).alias("id"), vectors.scaled(F.col(vector), vectors.norm(F.col(vector))).alias("v"))
+    own = members.select("trial", F.col(id).alias("id")).distinct()
+    listed = F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda p: p["x"])
+    cells = unit.select("id", F.posexplode("v").alias("i", "x"))
+    whole = cells.groupBy("i").agg(F.sum("x").alias("x")).agg(listed.alias("s"))
+    inner = cells.join(own, "id").groupBy("trial", "i").agg(F.sum("x").alias("x")).groupBy("trial").agg(listed.alias("s"))
+    sizes = own.groupBy("trial").agg(F.count("*").alias("k"))
+    trials = inner.join(sizes, "trial").agg(F.collect_list(F.struct("trial", "s", "k")).alias("t"))  # one row for each trial
+    n = unit.agg(F.count("*").alias("n")).scalar()
+    each = unit.withColumn("all", whole.scalar()).withColumn("n", n).withColumn("t", F.explode(trials.scalar()))
+    flags = own.select("trial", "id", F.lit(True).alias("inside"))
+    each = each.select("id", "v", "all", "n", F.col("t.trial").alias("trial"), F.col("t.s").alias("s"), F.col("t.k").alias("k")).join(flags, ["trial", "id"], "left")
+    inside = F.coalesce("inside", F.lit(False))
+    to_in, to_all = vectors.dot(F.col("v"), F.col("s")), vectors.dot(F.col("v"), F.col("all"))
+    near, size = F.when(inside, to_in).otherwise(to_all - to_in), F.when(inside, F.col("k")).otherwise(F.col("n") - F.col("k"))
+    a = F.when(size > 1, (size - near) / (size - 1))  # the own distance is 0
+    b = F.when(F.col("n") > size, 1 - (to_all - near) / (F.col("n") - size))
+    value = F.when(a.isNull() | b.isNull(), 0.0).otherwise((b - a) / F.greatest(a, b))
+    return each.groupBy("trial").agg(F.avg(value).alias("silhouette"))
+
+
+def random_subsets(points: DataFrame, id: str, size: Column, trials: int = 20) -> DataFrame:
+    """Subsets of one exact size, drawn by hash: trial (from 1), id."""
+    each = points.select(F.col(id), F.explode(F.sequence(F.lit(1), F.lit(trials))).alias("trial"))
+    return order.lowest_by_hash(each, F.concat_ws(":", F.col(id).cast("string"), F.col("trial").cast("string")), ["trial"], size)
+
+
+def coherence(points: DataFrame, id: str, vector: str, library: DataFrame, trials: int = 20) -> DataFrame:
+    """Whether a library (node) is more clustered than random subsets of its size: real, mean, sd, passed."""
+    own = library.select(F.col("node").alias(id)).join(points.select(id), id, "left_semi").distinct()
+    size = own.agg(F.count("*").alias("k")).scalar()
+    members = own.select(F.lit(0).alias("trial"), id).unionByName(random_subsets(points, id, size, trials).select("trial", id))
+    found = subset_silhouettes(points, id, vector, members)
+    at = lambda c: F.when(c, F.col("silhouette"))
+    out = found.agg(F.max(at(F.col("trial") == 0)).alias("real"), F.avg(at(F.col("trial") > 0)).alias("mean"), F.stddev_pop(at(F.col("trial") > 0)).alias("sd"))
+    return out.withColumn("passed", F.col("real") > F.col("mean") + F.col("sd"))
+
+
 def spread(values: Column) -> Column:
     """The population deviation of values over their mean level, as a struct (mean, sd)."""
     return F.struct(F.avg(values).alias("mean"), F.stddev_pop(values).alias("sd"))

@@ -2,15 +2,21 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from affinity.functions import text, vectors
 
+# Responses that say that an artist is loved.
 LOVED = ["seed_artist", "highlight", "loved", "anchor", "currently_listening"]
 LOVED_FACTOR = 1.5
-#: Rows of vectors that are compared as one block.
-BLOCK = 200
+SCORE_PLACES = 9
+#: Vectors that are compared as one block.
+BLOCK = 2048
 
 
 def discovery_frontier(directed: DataFrame, library: DataFrame, loved: DataFrame, most: int = 20, vias: int = 4) -> DataFrame:
@@ -20,30 +26,55 @@ def discovery_frontier(directed: DataFrame, library: DataFrame, loved: DataFrame
     """
     own = directed.join(library.select(F.col("node").alias("src")), "src", "left_semi").join(library.select(F.col("node").alias("dst")), "dst", "left_anti")
     own = own.join(loved.select(F.col("node").alias("src"), F.lit(LOVED_FACTOR).alias("factor")).distinct(), "src", "left")
-    score = F.sum(F.col("match") * F.coalesce("factor", F.lit(1.0)))
+    score = F.round(F.sum(F.col("match") * F.coalesce("factor", F.lit(1.0))), SCORE_PLACES)  # the order of the sum doesn't show
     found = own.groupBy(F.col("dst").alias("node")).agg(score.alias("score"), F.array_sort(F.collect_set("src")).alias("via"))
     return found.withColumn("via", F.slice("via", 1, vias)).orderBy(F.desc("score"), "node").limit(most)
 
 
 def nearest(points: DataFrame, id: str, vector: str, k: int = 8, queries: DataFrame | None = None) -> DataFrame:
-    """The k nearest others of each point by cosine: id, other, cosine, rank; equals by id.
+    """The k nearest others of each point by cosine: id, other, cosine, rank; equals (to 12 places) by id.
 
-    Vectors are normalised once. Queries (all points unless given) are met with
-    all points in blocks: pairs of block numbers are joined, so work is spread
-    evenly and each pair of points is seen once. Top-k lists are pruned block by
-    block, before anything is shuffled by query.
+    Exact. Vectors are normalised once and packed into blocks by a hash of their
+    id. Every block of queries (all points unless given) meets every block of
+    points as one matrix product on a worker, which keeps k for each query, so
+    what is shuffled is the blocks and k rows for each query and block.
     """
+    spark, n = points.sparkSession, points.count()
+    blocks = max(1, -(-n // BLOCK))
     unit = points.select(F.col(id).cast("long").alias("id"), vectors.scaled(F.col(vector), vectors.norm(F.col(vector)) + vectors.EPSILON).alias("v"))
-    blocks = F.greatest(F.ceil(points.agg(F.count("*").alias("n")).scalar() / BLOCK), F.lit(1)).cast("int")
-    right = unit.select(F.col("id").alias("other"), F.col("v").alias("w"), F.pmod(F.xxhash64("id"), blocks).alias("block"))
-    left = unit if queries is None else unit.join(queries.select(F.col(id).cast("long").alias("id")), "id", "left_semi")
-    # A stated number of partitions, as the rows are few for the work on them and would be put into one task.
-    spread = int(points.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    left = left.withColumn("block", F.explode(F.sequence(F.lit(0), blocks - 1))).repartition(spread, "block")
-    scored = left.join(right, "block").where("id <> other").select("id", "other", "block", vectors.dot(F.col("v"), F.col("w")).alias("cosine"))
-    order = [F.desc("cosine"), "other"]
-    some = scored.withColumn("r", F.row_number().over(Window.partitionBy("id", "block").orderBy(*order))).where(F.col("r") <= k)
-    return some.withColumn("rank", F.row_number().over(Window.partitionBy("id").orderBy(*order))).where(F.col("rank") <= k).select("id", "other", "cosine", "rank")
+    block = F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("block")
+    packed = lambda d, name: d.groupBy(block).agg(F.sort_array(F.collect_list(F.struct("id", "v"))).alias(name))  # noqa: E731  about BLOCK rows each
+    asked = unit if queries is None else unit.join(queries.select(F.col(id).cast("long").alias("id")), "id", "left_semi")
+    left = packed(asked, "left").select("left", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
+    pairs = left.join(packed(unit, "right"), "block").select("left", "right")
+    spread = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    found = pairs.repartition(spread).mapInArrow(_block_nearest(k), "id long, other long, cosine double")
+    rank = F.row_number().over(Window.partitionBy("id").orderBy(F.desc("cosine"), "other"))
+    return found.withColumn("rank", rank).where(F.col("rank") <= k).select("id", "other", "cosine", "rank")
+
+
+def _block_nearest(k: int):
+    """For each pair of blocks the k nearest of the right one for each of the left."""
+
+    def matrix(rows: pa.Scalar) -> tuple[np.ndarray, np.ndarray]:
+        own = rows.values
+        ids = own.field("id").to_numpy()
+        return ids, own.field("v").flatten().to_numpy().reshape(len(ids), -1)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for one, two in zip(batch.column(0), batch.column(1), strict=True):
+                (ids, a), (others, b) = matrix(one), matrix(two)
+                cosine = np.round(a @ b.T, 12)
+                cosine[ids[:, None] == others[None, :]] = -np.inf
+                most = min(k, len(others))
+                # Others are in the order of their ids, so a stable order puts the least of equals first.
+                best = np.argsort(-cosine, axis=1, kind="stable")[:, :most]
+                value = np.take_along_axis(cosine, best, axis=1)
+                row, column = np.nonzero(np.isfinite(value))
+                yield pa.RecordBatch.from_arrays([pa.array(ids[row]), pa.array(others[best[row, column]]), pa.array(value[row, column])], ["id", "other", "cosine"])
+
+    return run
 
 
 def geometric_frontier(neighbours: DataFrame, library: DataFrame, most: int = 20) -> DataFrame:
@@ -86,6 +117,24 @@ def profile(tracks: DataFrame, vocabulary: list[str]) -> Column:
     return F.array(*flags, F.log1p(F.col("played_seconds").cast("double")), (F.coalesce("release_year", F.lit(years["low"] or 0)) - (years["low"] or 0)) / span)
 
 
+def track_features(tracks: DataFrame, id: str, vocabulary: list[str], macros: list[str]) -> DataFrame:
+    """A track's vector: descriptors one-hot, log seconds over the most, year scaled to the corpus, macro genres one-hot: id, vector.
+
+    ``tracks`` has descriptors, macros (lists), played_seconds, release_year; a missing year counts as the least.
+    """
+    low, high = tracks.agg(F.min("release_year").alias("x")).scalar(), tracks.agg(F.max("release_year").alias("x")).scalar()
+    top = tracks.agg(F.max(F.log1p(F.col("played_seconds").cast("double"))).alias("x")).scalar()
+    flags = lambda column, names: [F.array_contains(column, x).cast("double") for x in names]
+    year = (F.coalesce(F.col("release_year"), low) - low) / F.greatest(high - low, F.lit(1))
+    seconds = F.log1p(F.col("played_seconds").cast("double")) / F.when(top > 0, top).otherwise(1.0)
+    return tracks.select(F.col(id), F.array(*flags("descriptors", vocabulary), F.coalesce(seconds, F.lit(0.0)), F.coalesce(year.cast("double"), F.lit(0.0)), *flags("macros", macros)).alias("vector"))
+
+
+def more_like(tracks: DataFrame, id: str, vocabulary: list[str], macros: list[str], k: int = 10, asked: DataFrame | None = None) -> DataFrame:
+    """The k tracks most like each (or each asked for): id, other, cosine, rank."""
+    return nearest(track_features(tracks, id, vocabulary, macros), id, "vector", k, asked)
+
+
 def blend(known: DataFrame, new: DataFrame, most: int, known_share: float = 0.6, excluded: list[str] | None = None) -> DataFrame:
     """A list of known and new items in given shares; both have (node, score, response)."""
     drop = excluded if excluded is not None else ["single-listen", "did_not_land"]

@@ -180,7 +180,11 @@ def communities(edges: DataFrame) -> DataFrame:
 
 
 def label_propagation(edges: DataFrame, rounds: int = 10) -> DataFrame:
-    """Communities at any size: each node takes the label of most weight around it, the least of equals: node, community."""
+    """Communities at any size: each node takes the label of most weight around it, the least of equals: node, community.
+
+    All nodes change at once, exactly ``rounds`` times: labels of a bipartite part may
+    swap for ever, so there is no limit that they would have to reach.
+    """
     both = cut(edges.select("src", "dst", "weight").unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "weight")))
     labels = layers.endpoints(edges).withColumn("community", F.col("node"))
     for _ in range(rounds):
@@ -250,6 +254,19 @@ def summary(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     )
 
 
+def top_lists(nodes: DataFrame, columns: list[str], most: int = 10, kind: str = "artist") -> DataFrame:
+    """The nodes of a kind that have most of each metric: metric, rank, node, value; equals by node."""
+    own = nodes.where(F.col("kind") == kind)
+    parts = []
+    for c in columns:
+        top = own.orderBy(F.desc(c), "node").limit(most).agg(F.array_sort(F.collect_list(F.struct((-F.col(c)).alias("v"), "node"))).alias("x"))
+        parts.append(top.select(F.lit(c).alias("metric"), F.posexplode("x").alias("at", "x")).select("metric", (F.col("at") + 1).alias("rank"), "x.node", (-F.col("x.v")).alias("value")))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
 def clustering(edges: DataFrame) -> DataFrame:
     """The local clustering coefficient: node, triangles, coefficient (0 for fewer than two neighbours).
 

@@ -2,17 +2,20 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import re
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from affinity.functions import text
+from affinity.operators import order
 
 FRONT_KEYS = ["meta_genres", "lastfm_tags"]
 
 
 def section_upserted(content: Column, title: str, body: Column) -> Column:
     """A text whose section of a title, from its heading to the end, is replaced (or appended)."""
-    cut = F.regexp_replace(content, rf"(?s)\n## {title}\n.*$", "")
+    cut = F.regexp_replace(content, rf"(?s)\n## {re.escape(title)}\n.*$", "")
     return F.concat(F.regexp_replace(cut, r"\n+$", ""), F.lit(f"\n\n## {title}\n\n"), body, F.lit("\n"))
 
 
@@ -38,12 +41,12 @@ def _starts(line: Column, values: dict) -> Column:
 
 
 def share_lines(totals: DataFrame, label: str, value: str) -> DataFrame:
-    """Rows of a table of durations and shares, largest first: pos, line. For reports' short lists."""
-    whole = F.sum(value).over(Window.partitionBy())
+    """Rows of a table of durations and shares, largest first: pos, line."""
+    whole = totals.agg(F.sum(value).alias("whole")).scalar()
     part = F.col(value) * 100.0 / F.when(whole == 0, 1).otherwise(whole)
-    order = Window.orderBy(F.desc(value), label)
     line = F.concat(F.lit("| "), F.col(label), F.lit(" | "), text.duration(F.col(value)), F.lit(" | "), F.format_string("%.1f", part), F.lit("% |"))
-    return totals.select((F.row_number().over(order) + 2).cast("long").alias("pos"), line.alias("line"))
+    placed = order.numbered(totals.select(label, value, line.alias("line")), [F.desc(value), F.col(label)], "pos", 3)
+    return placed.select("pos", "line")
 
 
 def with_header(lines: DataFrame, *header: str) -> DataFrame:
@@ -53,10 +56,58 @@ def with_header(lines: DataFrame, *header: str) -> DataFrame:
     return head.select((F.col("pos") + 1).cast("long").alias("pos"), "line").unionByName(lines)
 
 
-def checklist(frontier: DataFrame, order: list[Column], vias: int = 3) -> DataFrame:
-    """A checklist of a frontier (node, via): pos, line."""
+def checklist(frontier: DataFrame, by: list[Column], vias: int = 4) -> DataFrame:
+    """A checklist of a frontier by position (node, via): pos, line."""
     near = F.array_join(F.slice(F.transform("via", lambda x: x.cast("string")), 1, vias), ", ")
-    return frontier.select(F.row_number().over(Window.orderBy(*order)).cast("long").alias("pos"), F.concat(F.lit("- [ ] **"), F.col("node").cast("string"), F.lit("** — near "), near).alias("line"))
+    line = F.concat(F.lit("- [ ] **"), F.col("node").cast("string"), F.lit("** — near "), near)
+    return order.numbered(frontier.withColumn("line", line), by, "pos").select("pos", "line")
+
+
+def scored_checklist(frontier: DataFrame) -> DataFrame:
+    """A checklist of a discovery frontier (node, score, via), best first: pos, line."""
+    line = F.concat(
+        F.lit("- [ ] **"), F.col("node").cast("string"), F.lit("** (score "), F.format_string("%.2f", "score"), F.lit(") — similar to "),
+        F.array_join(F.transform("via", lambda x: x.cast("string")), ", "),
+    )
+    return order.numbered(frontier.withColumn("line", line), [F.desc("score"), F.col("node")], "pos").select("pos", "line")
+
+
+def bridge_lines(bridges: DataFrame) -> DataFrame:
+    """Lines of the artists between others (node, betweenness), most first: pos, line."""
+    line = F.concat(F.lit("- **"), F.col("node").cast("string"), F.lit("** — betweenness "), F.format_string("%.4f", "betweenness"))
+    return order.numbered(bridges.withColumn("line", line), [F.desc("betweenness"), F.col("node")], "pos").select("pos", "line")
+
+
+def territory_lines(buckets: DataFrame) -> DataFrame:
+    """Lines of the named territories (node, bucket) and how many nodes each has, ``other`` last: pos, line."""
+    counts = buckets.groupBy("bucket").agg(F.count("*").alias("n"))
+    line = F.concat(F.lit("| "), F.col("bucket"), F.lit(" | "), F.col("n").cast("string"), F.lit(" |"))
+    return order.numbered(counts.withColumn("line", line), [F.col("bucket") == "other", F.desc("n"), F.col("bucket")], "pos").select("pos", "line")
+
+
+def check_lines(link: DataFrame, coherence: DataFrame, isolated: DataFrame, runs: DataFrame) -> DataFrame:
+    """Lines of an atlas's checks, as measured: pos, line.
+
+    ``link`` has one row (auc, n_positive, passed), ``coherence`` one (real, mean, sd, passed),
+    ``isolated`` is (node), ``runs`` (id, other, hits, runs).
+    """
+    said = lambda c, yes, no: F.when(F.col(c), yes).otherwise(no)
+    first = link.select(F.lit(1).alias("pos"), F.concat(F.lit("1. Link prediction: AUC "), F.format_string("%.3f", "auc"), F.lit(" over "), F.col("n_positive").cast("string"), F.lit(" held-out edges; "), said("passed", "passes", "fails")).alias("line"))
+    second = coherence.select(F.lit(2), F.concat(F.lit("2. Coherence: silhouette "), F.format_string("%.4f", "real"), F.lit(" against "), F.format_string("%.4f", "mean"), F.lit(" ± "), F.format_string("%.4f", "sd"), F.lit("; "), said("passed", "more clustered than random", "not more clustered than random")))
+    third = isolated.agg(F.count("*").alias("n")).select(F.lit(3), F.concat(F.lit("3. Isolated nodes: "), F.col("n").cast("string")))
+    fourth = runs.select(F.lit(4), F.concat(F.lit("4. "), F.col("id").cast("string"), F.lit(" → "), F.col("other").cast("string"), F.lit(": "), F.col("hits").cast("string"), F.lit("/"), F.col("runs").cast("string")))
+    return first.union(second).union(third).union(fourth)
+
+
+def enriched_notes(notes: DataFrame, artists: DataFrame, keys: list[str] = FRONT_KEYS) -> DataFrame:
+    """Notes (stem, content) whose file name fits an artist's (name, and lists), with the lists in their front matter: stem, content.
+
+    Where several names give one file name, the least is taken; notes that fit none stay as they are.
+    """
+    own = artists.groupBy(text.file_name(F.col("name")).alias("stem")).agg(F.min_by(F.struct(*keys), "name").alias("lists"))
+    both = notes.join(own, "stem", "left")
+    new = front_matter_upserted(F.col("content"), {k: F.coalesce(F.col("lists")[k], F.array().cast("array<string>")) for k in keys})
+    return both.select("stem", F.when(F.col("lists").isNotNull(), new).otherwise(F.col("content")).alias("content"))
 
 
 def lineage_lines(edges: DataFrame) -> DataFrame:

@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
-import tempfile
+from pyspark.sql import DataFrame, SparkSession
 
-from pyspark.sql import DataFrame
+
+def shared_folder(spark: SparkSession) -> str:
+    """The checkpoint folder that the cluster names, else one in the warehouse, which executors share too."""
+    return spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/affinity-checkpoints"
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """A checkpoint in the folder that the cluster names; a temporary one only where none is named."""
+    """A checkpoint in the shared folder."""
     context = df.sparkSession.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="affinity-"))
+        context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint()

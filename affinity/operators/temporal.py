@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pyspark.ml.clustering import KMeans
+from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -126,3 +128,38 @@ def session_vectors(sessions: DataFrame, who: str, vectors: DataFrame, item: str
     each = sessions.join(vectors, item).select(who, "session", F.posexplode("vector").alias("i", "x"))
     means = each.groupBy(who, "session", "i").agg(F.avg("x").alias("x"))
     return means.groupBy(who, "session").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda p: p["x"]).alias("vector"))
+
+
+def listening_modes(session_vectors: DataFrame, k: int, seed: int = 42) -> DataFrame:
+    """Sessions (who, session, vector) clustered by k-means: who, session, vector, mode."""
+    own = session_vectors.withColumn("features", array_to_vector("vector"))
+    model = KMeans(k=k, seed=seed, featuresCol="features", predictionCol="mode").fit(own)
+    return model.transform(own).drop("features")
+
+
+# Descriptors at the two ends of the compass's axes.
+COMPASS = {
+    "energy": (["club", "electronic", "trap"], ["calm", "acoustic", "cozy"]),
+    "valence": (["romantic", "love"], ["sad", "melancholy"]),
+}
+
+
+def compass(tracks: DataFrame, mode: str, modern: int = 2000) -> DataFrame:
+    """Where each mode's tracks point: mode, energy, valence, era, spread, n.
+
+    An axis is the mean, over tracks, of the descriptors at its one end less those
+    at the other; ``era`` the share of tracks from ``modern`` on among those with a
+    year; ``spread`` the number of macro genres. ``tracks`` has mode, descriptors,
+    macros (lists) and release_year.
+    """
+    hits = lambda names: F.size(F.array_intersect("descriptors", F.array(*map(F.lit, names))))
+    axes = [F.avg((hits(high) - hits(low)).cast("double")).alias(axis) for axis, (high, low) in COMPASS.items()]
+    era = F.avg(F.when(F.col("release_year").isNotNull(), (F.col("release_year") >= modern).cast("double"))).alias("era")
+    genres = tracks.select(mode, F.explode("macros").alias("macro")).groupBy(mode).agg(F.count_distinct("macro").alias("spread"))
+    return tracks.groupBy(mode).agg(*axes, era, F.count("*").alias("n")).join(genres, mode, "left").withColumn("spread", F.coalesce("spread", F.lit(0)))
+
+
+def recency_curve(history: DataFrame, value: str, now: Column) -> DataFrame:
+    """Value by whole weeks before a moment: weeks, value; what is later isn't counted."""
+    weeks = F.floor((F.unix_micros(now.cast("timestamp")) - F.unix_micros(F.col("ts").cast("timestamp"))) / F.lit(7 * 86_400_000_000)).cast("long")
+    return history.withColumn("weeks", weeks).where("weeks >= 0").groupBy("weeks").agg(F.sum(value).alias(value))

@@ -2,26 +2,32 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from affinity.operators.session import cut
 
+# Labels that end a walk up the genres.
 STOP_LABELS = ["music genre", "music", "art", "genre", "popular music", "entertainment"]
 MAX_HOPS = 6
 
 
-def best_first(seeds: DataFrame, edges: DataFrame, most: int, max_rounds: int = 50) -> DataFrame:
+def best_first(seeds: DataFrame, edges: DataFrame, most: int, max_rounds: int = 200) -> DataFrame:
     """The ``most`` nodes that a best-first crawl visits: node, priority, depth, via.
 
     ``seeds`` has (node), at priority 1 and depth 0; ``edges`` (src, dst, match)
     with match at most 1. A child's priority is its parent's times the match, so
     priorities only fall along a path and the crawl's order is by each node's
-    best priority. Relaxed until nothing changes; equals are ordered by name,
-    then depth, then via.
+    best priority. Relaxed until nothing changes (a graph that takes more rounds is
+    an error, not a partial result); equals are ordered by name, then depth, then via.
     """
-    order = lambda: F.min(F.struct((-F.col("priority")).alias("p"), "depth", "via")).alias("b")
     best = cut(seeds.select("node", F.lit(1.0).alias("priority"), F.lit(0).alias("depth"), F.col("node").alias("via")).distinct())
+    return relaxed(best, edges, max_rounds).orderBy(F.desc("priority"), "node").limit(most)
+
+
+def relaxed(best: DataFrame, edges: DataFrame, max_rounds: int = 200) -> DataFrame:
+    """Nodes (node, priority, depth, via) with all that edges lead to from them, each by its best way."""
+    order = lambda: F.min(F.struct((-F.col("priority")).alias("p"), "depth", "via")).alias("b")
     front = best
     for _ in range(max_rounds):
         reached = front.join(edges.withColumnRenamed("src", "node"), "node")
@@ -31,8 +37,63 @@ def best_first(seeds: DataFrame, edges: DataFrame, most: int, max_rounds: int =
         front = new.join(best, ["node", "priority", "depth", "via"], "left_anti")
         best = new
         if front.isEmpty():
+            return best
+    raise RuntimeError(f"still changing after {max_rounds} rounds")
+
+
+def crawl(spark: SparkSession, seeds: DataFrame, edges: DataFrame, most: int, folder: str, every: int | None = None) -> DataFrame:
+    """A best-first crawl that keeps its state in a folder and goes on from there: node, priority, depth, via.
+
+    The state is what was visited (``universe``) and what was seen beside it
+    (``frontier``), written after every ``every`` visits and at the end, each time
+    to a new numbered folder whose frontier comes last: a state without one was
+    broken off and isn't taken. A later call with a larger ``most`` resumes, and gives
+    what one crawl to ``most`` would have given.
+    """
+    done, number = load_state(spark, folder)
+    visited = 0 if done is None else done[0].count()
+    front = done[1] if done is not None else seeds.select("node", F.lit(1.0).alias("priority"), F.lit(0).alias("depth"), F.col("node").alias("via")).distinct()
+    universe = done[0] if done is not None else front.limit(0)
+    while visited < most:
+        goal = min(most, visited + (every or most))
+        # Of what is known, the best are next; what they lead to may come before others.
+        known = cut(universe.withColumn("seen", F.lit(True)).unionByName(front.withColumn("seen", F.lit(False))))
+        every_node = relaxed(known.drop("seen"), edges)
+        chosen = cut(every_node.orderBy(F.desc("priority"), "node").limit(goal))
+        reached = chosen.withColumnsRenamed({"node": "src", "priority": "p", "depth": "d"}).drop("via").join(edges, "src")
+        seen = reached.select(F.col("dst").alias("node"), (F.col("p") * F.col("match")).alias("priority"), (F.col("d") + 1).alias("depth"), F.col("src").alias("via"))
+        seen = seen.unionByName(seeds.select("node", F.lit(1.0).alias("priority"), F.lit(0).alias("depth"), F.col("node").alias("via"))).join(chosen.select("node"), "node", "left_anti")
+        best = F.min(F.struct((-F.col("priority")).alias("p"), "depth", "via")).alias("b")
+        seen = seen.groupBy("node").agg(best).select("node", (-F.col("b.p")).alias("priority"), F.col("b.depth").alias("depth"), F.col("b.via").alias("via"))
+        number += 1
+        save_state(chosen, seen, folder, number)
+        (universe, front), _ = load_state(spark, folder)
+        new = universe.count()
+        if new == visited or new < goal:
             break
-    return best.orderBy(F.desc("priority"), "node").limit(most)
+        visited = new
+    return universe
+
+
+def save_state(universe: DataFrame, frontier: DataFrame, folder: str, number: int) -> None:
+    """Write a crawl's state under a number; the frontier, written last, completes it."""
+    universe.write.mode("overwrite").parquet(f"{folder}/universe-{number:06d}")
+    frontier.write.mode("overwrite").parquet(f"{folder}/frontier-{number:06d}")
+
+
+def load_state(spark: SparkSession, folder: str) -> tuple[tuple[DataFrame, DataFrame] | None, int]:
+    """The last complete state in a folder (universe, frontier), or none, and its number (0 without one)."""
+    jvm = spark._jvm
+    path = jvm.org.apache.hadoop.fs.Path(folder)
+    system = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not system.exists(path):
+        return None, 0
+    names = [s.getPath() for s in system.listStatus(path)]
+    done = [int(p.getName()[-6:]) for p in names if p.getName().startswith("frontier-") and system.exists(jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS"))]
+    if not done:
+        return None, 0
+    n = max(done)
+    return (spark.read.parquet(f"{folder}/universe-{n:06d}"), spark.read.parquet(f"{folder}/frontier-{n:06d}")), n
 
 
 def reach(seeds: DataFrame, edges: DataFrame, rounds: int) -> DataFrame:
@@ -82,17 +143,19 @@ def walk_to_root(parents: DataFrame, starts: DataFrame, stops: list[str] = STOP_
     spark = parents.sparkSession
     own = parents.where(~F.col("parent").isin(stops))
     listed = own.groupBy("child").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "parent"))), lambda x: x["parent"]).alias("parents"))
-    starts.select("label").distinct().createOrReplaceTempView("affinity_starts")
-    listed.createOrReplaceTempView("affinity_parents")
-    return spark.sql(f"""
+    return spark.sql(
+        f"""
         WITH RECURSIVE walk(label, path, at) AS (
-            SELECT label, array(label), label FROM affinity_starts
+            SELECT label, array(label), label FROM {{starts}}
             UNION ALL
             SELECT label, array_append(path, next), next FROM (
                 SELECT w.label, w.path, try_element_at(filter(p.parents, x -> NOT array_contains(w.path, x)), 1) AS next
-                FROM walk w JOIN affinity_parents p ON p.child = w.at WHERE size(w.path) <= {hops})
+                FROM walk w JOIN {{parents}} p ON p.child = w.at WHERE size(w.path) <= {hops})
             WHERE next IS NOT NULL)
-        SELECT label, max_by(path, size(path)) AS path, element_at(max_by(path, size(path)), -1) AS root FROM walk GROUP BY label""")
+        SELECT label, max_by(path, size(path)) AS path, element_at(max_by(path, size(path)), -1) AS root FROM walk GROUP BY label""",
+        starts=starts.select("label").distinct(),
+        parents=listed,
+    )
 
 
 def lineage(edges: DataFrame, start: Column, types: list[str], hops: int = 4) -> DataFrame:

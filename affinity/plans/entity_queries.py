@@ -16,7 +16,7 @@ SPELT_SQL = """spelt AS (SELECT DISTINCT CASE p_partkey % 5 WHEN 0 THEN upper(p_
     p_name AS origin FROM part)"""
 LOOSE_SQL = "replace(replace(lower(name), '''', ''), ' & ', ', ')"
 TAGS_SQL = f"""{SPELT_SQL},
-entities AS (SELECT name, list_sort(list(DISTINCT tag)) AS tags, min(depth) AS depth FROM (SELECT s.name, p.p_brand AS tag, p.p_size AS depth FROM spelt s JOIN part p ON p.p_name = s.origin AND (length(s.name) + p.p_size) % 3 <> 0) GROUP BY name),
+entities AS (SELECT name, list_sort(list(DISTINCT tag)) AS tags, min(depth) AS depth FROM (SELECT s.name, p.p_brand || CASE WHEN (length(s.name) + p.p_size) % 3 = 0 THEN ' (' || length(s.name) || ')' ELSE '' END AS tag, p.p_size AS depth FROM spelt s JOIN part p ON p.p_name = s.origin) GROUP BY name),
 indegree AS (SELECT name, length(name) % 7 AS d FROM entities WHERE length(name) % 7 > 0),
 keyed AS (SELECT e.*, {LOOSE_SQL} AS key, coalesce(d, 0) AS d FROM entities e LEFT JOIN indegree USING (name)),
 winners AS (SELECT key, arg_min(name, (-d, name = upper(name) AND name <> lower(name), name)) AS winner FROM keyed GROUP BY key HAVING count(*) > 1),
@@ -28,8 +28,11 @@ def entities(spark: SparkSession, sf_dir: str) -> DataFrame:
     part = table(spark, sf_dir, "part")
     name = F.expr("""CASE p_partkey % 5 WHEN 0 THEN upper(p_name) WHEN 1 THEN replace(p_name, 'e', '\\'e') WHEN 2 THEN replace(p_name, ' ', ' & ') WHEN 3 THEN replace(p_name, ' ', ', ') ELSE replace(p_name, ' ', '. ') END""")
     spelt = part.select(name.alias("name"), F.col("p_name").alias("origin")).distinct()
-    both = spelt.join(part, F.col("p_name") == F.col("origin")).where((F.length("name") + F.col("p_size")) % 3 != 0)
-    return both.groupBy("name").agg(F.array_sort(F.collect_set("p_brand")).alias("tags"), F.min("p_size").alias("depth"))
+    both = spelt.join(part, F.col("p_name") == F.col("origin"))
+    # A third of a spelling's tags are its own, so that spellings differ in tags.
+    own = F.when((F.length("name") + F.col("p_size")) % 3 == 0, F.concat(F.lit(" ("), F.length("name").cast("string"), F.lit(")"))).otherwise("")
+    both = both.withColumn("tag", F.concat("p_brand", own))
+    return both.groupBy("name").agg(F.array_sort(F.collect_set("tag")).alias("tags"), F.min("p_size").alias("depth"))
 
 
 def in_degree(own: DataFrame) -> DataFrame:

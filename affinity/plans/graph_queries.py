@@ -117,13 +117,11 @@ def collab_layer(spark: SparkSession, sf_dir: str) -> DataFrame:
     return layers.pairs(table(spark, sf_dir, "lineitem"), "l_orderkey", "l_suppkey")
 
 
-@REGISTRY.add(f"""WITH {PLAYS_SQL}, b AS (SELECT who, brand, sum(seconds) AS s FROM plays GROUP BY ALL HAVING sum(seconds) >= 700),
-own AS (SELECT DISTINCT brand AS g, who AS m FROM b)
+@REGISTRY.add(f"""WITH {PLAYS_SQL}, own AS (SELECT DISTINCT brand AS g, who AS m FROM plays)
 SELECT a.m AS src, b.m AS dst, count(*) AS weight FROM own a JOIN own b ON a.g = b.g AND a.m < b.m GROUP BY ALL""")
 def production_layer(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pairs of artists who share producers, by the number of them; ties of little engagement don't count."""
-    sums = plays(spark, sf_dir).groupBy("who", "brand").agg(F.sum("seconds").alias("s")).where("s >= 700")
-    return layers.pairs(sums, "brand", "who")
+    """Pairs of artists who share producers, by the number of them."""
+    return layers.pairs(plays(spark, sf_dir), "brand", "who")
 
 
 @REGISTRY.add(f"""WITH {MATCH_SQL}, {LIBRARY_SQL}
@@ -149,7 +147,7 @@ def influence_union_anti(spark: SparkSession, sf_dir: str) -> DataFrame:
 s AS (SELECT a.l_suppkey AS m, a.l_partkey AS g FROM lineitem a GROUP BY ALL),
 e AS (SELECT src, dst, 'collab' AS type, weight::DOUBLE AS weight FROM co WHERE weight = 2
     UNION ALL SELECT src, dst, 'similarity', 0.5 FROM co WHERE weight IN (2, 3) UNION ALL SELECT src, dst, 'influence', 1.0 FROM co WHERE weight >= 4
-    UNION ALL SELECT src, dst, 'production', weight FROM co WHERE weight IN (2, 4) AND src % 2 = 0),
+    UNION ALL SELECT src, dst, 'production', weight FROM co WHERE weight IN (2, 4)),
 k AS (SELECT src, dst, max((type = 'influence')::INT) AS i, max((type = 'collab')::INT) AS c, max((type = 'production')::INT) AS p, sum(weight) AS w FROM e GROUP BY ALL)
 SELECT src, dst, CASE WHEN i = 1 THEN 'influence' WHEN c = 1 THEN 'collab' WHEN p = 1 THEN 'production' ELSE 'similarity' END AS type, CASE WHEN i = 1 THEN 1.0::DOUBLE ELSE w END AS weight FROM k""")
 def collapse_layers(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -157,7 +155,7 @@ def collapse_layers(spark: SparkSession, sf_dir: str) -> DataFrame:
     co = layers.pairs(table(spark, sf_dir, "lineitem"), "l_orderkey", "l_partkey").where("weight > 1")
     one = lambda where, kind, weight: co.where(where).select("src", "dst", F.lit(kind).alias("type"), F.expr(weight).cast("double").alias("weight"))
     edges = one("weight = 2", "collab", "weight").unionByName(one("weight IN (2, 3)", "similarity", "0.5")).unionByName(one("weight >= 4", "influence", "1"))
-    edges = edges.unionByName(one("weight IN (2, 4) AND src % 2 = 0", "production", "weight"))
+    edges = edges.unionByName(one("weight IN (2, 4)", "production", "weight"))
     return layers.collapse(edges).withColumn("weight", F.col("weight").cast("double"))
 
 
@@ -180,12 +178,11 @@ def isolated_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return layers.isolated(nodes, strong(spark, sf_dir))
 
 
-@REGISTRY.add(f"""WITH {PLAYS_SQL}, t AS (SELECT who, brand FROM plays GROUP BY ALL HAVING sum(seconds) >= 900)
-SELECT a.who AS src, b.who AS dst, count(*) AS weight FROM t a JOIN t b ON a.brand = b.brand AND a.who < b.who GROUP BY ALL""")
+@REGISTRY.add(f"""WITH {PLAYS_SQL}, t AS (SELECT DISTINCT who, genre FROM plays)
+SELECT a.who AS src, b.who AS dst, count(*) AS weight FROM t a JOIN t b ON a.genre = b.genre AND a.who < b.who GROUP BY ALL""")
 def bipartite_two_hop(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Artists two hops apart through a shared tag."""
-    tagged = plays(spark, sf_dir).groupBy("who", "brand").agg(F.sum("seconds").alias("s")).where("s >= 900")
-    return layers.pairs(tagged, "brand", "who")
+    return layers.pairs(plays(spark, sf_dir), "genre", "who")
 
 
 @REGISTRY.add(f"""WITH {PLAYS_SQL}, own AS (SELECT DISTINCT o, genre FROM plays)
@@ -211,18 +208,18 @@ def resolve_endpoints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @REGISTRY.add(f"""WITH {MATCH_SQL}, {LIBRARY_SQL},
 loved AS (SELECT p_partkey AS node FROM part WHERE p_size >= 40)
-SELECT dst AS node, sum(CASE WHEN src IN (SELECT node FROM loved) THEN match * 1.5::DOUBLE ELSE match END) AS score, list_sort(list(DISTINCT src))[1:4] AS via
-FROM directed WHERE match IN (0.5, 1) AND src IN (SELECT node FROM library) AND dst NOT IN (SELECT node FROM library) GROUP BY dst ORDER BY score DESC, node LIMIT 20""")
+SELECT dst AS node, round(sum(CASE WHEN src IN (SELECT node FROM loved) THEN match * 1.5::DOUBLE ELSE match END), 9) AS score, list_sort(list(DISTINCT src))[1:4] AS via
+FROM directed WHERE src IN (SELECT node FROM library) AND dst NOT IN (SELECT node FROM library) GROUP BY dst ORDER BY score DESC, node LIMIT 20""")
 def discovery_frontier(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What lies next to the library, by summed match (halves and wholes, so sums are exact)."""
+    """What lies next to the library, by summed match."""
     loved = table(spark, sf_dir, "part").where("p_size >= 40").select(F.col("p_partkey").alias("node"))
-    return frontier.discovery_frontier(directed(spark, sf_dir).where("match IN (0.5, 1.0)"), library(spark, sf_dir), loved)
+    return frontier.discovery_frontier(directed(spark, sf_dir), library(spark, sf_dir), loved)
 
 
 KNN_SQL = """v AS (SELECT vec_id, embedding::DOUBLE[64] AS e FROM embeddings),
 knn AS (SELECT a.vec_id AS id, b.vec_id AS other, array_cosine_similarity(a.e, b.e) AS c FROM v a JOIN v b ON a.vec_id <> b.vec_id
-    QUALIFY row_number() OVER (PARTITION BY a.vec_id ORDER BY c DESC, b.vec_id) <= {k}),
-near AS (SELECT id, other, row_number() OVER (PARTITION BY id ORDER BY c DESC, other)::INTEGER AS rank FROM knn)"""
+    QUALIFY row_number() OVER (PARTITION BY a.vec_id ORDER BY round(c, 12) DESC, b.vec_id) <= {k}),
+near AS (SELECT id, other, row_number() OVER (PARTITION BY id ORDER BY round(c, 12) DESC, other)::INTEGER AS rank FROM knn)"""
 HOME_SQL = "home AS (SELECT vec_id AS node FROM embeddings WHERE label < 3)"
 
 
@@ -332,10 +329,3 @@ def depth_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
     start = spark.range(1, 2).select(F.col("id").alias("node"))
     around = traversal.neighbourhood(strong(spark, sf_dir), start, 3)
     return traversal.depth_histogram(around.withColumnRenamed("hops", "depth"))
-
-
-@REGISTRY.add()
-def best_first_crawl(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A whole best-first crawl from two seeds, to 500 nodes, with depth and via (iterated to a fixpoint)."""
-    seeds = spark.range(1, 3).select(F.col("id").alias("node"))
-    return traversal.best_first(seeds, directed(spark, sf_dir), 500)

@@ -67,10 +67,10 @@ def flat_export(spark: SparkSession, sf_dir: str) -> DataFrame:
     return files.flat(nodes)
 
 
-@REGISTRY.add("""SELECT '<tr><td>' || page_id || '</td><td>' || replace(replace(left(html, 60), '<', '&lt;'), '>', '&gt;') || '</td></tr>' AS line FROM pages""")
+@REGISTRY.add("""SELECT '<tr><td>' || page_id || '</td><td>' || replace(replace(html, '<', '&lt;'), '>', '&gt;') || '</td></tr>' AS line FROM pages""")
 def html_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows of an HTML table with escaped cells."""
-    return report.html_table(table(spark, sf_dir, "pages").select("page_id", F.left("html", F.lit(60)).alias("html")), "page_id", "html")
+    return report.html_table(table(spark, sf_dir, "pages").select("page_id", "html"), "page_id", "html")
 
 
 @REGISTRY.add(f"""WITH {PLAYS_SQL}, s AS (SELECT genre, brand, sum(seconds)::BIGINT AS v FROM plays GROUP BY ALL),

@@ -102,9 +102,17 @@ def stream_history(spark: SparkSession, folder: str) -> DataFrame:
     return spark.readStream.schema(HISTORY).json(folder, multiLine=True)
 
 
-def write_json(df: DataFrame, path: str, single: bool = False) -> None:
-    """JSON lines; one file if ``single``, for small results only."""
-    (df.coalesce(1) if single else df).write.mode("overwrite").json(path)
+def write_json(df: DataFrame, path: str, single: bool = False, sorted_keys: bool = False) -> None:
+    """JSON lines; one file if ``single``, for small results only. Keys are in the columns' order, or by name."""
+    own = df.select(*sorted(df.columns)) if sorted_keys else df
+    (own.coalesce(1) if single else own).write.mode("overwrite").json(path)
+
+
+def json_map(df: DataFrame, key: str, pretty: bool = False) -> DataFrame:
+    """A small table as one JSON object by a key, keys and fields sorted: one row (json)."""
+    fields = F.struct(*[F.col(c) for c in sorted(df.columns) if c != key])
+    entries = F.map_from_entries(F.array_sort(F.collect_list(F.struct(F.col(key).cast("string").alias("k"), fields.alias("v")))))
+    return df.agg(F.to_json(entries, {"pretty": str(pretty).lower()}).alias("json"))
 
 
 def write_matrix(points: DataFrame, path: str) -> None:
