@@ -16,6 +16,7 @@ META = (
     + "".join(rf"(?:{c}:\s*(.+?)\.\s*)?" for c in CLAUSES)
     + r"Released on\s*([\d-]+)\.\s*Descriptors:\s*(.+?)\.?\s*$"
 )
+MARK = "\x01"
 TRACK, CREDIT, RELEASED, DESCRIPTORS = 1, 2, 9, 10
 GROUP = {c: 3 + k for k, c in enumerate(CLAUSES)}
 ARTIST = r""""([^"]+)"\(spotify:artist:([A-Za-z0-9]+)\)|([A-Za-z0-9 .'&]+)\(spotify:artist:([A-Za-z0-9]+)\)"""
@@ -45,16 +46,16 @@ DENIED_TAGS = [
 ]
 
 
-def packed(packed_name: Column) -> Column:
-    """The text behind the tab of a packed name; null without a tab or where it doesn't fit the format."""
-    at = F.instr(packed_name, "\t")
-    meta = F.when(at > 0, F.substring(packed_name, at + 1, F.length(packed_name)))
-    return F.when(meta.rlike(META), meta)
-
+def packed_fields(packed_name: Column) -> Column:
+    """The groups of a packed name's format, an absent one empty, behind what stands before them; null where the name doesn't fit.
 
-def packed_field(meta: Column, group: int) -> Column:
-    """A group of the packed format, or null where it is absent."""
-    return F.nullif(F.regexp_extract(meta, META, group), F.lit(""))
+    The format is matched once: the match is replaced by its groups with a mark
+    before each, then split at the marks (a control character that no name holds).
+    """
+    at = F.instr(packed_name, "\t")
+    meta = F.when(at > 0, F.translate(F.substring(packed_name, at + 1, F.length(packed_name)), MARK, ""))
+    groups = F.split(F.regexp_replace(meta, META, "".join(f"{MARK}${k}" for k in range(1, DESCRIPTORS + 1))), MARK, -1)
+    return F.when(F.size(groups) == DESCRIPTORS + 1, groups)
 
 
 def parse_packed(packed_name: Column) -> Column:
@@ -62,17 +63,20 @@ def parse_packed(packed_name: Column) -> Column:
 
     Composers fall back to writers. The struct is null where the name doesn't parse.
     """
-    meta = packed(packed_name)
-    field = lambda k: packed_field(meta, k)
-    parsed = F.struct(
-        field(TRACK).alias("track_name"),
-        artists(field(CREDIT)).alias("artists"),
-        split_names(F.coalesce(field(GROUP["Composer"]), field(GROUP["Writer"]))).alias("composers"),
-        split_names(field(GROUP["Producer"])).alias("producers"),
-        field(RELEASED).alias("release_date"),
-        split_quoted(field(DESCRIPTORS)).alias("descriptors"),
-    )
-    return F.when(meta.isNotNull(), parsed)
+
+    def parsed(groups: Column) -> Column:
+        field = lambda k: F.nullif(F.get(groups, F.lit(k)), F.lit(""))
+        return F.struct(
+            field(TRACK).alias("track_name"),
+            artists(field(CREDIT)).alias("artists"),
+            split_names(F.coalesce(field(GROUP["Composer"]), field(GROUP["Writer"]))).alias("composers"),
+            split_names(field(GROUP["Producer"])).alias("producers"),
+            field(RELEASED).alias("release_date"),
+            split_quoted(field(DESCRIPTORS)).alias("descriptors"),
+        )
+
+    # Within a lambda the groups are a value, not an expression that each field would repeat.
+    return F.element_at(F.transform(F.array(packed_fields(packed_name)), lambda g: F.when(g.isNotNull(), parsed(g))), 1)
 
 
 def artists(credit: Column) -> Column:
