@@ -12,7 +12,7 @@ size that parameters alone fix. Keys then find their place by their rank in
 their arc. Keys of an arc are ranked in cells of it, so that no window holds a
 large share of the rows. One narrow shuffle (no texts) in all.
 
-Null text counts as no bytes, a null key hashes as the empty string; equal keys
+Null text counts as no bytes, a row without a key is placed by its text; equal keys
 share an arc and rows that are alike in all columns are interchangeable. An empty
 table gives an empty result. Only DataFrame functions are used.
 """
@@ -109,7 +109,8 @@ def shard(docs: DataFrame, shards: int, vnodes: int = 64, slack: float = 0.0) ->
 
     ``slot`` numbers the documents of a shard from 0 without gaps.
     """
-    position = ring_position(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
+    # Rows without an id are placed by their text, so that they don't all lie at one point.
+    position = ring_position(F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit(":"), F.crc32(F.coalesce("text", F.lit("")).cast("binary")).cast("string"))))
     keyed = docs.select(
         "doc_id",
         (F.coalesce(F.octet_length("text"), F.lit(0)) + 1).cast("long").alias("size"),
@@ -144,9 +145,9 @@ def shard_sql(shards: int, vnodes: int) -> str:
         "ahead AS (SELECT a.arc, s.owner, coalesce((SELECT min(b.arc) FROM numbered b WHERE b.owner = s.owner AND b.arc >= a.arc), "
         f"(SELECT min(b.arc) + {n} FROM numbered b WHERE b.owner = s.owner)) AS d FROM numbered a, (SELECT DISTINCT owner FROM points) s)",
         "prefs AS (SELECT arc, list(owner ORDER BY d) AS prefs FROM ahead GROUP BY arc)",
-        "hexed AS (SELECT doc_id, coalesce(strlen(text), 0) + 1 AS size, hex(encode(coalesce(text, ''))) AS hx, "
-        f"{position("coalesce(doc_id::VARCHAR, '')")} AS pos FROM documents)",
-        f"summed AS (SELECT doc_id, size, pos, CASE WHEN hx = '' THEN 0 ELSE {CRC_OF_HX} END AS crc FROM hexed, crc_table)",
+        "hexed AS (SELECT doc_id, coalesce(strlen(text), 0) + 1 AS size, hex(encode(coalesce(text, ''))) AS hx FROM documents)",
+        f"counted AS (SELECT doc_id, size, CASE WHEN hx = '' THEN 0 ELSE {CRC_OF_HX} END AS crc FROM hexed, crc_table)",
+        f"summed AS (SELECT doc_id, size, crc, {position("coalesce(doc_id::VARCHAR, ':' || crc)")} AS pos FROM counted)",
         f"keyed AS (SELECT s.*, (SELECT count(*) FROM points p WHERE p.pos < s.pos) % {n} AS arc FROM summed s)",
         f"ranked AS (SELECT *, row_number() OVER (PARTITION BY arc ORDER BY pos % {CELLS}, pos, doc_id, crc, size) - 1 AS rank FROM keyed)",
         "r0 AS MATERIALIZED (SELECT p.arc, prefs, count(k.arc) AS rest, 0::BIGINT AS rank FROM prefs p LEFT JOIN keyed k ON k.arc = p.arc GROUP BY p.arc, prefs)",
