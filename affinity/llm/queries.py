@@ -84,4 +84,5 @@ def oracle_sql() -> dict[str, str]:
         "op7_link_trust": url_filter.judge_sql(),
         "op8_decontaminate": decontam.judge_sql(),
         "op9_fm_substrings": substring_fm.digests_sql(),
+        "op10_suffix_array": substring_sa.digests_sql(),
     }

@@ -104,3 +104,18 @@ def digests(docs: DataFrame, many: int = repeats.MANY_CLASSES) -> DataFrame:
         return [*[pa.array([r[i] for r in rows], pa.int64()) for i in range(3)], pa.array([hashlib.sha256(r[3]).hexdigest() for r in rows], pa.string())]
 
     return repeats.without(docs, removed(docs, many), run, DIGEST)
+
+
+def digests_sql() -> str:
+    """DuckDB SQL of ``digests(documents)``; windows are cut from pieces of the text's hexadecimal form and met by their MD5."""
+    return r"""WITH d AS (SELECT row_number() OVER () AS r, doc_id, hex(encode(coalesce(text, ''))) AS hx FROM documents),
+c AS (SELECT r, doc_id, o, substr(hx, 2 * o + 1, 4198) AS part FROM (SELECT r, doc_id, hx, unnest(range(0, greatest(length(hx) // 2 - 99, 0), 2000)) AS o FROM d)),
+t AS (SELECT r, doc_id, o + k AS k, md5_number(substr(part, 2 * k + 1, 200)) AS x FROM (SELECT r, doc_id, o, part, unnest(range(0, least(2000, length(part) // 2 - 99))) AS k FROM c)),
+f AS (SELECT x, min(ROW(doc_id, k)) AS first FROM t GROUP BY x HAVING count(*) > 1),
+g AS (SELECT r, k FROM t JOIN f USING (x) WHERE ROW(doc_id, k) > first),
+n AS (SELECT r, k, coalesce(k > lag(k) OVER w + 100, true) AS head FROM g WINDOW w AS (PARTITION BY r ORDER BY k)),
+s AS (SELECT r, min(k) AS a, max(k) + 100 AS b FROM (SELECT r, k, sum(head::INT) OVER (PARTITION BY r ORDER BY k) AS run FROM n) GROUP BY r, run),
+p AS (SELECT r, a, b, coalesce(lag(b) OVER (PARTITION BY r ORDER BY a), 0) AS z FROM s),
+v AS (SELECT r, string_agg(substr(hx, 2 * z + 1, 2 * (a - z)), '' ORDER BY a) AS kept, max(b) AS last, sum(b - a) AS gone, count(*) AS spans FROM p JOIN d USING (r) GROUP BY r)
+SELECT doc_id, (length(hx) // 2)::BIGINT AS n_bytes, coalesce(gone, 0)::BIGINT AS n_removed, coalesce(spans, 0) AS n_spans,
+    sha256(unhex(CASE WHEN last IS NULL THEN hx ELSE kept || substr(hx, 2 * last + 1) END)) AS kept_sha256 FROM d LEFT JOIN v USING (r)"""
