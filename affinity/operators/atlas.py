@@ -39,3 +39,19 @@ def hover_lines(nodes: DataFrame, near: DataFrame, most: int = 5) -> DataFrame:
     tag = F.coalesce(F.get("tags", F.lit(0)), F.lit("?"))
     line = F.concat(F.lit("<b>"), text.escaped(F.col("label")), F.lit("</b><br>tag: "), text.escaped(tag), F.lit("<br>nearest: "), text.escaped(F.array_join(F.coalesce("near", F.array().cast("array<string>")), ", ")))
     return nodes.join(first, "node", "left").select("node", line.alias("line"))
+
+
+def network_elements(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """A JSON line for each node (node, label, kind) and edge (src, dst, weight) of a network: part (1 nodes, 2 edges), line."""
+    name = lambda c: F.col(c).cast("string")
+    points = F.to_json(F.struct(name("node").alias("id"), "label", F.col("kind").alias("group")))
+    links = F.to_json(F.struct(name("src").alias("from"), name("dst").alias("to"), F.col("weight").alias("value")))
+    return nodes.select(F.lit(1).alias("part"), points.alias("line")).unionByName(edges.select(F.lit(2).alias("part"), links.alias("line")))
+
+
+def network_page(elements: DataFrame, title: str, script: str) -> DataFrame:
+    """The lines of an HTML page with a network's elements as data for a script, in order: part, line."""
+    spark = elements.sparkSession
+    fixed = [(0, f"<!doctype html><title>{title}</title><div id=network></div><script type=application/json id=elements>["), (4, f"null]</script><script src={script}></script>")]
+    safe = F.concat(F.replace("line", F.lit("</"), F.lit("<\\/")), F.lit(","))
+    return spark.createDataFrame(fixed, "part int, line string").unionByName(elements.select("part", safe.alias("line")))

@@ -84,3 +84,9 @@ def upserted(library: DataFrame, curated: DataFrame) -> DataFrame:
 def incomplete(cache: DataFrame, column: str, force: bool = False) -> DataFrame:
     """The entries whose array column is missing or empty, or all if forced: what an enrichment run fetches."""
     return cache if force else cache.where(F.coalesce(F.size(column), F.lit(0)) <= 0)
+
+
+def shared_credits(tracks: DataFrame, id: str, names: str) -> DataFrame:
+    """The tracks that share a credited name, as covers and re-recordings do: composer, tracks, items."""
+    own = tracks.select(F.col(id).alias("item"), F.explode(names).alias("composer")).distinct()
+    return own.groupBy("composer").agg(F.count("*").alias("tracks"), F.array_sort(F.collect_list("item")).alias("items")).where("tracks > 1")

@@ -174,3 +174,9 @@ def ranked(rows: DataFrame, by: list[Column], most: int, within: list[str] | Non
     if not within:
         return rows.orderBy(*by).limit(most)
     return rows.withColumn(name, F.row_number().over(Window.partitionBy(*within).orderBy(*by))).where(F.col(name) <= most)
+
+
+def genre_profile(tracks: DataFrame) -> DataFrame:
+    """Tracks (macros, played_seconds, release_year) by genre: genre, track_count, seconds, average_year."""
+    each = tracks.select(F.explode("macros").alias("genre"), "played_seconds", "release_year")
+    return each.groupBy("genre").agg(F.count("*").alias("track_count"), F.sum("played_seconds").alias("seconds"), F.avg("release_year").alias("average_year"))

@@ -166,3 +166,9 @@ def lineage(edges: DataFrame, start: Column, types: list[str], hops: int = 4) ->
         step = out.where(F.col("hops") == k - 1).join(own.withColumnRenamed("src", "node"), "node").select(F.col("dst").alias("node"), F.lit(k).alias("hops"))
         out = out.unionByName(step).groupBy("node").agg(F.min("hops").alias("hops"))
     return out
+
+
+def among(edges: DataFrame, chosen: DataFrame) -> DataFrame:
+    """The edges whose two ends are chosen (node)."""
+    ends = lambda end: chosen.select(F.col("node").alias(end)).distinct()
+    return edges.join(ends("src"), "src", "left_semi").join(ends("dst"), "dst", "left_semi")

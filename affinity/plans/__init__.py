@@ -6,10 +6,10 @@ for producers, quantities for seconds, events for a listening history.
 
 from __future__ import annotations
 
-from affinity.plans import entity_queries, graph_queries, model_queries, report_queries, taste_queries, time_queries, track_queries
+from affinity.plans import entity_queries, graph_queries, model_queries, report_queries, source_queries, taste_queries, time_queries, track_queries
 from affinity.plans.registry import Query
 
-PARTS = [graph_queries, track_queries, entity_queries, time_queries, model_queries, report_queries, taste_queries]
+PARTS = [graph_queries, track_queries, entity_queries, time_queries, model_queries, report_queries, source_queries, taste_queries]
 
 
 def queries() -> dict[str, Query]:
