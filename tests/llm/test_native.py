@@ -99,7 +99,7 @@ def test_sharding_order_and_movement(spark):
     assert four == place(4, docs.repartition(7))
     five = place(5)
     moved = sum(five[i] != s for i, s in four.items()) / 3000
-    assert moved < 0.5  # hashing by remainder would move 4 of 5
+    assert moved < 0.25  # a fifth must move; hashing by remainder would move 4 of 5
     loose = place(4, slack=0.25)
     assert max(sum(s == k for s in loose.values()) for k in range(4)) <= math.ceil(1.25 * 3000 / 4)
 
