@@ -10,8 +10,8 @@ from __future__ import annotations
 import json
 import time
 from collections.abc import Callable, Iterator
-from pathlib import Path
 
+from pyarrow import fs
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from pyspark.sql.types import StructType
 
@@ -32,6 +32,11 @@ def with_retry(call: Callable, tries: int = 4, delay: float = 1.0, sleep: Callab
     return None
 
 
+def located(path: str) -> tuple[fs.FileSystem, str]:
+    """The file system of a folder and its path there: by its scheme, else the machine's own."""
+    return fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path)
+
+
 class SimilaritySource(DataSource):
     """Similar items of each item, read from one JSON file for each."""
 
@@ -55,12 +60,15 @@ class SimilarityReader(DataSourceReader):
         self.path, self.floor = path, floor
 
     def partitions(self) -> list[InputPartition]:
-        found = [str(p) for p in sorted(Path(self.path).glob("*.json"))]
+        system, folder = located(self.path)
+        files = [f.path for f in system.get_file_info(fs.FileSelector(folder, allow_not_found=True)) if f.is_file and f.path.endswith(".json")]
+        found = sorted(files)
         return [InputPartition(found[k : k + self.FILES]) for k in range(0, len(found), self.FILES)]
 
     def fetch(self, file: str) -> dict:
         """What the service says of one item."""
-        return json.loads(Path(file).read_text())
+        with located(self.path)[0].open_input_stream(file) as stream:
+            return json.loads(stream.read())
 
     def read(self, partition: InputPartition) -> Iterator[tuple]:
         failed = 0
