@@ -68,12 +68,11 @@ def symbols(points: np.ndarray, ends: np.ndarray, classes: np.ndarray) -> np.nda
     out = np.array([S_OTHER, S_LETTER, S_NUMBER, S_BLANK], np.uint8)[kind]
     last = (kind == SPACE) & (following != SPACE) & ~at_end
     out[last] = np.where(points[last] == 0x20, S_LAST_20, S_LAST)
-    for i in np.flatnonzero(points == 0x27):
-        one, two = points[i + 1 : i + 2], points[i + 1 : i + 3]
-        if len(one) and chr(one[0]) in "stmd":
-            out[i] = S_SHORT
-        elif len(two) == 2 and chr(two[0]) + chr(two[1]) in ("re", "ve", "ll"):
-            out[i] = S_LONG
+    at = np.flatnonzero(points == 0x27)
+    one, two = (np.append(points, [0, 0])[at + k] for k in (1, 2))
+    pair = lambda a, b: (one == ord(a)) & (two == ord(b))
+    out[at[pair("r", "e") | pair("v", "e") | pair("l", "l")]] = S_LONG
+    out[at[np.isin(one, [ord(c) for c in "stmd"])]] = S_SHORT
     out[ends] = S_END
     return out
 
