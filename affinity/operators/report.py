@@ -66,7 +66,7 @@ def checklist(frontier: DataFrame, by: list[Column], vias: int = 4) -> DataFrame
 def scored_checklist(frontier: DataFrame) -> DataFrame:
     """A checklist of a discovery frontier (node, score, via), best first: pos, line."""
     line = F.concat(
-        F.lit("- [ ] **"), F.col("node").cast("string"), F.lit("** (score "), F.format_string("%.2f", "score"), F.lit(") — similar to "),
+        F.lit("- [ ] **"), F.col("node").cast("string"), F.lit("** (score "), F.format_string("%.2f", F.bround("score", 2)), F.lit(") — similar to "),
         F.array_join(F.transform("via", lambda x: x.cast("string")), ", "),
     )
     return order.numbered(frontier.withColumn("line", line), [F.desc("score"), F.col("node")], "pos").select("pos", "line")

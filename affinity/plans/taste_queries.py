@@ -123,7 +123,7 @@ def bridge_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 @REGISTRY.add(f"""WITH {MATCH_SQL}, {LIBRARY_SQL}, loved AS (SELECT p_partkey AS node FROM part WHERE p_size >= 40),
 f AS (SELECT dst AS node, round(sum(CASE WHEN src IN (SELECT node FROM loved) THEN match * 1.5::DOUBLE ELSE match END), 9) AS score, list_sort(list(DISTINCT src))[1:4] AS via
 FROM directed WHERE src IN (SELECT node FROM library) AND dst NOT IN (SELECT node FROM library) GROUP BY dst ORDER BY score DESC, node LIMIT 20)
-SELECT row_number() OVER (ORDER BY score DESC, node) AS pos, '- [ ] **' || node || '** (score ' || printf('%.2f', score) || ') — similar to ' || array_to_string(via, ', ') AS line FROM f""")
+SELECT row_number() OVER (ORDER BY score DESC, node) AS pos, '- [ ] **' || node || '** (score ' || printf('%.2f', round_even(score, 2)) || ') — similar to ' || array_to_string(via, ', ') AS line FROM f""")
 def frontier_checklist(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The discovery frontier as a checklist."""
     loved = table(spark, sf_dir, "part").where("p_size >= 40").select(F.col("p_partkey").alias("node"))
