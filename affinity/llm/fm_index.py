@@ -55,11 +55,13 @@ class FMIndex:
     ordered by their first ``depth`` symbols, which is all that backward search
     over ``depth`` symbols needs. The suffix array isn't kept: a bit vector marks
     where suffixes differ in these symbols, and of each group only the least of
-    its ``labels`` (one for each symbol) is kept.
+    its ``labels`` (one for each symbol) is kept; another marks where they differ
+    in all of these symbols but the last.
     """
 
     def __init__(self, symbols: np.ndarray, depth: int, labels: np.ndarray):
-        suffixes, new = self.sort(symbols, depth)
+        self.depth = depth
+        suffixes, new, shorter = self.sort(symbols, depth)
         last = symbols[suffixes - 1]  # of suffix 0 it is the final 0
         self.bits = max(1, int(symbols.max(initial=0)).bit_length())
         self.tree = WaveletTree(last, self.bits)
@@ -69,16 +71,21 @@ class FMIndex:
         self.first = np.concatenate([[0], np.cumsum(counts)])
         every = np.arange(1 << self.bits)
         self.origin = self.tree.rank(every, np.zeros(len(every), np.int64))
-        self.heads = Bits(new.astype(np.uint8))
+        self.heads, self.shorter = Bits(new.astype(np.uint8)), Bits(shorter.astype(np.uint8))
+        self.bounds = np.append(np.flatnonzero(shorter), len(symbols)).astype(np.int32)
         self.least = np.minimum.reduceat(labels[suffixes], np.flatnonzero(new))
 
     @staticmethod
-    def sort(symbols: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
-        """Suffixes by their first ``depth`` symbols, by doubling, and where these change; compared past a sequence's end too."""
+    def sort(symbols: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Suffixes by their first ``depth`` symbols, by doubling, where these change, and where all but the last of these do.
+
+        Suffixes are compared past a sequence's end too.
+        """
         rank = np.unique(symbols, return_inverse=True)[1].astype(np.int64)
-        order, size = np.argsort(rank, kind="stable"), 1
+        order, size, before = np.argsort(rank, kind="stable"), 1, np.zeros(len(rank), np.int64)
         while size < depth:
-            shift = min(size, depth - size)
+            shift = min(size, depth - 1 - size) or 1
+            before = rank
             after = np.zeros(len(rank), np.int64)
             after[:-shift] = rank[shift:] + 1
             key = rank * (int(after.max(initial=0)) + 1) + after
@@ -87,7 +94,7 @@ class FMIndex:
             rank = np.empty(len(key), np.int64)
             rank[order] = np.cumsum(np.append(0, own[1:] != own[:-1]))
             size += shift
-        return order, np.append(True, np.diff(rank[order]) != 0)
+        return order, np.append(True, np.diff(rank[order]) != 0), np.append(True, np.diff(before[order]) != 0)
 
     def least_label(self, low: np.ndarray) -> np.ndarray:
         """The least label of the suffixes that agree with the one at each place in ``depth`` symbols."""
@@ -116,3 +123,32 @@ class FMIndex:
             low[live], high[live] = a[go], b[go]
             found[live] = k
         return found, low, high
+
+    def stream(self, symbols: np.ndarray, begin: np.ndarray, count: np.ndarray) -> np.ndarray:
+        """Matching statistics along sequences of windows: for each the first suffix that starts with it, or -1.
+
+        Window w of a sequence are the ``depth`` symbols from ``begin`` + w on.
+        Windows are taken from the last on. The suffixes that start with one of them
+        lie among those that agree with it in all but its last symbol; these are a
+        group of their own, and one step in front of the group gives the window
+        before. Only a window behind which none was found is searched whole.
+        """
+        out = np.full(int(count.sum()), -1)
+        last = np.cumsum(count) - 1
+        live, low, known = np.arange(len(begin)), np.zeros(len(begin), np.int64), np.zeros(len(begin), bool)
+        for j in range(int(count.max(initial=0))):
+            live = live[count[live] > j]
+            at = begin[live] + count[live] - 1 - j
+            a, b = np.zeros(len(live), np.int64), np.zeros(len(live), np.int64)
+            whole, step = np.flatnonzero(~known[live]), np.flatnonzero(known[live])
+            found, x, y = self.search(symbols, at[whole] + self.depth, self.depth)
+            a[whole], b[whole] = x, np.where(found == self.depth, y, x)
+            group = self.shorter.ones(low[live[step]] + 1) - 1
+            symbol = symbols[at[step]]
+            x, y = self.step(symbol, self.bounds[group], self.bounds[group + 1])
+            a[step], b[step] = x, np.where(symbol > 0, y, x)
+            there = b > a
+            known[live] = there
+            low[live[there]] = a[there]
+            out[last[live[there]] - j] = a[there]
+        return out

@@ -3,8 +3,8 @@
 Method: every repeated segment (see ``repeats``) is indexed once in the FM-index
 of its shard, a wavelet tree over the shard's Burrows-Wheeler transform. The
 segments are streamed through backward search, which gives matching statistics
-at every word; where these reach the threshold of 13 words, the interval's least
-document is the window's first. A shard is by content (anchor), so every copy of
+at every word, one step a window; where these reach the threshold of 13 words, the
+interval's least document is the window's first. A shard is by content (anchor), so every copy of
 a window meets in one, and a segment that thousands of documents share is
 streamed once for all of them.
 
@@ -42,10 +42,7 @@ def resolve(table: pa.Table, kind) -> pa.Table:
     index = fm_index.FMIndex(symbols, k, np.repeat(docs, sizes + 1))
     owner = np.repeat(np.arange(len(n)), n)
     step = np.arange(len(owner)) - np.repeat(np.cumsum(n) - n, n)
-    found, low, _ = index.search(symbols, begin[owner] + step + k, k)
-    best = np.full(len(owner), np.iinfo(np.int64).max)
-    long_enough = found >= k
-    best[long_enough] = index.least_label(low[long_enough])
+    best = index.least_label(index.stream(symbols, begin[:-1], n))
     where, first, last, doc = anchors.runs_of(best, owner, step)
     offset = np.array(table["offset"].to_pylist(), np.int64)[where]
     ints = [pa.array(x.astype(np.int32)) for x in (offset - last, offset - first)]

@@ -119,6 +119,14 @@ def test_fm_index():
         assert b - a == len(want)
         if f == 6:
             assert index.least_label(np.array([a]))[0] == min(labels[s] for s in want)
+    # Streams of windows, some of which the index doesn't have.
+    index = fm_index.FMIndex(np.append(symbols[:300], 0), 6, labels[:301])
+    begin, count = np.array([0, 150, 280, 350, 500]), np.array([40, 1, 60, 120, 97])
+    got = iter(index.stream(symbols, begin, count).tolist())
+    for b, n in zip(begin.tolist(), count.tolist(), strict=True):
+        for w in range(b, b + n):
+            found, low, _ = index.search(symbols, np.array([w + 6]), 6)
+            assert next(got) == (low[0] if found[0] == 6 else -1)
 
 
 def test_repeated_ids_with_other_texts(spark):
