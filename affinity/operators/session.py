@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -10,6 +13,21 @@ def shared_folder(spark: SparkSession) -> str:
     return spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/affinity-checkpoints"
 
 
+def scratch(spark: SparkSession) -> str:
+    """A new path in the shared folder; what is written there goes when the driver's process ends."""
+    path = f"{shared_folder(spark)}/affinity-{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
+    atexit.register(_discard, spark, path)
+    return path
+
+
+def _discard(spark: SparkSession, path: str) -> None:
+    try:
+        where = spark._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+    except Exception:  # noqa: BLE001  the session may have ended already
+        return
+
+
 def cut(df: DataFrame) -> DataFrame:
     """A checkpoint in the shared folder."""
     context = df.sparkSession.sparkContext

@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from affinity.operators import atlas, identity, layers, temporal, traversal
-from affinity.operators.session import shared_folder
+from affinity.operators.session import scratch
 from affinity.plans.graph_queries import CO_SQL, PLAYS_SQL, plays, strong
 from affinity.plans.registry import Registry, table
 from affinity.sources import files
@@ -18,7 +16,7 @@ REGISTRY = Registry()
 
 def written(one_row: DataFrame, column: Column) -> str:
     """The path of a document written from one row."""
-    path = f"{shared_folder(one_row.sparkSession)}/written-{uuid.uuid4().hex}"
+    path = scratch(one_row.sparkSession)
     one_row.select(column.alias("value")).write.text(path)
     return path
 
@@ -83,7 +81,7 @@ def property_graph_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 def history_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A streaming history read from files, with skips marked."""
     events = table(spark, sf_dir, "events").where("value IS NOT NULL")
-    path = f"{shared_folder(spark)}/written-{uuid.uuid4().hex}"
+    path = scratch(spark)
     rows = events.select(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'").alias("ts"), F.floor(F.col("value") * 1000).cast("long").alias("ms_played"), F.col("event_id").cast("string").alias("spotify_track_uri"), (F.col("event_type") == "error").alias("skipped"))
     rows.write.json(path)
     read = files.read_json(spark, path, files.HISTORY, lines=True)
@@ -93,7 +91,7 @@ def history_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 @REGISTRY.add("SELECT vec_id AS node, embedding::FLOAT[] AS vector FROM embeddings")
 def matrix_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Vectors written as a matrix and read again."""
-    path = f"{shared_folder(spark)}/written-{uuid.uuid4().hex}"
+    path = scratch(spark)
     files.write_matrix(table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("node"), F.col("embedding").alias("vector")), path)
     return spark.read.parquet(path)
 

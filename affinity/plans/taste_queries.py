@@ -6,14 +6,12 @@ the genres of what it played long; genres of the fifth maker aren't in the taxon
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from affinity.functions import text
 from affinity.operators import atlas, curated, evaluate, frontier, genres, layers, metrics, order, report, temporal, traversal
-from affinity.operators.session import shared_folder
+from affinity.operators.session import scratch
 from affinity.plans.graph_queries import CO_SQL, KNN_SQL, LIBRARY_SQL, MATCH_SQL, PLAYS_SQL, directed, library, plays, strong
 from affinity.plans.registry import Registry, table
 from affinity.sources import files
@@ -363,7 +361,7 @@ SELECT node, priority, depth, via FROM b{CRAWL_ROUNDS} ORDER BY priority DESC, n
 @REGISTRY.add(CRAWL_SQL)
 def crawl_resumed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A crawl that is broken off after 100 nodes and resumed from its state: the same as a whole one."""
-    folder = f"{shared_folder(spark)}/crawl-{uuid.uuid4().hex}"
+    folder = scratch(spark)
     seeds, edges = spark.range(1, 3).select(F.col("id").alias("node")), directed(spark, sf_dir)
     traversal.crawl(spark, seeds, edges, 100, folder)
     return traversal.crawl(spark, seeds, edges, 500, folder)
