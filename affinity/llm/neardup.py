@@ -2,8 +2,10 @@
 
 Method: a document's distinct word shingles are hashed once; the leading bits
 choose one of 128 bins, each bin keeps its least hash, and empty bins are filled
-by optimal densification. Bands of four bins are bucket keys. Equal sets are one
-node from the start. In every bucket only the pairs of the most connected
+by optimal densification. Bands of four bins are bucket keys. Equal sequences of
+words are one node from the start. Several settings (words a shingle, least
+similarity) can be asked for at once: a link of any of them holds, and each has
+bands, stars and comparisons of its own. In every bucket only the pairs of the most connected
 member with the others are candidates, so pairs grow with the members, not with
 their square. Candidates are confirmed on full shingle sets.
 
@@ -18,8 +20,7 @@ many members is dealt out in blocks of ``BLOCK_PAIRS`` pairs. Two sets of
 similarity 0.85 share none of the 32 buckets with a chance under 1e-10.
 
 Null and blank texts have an empty set, are linked with nothing and are kept.
-Rows that repeat an id are one document with a node for each text, linked by
-the id. Rows without an id are linked with nothing, have no component and are
+Rows that repeat an id are one document whose texts are linked by the id. Rows without an id are linked with nothing, have no component and are
 kept. Extra columns don't matter. Large buckets are aggregated and joined, never
 gathered into one task.
 """
@@ -42,30 +43,36 @@ BANDS, ROWS = 32, 4
 #: Remaining pairs of a centre that one task looks at, by their counts and bitmaps.
 BLOCK_PAIRS = 4_000_000
 SIGNED = "doc_id long, n_shingles long, sid binary, bands array<long>"
+TESTED = "a long, b long, setting int, alike boolean, size_a int, size_b int, missing int, extra int, maps array<long>"
 
 
 def _column(batch: pa.RecordBatch, name: str) -> pa.Array:
     return batch.column(batch.schema.get_field_index(name))
 
 
-def sign(docs: DataFrame, shingle: int = SHINGLE, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """Each document's set: doc_id, n_shingles, sid (128-bit name of the set) and its bucket keys; none for an empty set."""
+def sign(docs: DataFrame, settings: list[tuple[int, int]], bands: int = BANDS, rows: int = ROWS) -> DataFrame:
+    """Each document's sketch: doc_id, n_shingles (of the first setting), sid (128-bit name of its words) and its bucket keys, setting by setting; none without words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache, sketch = signatures.Words(), signatures.Sketch(bands, rows)
         for batch in batches:
             for part in text_slices(batch):
-                sizes, names, bins, full = [], [], [], []
+                sizes, names, full = [], [], []
+                bins: list[list] = [[] for _ in settings]
                 for k, text in enumerate(_column(part, "text").to_pylist()):
-                    own = signatures.shingle_set(signatures.word_hashes(text, cache, True), shingle)
-                    sizes.append(len(own))
-                    names.append(signatures.set_id(own))
-                    if len(own):
-                        bins.append(sketch.bins(own))
+                    words = signatures.word_hashes(text, cache, True)
+                    names.append(signatures.set_id(words))
+                    sizes.append(0)
+                    if len(words):
                         full.append(k)
+                        for own, (shingle, _) in zip(bins, settings, strict=True):
+                            found = signatures.shingle_set(words, shingle)
+                            sizes[-1] = sizes[-1] or len(found)
+                            own.append(sketch.bins(found))
                 keys: list = [None] * len(sizes)
                 if full:
-                    for k, own in zip(full, sketch.keys(signatures.np.stack(bins)), strict=True):
+                    every = signatures.np.concatenate([sketch.keys(signatures.np.stack(own), setting) for setting, own in enumerate(bins)], axis=1)
+                    for k, own in zip(full, every, strict=True):
                         keys[k] = own
                 yield pa.RecordBatch.from_arrays(
                     [_column(part, "doc_id"), pa.array(sizes, pa.int64()), pa.array(names, pa.binary()), pa.array(keys, pa.list_(pa.int64()))],
@@ -75,42 +82,44 @@ def sign(docs: DataFrame, shingle: int = SHINGLE, bands: int = BANDS, rows: int
     return docs.select("doc_id", "text").mapInArrow(run, SIGNED)
 
 
-def compare(pairs: DataFrame, texts: DataFrame, shingle: int, percent: int) -> DataFrame:
-    """Compare pairs (a, b) of nodes on their full sets; ``texts`` has (node, text).
+def compare(pairs: DataFrame, texts: DataFrame, settings: list[tuple[int, int]]) -> DataFrame:
+    """Compare pairs (a, b, setting) of nodes on their full sets; ``texts`` has (node, text).
 
-    Returns a, b, whether they are alike enough, the sizes of both sets, how many
-    shingles of a are missing from b and how many b has besides, and bitmaps of these.
+    Returns a, b, setting, whether they are alike enough, the sizes of both sets, how
+    many shingles of a are missing from b and how many b has besides, and bitmaps of these.
     """
+    listed = pairs.groupBy("a", "b").agg(F.collect_set("setting").alias("settings"))  # texts are brought once for all settings
     left = texts.select(F.col("node").alias("b"), F.col("text").alias("text_b"))
     right = texts.select(F.col("node").alias("a"), F.col("text").alias("text_a"))
-    both = pairs.join(left, "b").join(right, "a")
+    both = listed.join(left, "b").join(right, "a")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache, last, kept = signatures.Words(), None, None
+        cache, last, kept = signatures.Words(), None, {}
         for batch in batches:
-            alike, sizes, others, missing, extra, maps = [], [], [], [], [], []
-            for a, b in zip(_column(batch, "text_a"), _column(batch, "text_b"), strict=True):
-                a, b = a.as_py(), b.as_py()
-                if a != last:  # rows of the same centre follow one another
-                    last, kept = a, signatures.shingle_set(signatures.word_hashes(a, cache, True), shingle)
-                own = signatures.shingle_set(signatures.word_hashes(b, cache, True), shingle)
-                gone, more = signatures.without(kept, own), signatures.without(own, kept)
-                same = len(kept) - len(gone)
-                alike.append(same * 100 >= percent * (len(kept) + len(own) - same))
-                sizes.append(len(kept))
-                others.append(len(own))
-                missing.append(len(gone))
-                extra.append(len(more))
-                maps.append(signatures.np.concatenate([signatures.bitmap(gone), signatures.bitmap(more)]).view(signatures.np.int64))
-            yield pa.RecordBatch.from_arrays(
-                [_column(batch, "a"), _column(batch, "b"), pa.array(alike, pa.bool_()), *[pa.array(x, pa.int32()) for x in (sizes, others, missing, extra)], pa.array(maps, pa.list_(pa.int64()))],
-                ["a", "b", "alike", "size_a", "size_b", "missing", "extra", "maps"],
-            )
-
-    return both.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long, alike boolean, size_a int, size_b int, missing int, extra int, maps array<long>")
-
-
-def could_link(percent: int):
+            rows: list[tuple] = []
+            for a, b, text_a, text_b, wanted in zip(*[_column(batch, x) for x in ("a", "b", "text_a", "text_b", "settings")], strict=True):
+                a, b, text_a = a.as_py(), b.as_py(), text_a.as_py()
+                if text_a != last:  # rows of the same centre follow one another
+                    last, kept, words_a = text_a, {}, signatures.word_hashes(text_a, cache, True)
+                words_b = signatures.word_hashes(text_b.as_py(), cache, True)
+                for setting in wanted.as_py():
+                    shingle, percent = settings[setting]
+                    if setting not in kept:
+                        kept[setting] = signatures.shingle_set(words_a, shingle)
+                    own = signatures.shingle_set(words_b, shingle)
+                    gone, more = signatures.without(kept[setting], own), signatures.without(own, kept[setting])
+                    same = len(kept[setting]) - len(gone)
+                    alike = same * 100 >= percent * (len(kept[setting]) + len(own) - same)
+                    maps = signatures.np.concatenate([signatures.bitmap(gone), signatures.bitmap(more)]).view(signatures.np.int64)
+                    rows.append((a, b, setting, alike, len(kept[setting]), len(own), len(gone), len(more), maps))
+            kinds = [pa.int64(), pa.int64(), pa.int32(), pa.bool_(), *[pa.int32()] * 4, pa.list_(pa.int64())]
+            columns = zip(*rows, strict=True) if rows else [[]] * len(kinds)
+            yield pa.RecordBatch.from_arrays([pa.array(list(x), t) for x, t in zip(columns, kinds, strict=True)], [x.split()[0] for x in TESTED.split(", ")])
+
+    return both.select("a", "b", "text_a", "text_b", "settings").mapInArrow(run, TESTED)
+
+
+def could_link(percent: Column):
     """Whether two members x and y of a bucket can be alike, by what each differs in from the bucket's centre.
 
     Shared shingles are at most the centre's, less those that either lacks, and
@@ -134,34 +143,39 @@ def could_link(percent: int):
     return most * 100 >= (F.col("x_n") + F.col("y_n") - most) * percent
 
 
-def similar_size(percent: int):
+def similar_size(percent: Column):
     """The bound that sizes of alike sets keep: the smaller is at least so many percent of the larger."""
     return F.least("x_n", "y_n") * 100 >= F.greatest("x_n", "y_n") * percent
 
 
-def cluster(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """Each row's set size, component and whether it stays: doc_id, n_shingles, component_id, kept."""
-    signed = materialize(sign(docs, shingle, bands, rows))
+def cluster(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT, also: list[tuple[int, int]] | None = None, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
+    """Each row's set size, component and whether it stays: doc_id, n_shingles, component_id, kept.
+
+    ``also`` has further settings (words a shingle, percent) that link documents too.
+    """
+    settings = [(shingle, percent), *(also or [])]
+    signed = materialize(sign(docs, settings, bands, rows))
     named = signed.where("doc_id IS NOT NULL")
-    # A node for each distinct set: the least id that has it.
+    # A node for each distinct sequence of words: the least id that has it.
     nodes = materialize(named.groupBy("sid").agg(F.min("doc_id").alias("node"), F.count("*").alias("rows")))
-    # By set and id, so that the rows of a set that very many documents have aren't in one task.
+    # By words and id, so that the rows of a text that very many documents have aren't in one task.
     held = named.where("bands IS NOT NULL").join(nodes.select("sid", F.col("node").alias("doc_id")), ["sid", "doc_id"])
-    held = held.groupBy("sid").agg(F.first("doc_id").alias("node"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"))
-    spots = held.select("node", "n", F.explode("bands").alias("bucket"))
+    held = held.groupBy("sid").agg(F.first("doc_id").alias("node"), F.first("bands").alias("bands"))
+    spots = held.select("node", F.posexplode("bands").alias("place", "bucket"))
+    spots = spots.select("node", F.expr(f"place div {bands}").cast("int").alias("setting"), "bucket").distinct()
     shared = spots.groupBy("bucket").agg(F.count("*").alias("members")).where("members > 1")
     spots = materialize(spots.join(shared, "bucket"))
     # The centre of a bucket is the member that shares most places in buckets.
     fame = spots.groupBy("node").agg(F.sum("members").alias("fame"))
     centres = spots.join(fame, "node").groupBy("bucket").agg((-F.max(F.struct("fame", (-F.col("node")).alias("node")))["node"]).alias("centre"))
-    star = spots.join(centres, "bucket").where("node <> centre").select(F.col("centre").alias("a"), F.col("node").alias("b")).distinct()
+    star = spots.join(centres, "bucket").where("node <> centre").select(F.col("centre").alias("a"), F.col("node").alias("b"), "setting").distinct()
     wanted = spots.select("node", F.col("node").alias("doc_id")).distinct()
     texts = materialize(docs.where("doc_id IS NOT NULL").select("doc_id", "text").join(wanted, "doc_id").select("node", "text"))
-    tested = materialize(compare(star, texts, shingle, percent))
+    tested = materialize(compare(star, texts, settings))
     found = tested.where("alike").select("a", "b")
     several = materialize(several_texts(named))
-    rest = remaining(tested, components(found), several, percent)
-    more = compare(rest, texts, shingle, percent).where("alike").select("a", "b")
+    rest = remaining(tested, components(found), several, settings)
+    more = compare(rest, texts, settings).where("alike").select("a", "b")
     roots = components(found.unionByName(more).unionByName(links_of_ids(named, several, nodes)))
     rooted = nodes.join(roots, "node", "left").select("sid", F.coalesce("root", "node").alias("root"))
     # Rows with an id and a set take their set's root; sets that very many rows have are met by broadcast.
@@ -184,47 +198,38 @@ def links_of_ids(named: DataFrame, several: DataFrame, nodes: DataFrame) -> Data
     return by_id.join(least, "doc_id").where("node <> a").select("a", F.col("node").alias("b")).distinct()
 
 
-def remaining(tested: DataFrame, roots: DataFrame, several: DataFrame, percent: int) -> DataFrame:
-    """What the stars left apart: pairs (a, b) of one centre's members in different components that may be alike.
+def remaining(tested: DataFrame, roots: DataFrame, several: DataFrame, settings: list[tuple[int, int]]) -> DataFrame:
+    """What the stars left apart: pairs (a, b, setting) of one centre's members in different components that may be alike.
 
     One of a pair lies outside the centre's largest component. What the bitmaps
     say isn't used for nodes with several texts (``several``), which they don't tell apart.
     """
     mixed = several.select(F.col("doc_id").alias("mixed"))
-    members = tested.select(F.col("a").alias("centre"), F.col("b").alias("node"), F.col("size_a").alias("centre_n"), F.col("size_b").alias("n"), "missing", "extra", "maps")
+    members = tested.select("setting", F.col("a").alias("centre"), F.col("b").alias("node"), F.col("size_a").alias("centre_n"), F.col("size_b").alias("n"), "missing", "extra", "maps")
     members = members.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    shares = members.groupBy("centre", "root").agg(F.count("*").alias("k"))
-    groups = shares.groupBy("centre").agg(F.max(F.struct("k", "root")).alias("most"), F.count("*").alias("roots"), F.sum("k").alias("all")).where("roots > 1")
+    shares = members.groupBy("setting", "centre", "root").agg(F.count("*").alias("k"))
+    groups = shares.groupBy("setting", "centre").agg(F.max(F.struct("k", "root")).alias("most"), F.count("*").alias("roots"), F.sum("k").alias("all")).where("roots > 1")
     blocks = F.ceil((F.col("all") - F.col("most.k")) * F.col("all") / BLOCK_PAIRS)
-    groups = groups.select("centre", F.col("most.root").alias("main"), blocks.cast("int").alias("blocks"))
+    groups = groups.select("setting", "centre", F.col("most.root").alias("main"), blocks.cast("int").alias("blocks"))
     unsure = F.col("mixed").isNotNull()
     groups = groups.join(mixed, F.col("centre") == F.col("mixed"), "left").withColumn("centre_unsure", unsure).drop("mixed")
-    own = members.join(groups, "centre").join(mixed, F.col("node") == F.col("mixed"), "left").withColumn("unsure", unsure | F.col("centre_unsure"))
+    own = members.join(groups, ["setting", "centre"]).join(mixed, F.col("node") == F.col("mixed"), "left").withColumn("unsure", unsure | F.col("centre_unsure"))
     maps = [F.col("maps")[i].alias(str(i)) for i in range(2 * signatures.MAP_WORDS)]
-    own = materialize(own.select("centre", "centre_n", "main", "blocks", "node", "n", "root", "missing", "extra", "unsure", *maps))
+    own = materialize(own.select("setting", "centre", "centre_n", "main", "blocks", "node", "n", "root", "missing", "extra", "unsure", *maps))
     columns = ["node", "n", "root", "missing", "extra", "unsure", *map(str, range(2 * signatures.MAP_WORDS))]
-    one = own.where("root <> main").select("centre", "centre_n", "main", F.pmod(F.xxhash64("node"), "blocks").cast("int").alias("block"), *[F.col(c).alias(f"x_{c}") for c in columns])
-    two = own.select("centre", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), *[F.col(c).alias(f"y_{c}") for c in columns])
+    one = own.where("root <> main").select("setting", "centre", "centre_n", "main", F.pmod(F.xxhash64("node"), "blocks").cast("int").alias("block"), *[F.col(c).alias(f"x_{c}") for c in columns])
+    two = own.select("setting", "centre", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), *[F.col(c).alias(f"y_{c}") for c in columns])
     # Two outside the largest component would meet twice.
     once = (F.col("y_root") == F.col("main")) | (F.col("x_node") < F.col("y_node"))
-    rest = one.join(two, ["centre", "block"]).where(F.col("x_root") != F.col("y_root")).where(once)
+    rest = one.join(two, ["setting", "centre", "block"]).where(F.col("x_root") != F.col("y_root")).where(once)
+    percent = F.element_at(F.array(*[F.lit(p) for _, p in settings]), F.col("setting") + 1)
     rest = rest.where(F.col("x_unsure") | F.col("y_unsure") | (similar_size(percent) & could_link(percent)))
-    return rest.select(F.least("x_node", "y_node").alias("a"), F.greatest("x_node", "y_node").alias("b")).distinct()
-
-
-def keep(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
-    """The documents that stay, one of each component, with all their columns; rows that repeat its id stay too."""
-    stays = cluster(docs, shingle, percent).where("kept").select("doc_id").distinct()
-    return docs.join(stays, docs["doc_id"].eqNullSafe(stays["doc_id"]), "left_semi")
+    return rest.select(F.least("x_node", "y_node").alias("a"), F.greatest("x_node", "y_node").alias("b"), "setting").distinct()
 
 
-def keep_either(docs: DataFrame, settings: list[tuple[int, int]]) -> DataFrame:
-    """The documents that stay if all links of several settings (shingle, percent) hold at once; rows without an id stay."""
-    links = None
-    for shingle, percent in settings:
-        own = cluster(docs, shingle, percent).where("doc_id <> component_id").select(F.col("component_id").alias("a"), F.col("doc_id").alias("b")).distinct()
-        links = own if links is None else links.unionByName(own)
-    gone = components(materialize(links.distinct())).where("node <> root").select(F.col("node").alias("gone"))
+def keep(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT, also: list[tuple[int, int]] | None = None) -> DataFrame:
+    """The documents that stay, one of each component, with all their columns; rows that repeat its id stay too, and rows without an id."""
+    gone = cluster(docs, shingle, percent, also).where("NOT kept").select(F.col("doc_id").alias("gone")).distinct()
     return docs.join(gone, docs["doc_id"] == gone["gone"], "left_anti")
 
 

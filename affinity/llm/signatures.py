@@ -87,10 +87,10 @@ class Sketch:
             first[empty] = first[donor]
         return shingles[first]
 
-    def keys(self, bins: np.ndarray) -> np.ndarray:
-        """The bucket key of each band, for rows of bins; the band is part of the key."""
+    def keys(self, bins: np.ndarray, setting: int = 0) -> np.ndarray:
+        """The bucket key of each band, for rows of bins; the band and the setting are part of the key."""
         own = bins[:, : self.bands * self.rows].reshape(len(bins), self.bands, self.rows)
-        out = np.broadcast_to(self.salts, own.shape[:2]).copy()
+        out = np.broadcast_to(mix(self.salts + np.uint64(setting)), own.shape[:2]).copy()
         for r in range(self.rows):
             out = mix(out + own[:, :, r] * K1)
         return out.view(np.int64)

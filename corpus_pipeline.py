@@ -15,7 +15,7 @@ from affinity.llm.common import materialize, table
 from affinity.llm.queries import RANKS
 
 #: Words a shingle and least similarity in percent; either links two documents.
-NEAR = [(neardup.SHINGLE, neardup.PERCENT), (5, 80)]
+NEAR = [(5, 80), (neardup.SHINGLE, neardup.PERCENT)]
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -25,7 +25,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep one document of each component of near-duplicates, alike in three words (0.85) or in five (0.8)."""
-    return neardup.keep_either(docs, NEAR)
+    return neardup.keep(docs, *NEAR[0], also=NEAR[1:])
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
