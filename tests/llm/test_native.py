@@ -1,5 +1,6 @@
 """Quality rules, sharding and URL filters: against their SQL and plain Python on small fixtures."""
 
+import hashlib
 import math
 import random
 import zlib
@@ -77,6 +78,27 @@ def test_quality_finds_thin_junk(spark):
     assert all(got[i].kept for i in range(200) if i % 4)
 
 
+def by_md5(ids):
+    return sorted(ids, key=lambda i: hashlib.md5(str(i).encode()).hexdigest())
+
+
+def test_quality_threshold_by_all_labelled(spark):
+    """At most a thousandth of all clean labelled documents is lost, also where the odd ones come last by MD5."""
+    n = 20_050
+    odd = by_md5(range(n))[-30:]
+    good, junk = ["river", "stone", "cloud", "green", "walks", "under"], ["win###", "cash$$$", "click&&&", "now%%%", "free***"]
+    rng = random.Random(6)
+    texts = {i: " ".join(rng.choices(good, k=40)) for i in range(n)}
+    texts |= {i: " ".join(rng.choices(good, k=30) + rng.choices(junk, k=10)) for i in odd}
+    texts |= {n + i: " ".join(rng.choices(junk, k=80)) for i in range(2000)}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(n)], "doc_id long, quality int, toxic int")
+    passed = {r.doc_id for r in quality.judge(docs, labels).where("NOT base_failed").select("doc_id", "kept").collect() if r.kept}
+    assert 10 <= len(passed & set(odd)) < 30
+    assert not any(i >= n for i in passed)
+    assert {r.doc_id for r in quality.keep(docs, labels).select("doc_id").collect()} == passed
+
+
 def test_sharding(spark):
     docs = spark.createDataFrame([(i, t, i) for i, t in enumerate(texts() * 5)] + [(None, "x", 0), (1, "dup", 0)], "doc_id long, text string, arc int")
     got = sharding.shard(docs, 4, 16).collect()
