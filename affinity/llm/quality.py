@@ -156,11 +156,13 @@ def judge(docs: DataFrame, labels: DataFrame, threshold: int | None = None) -> D
 def keep(docs: DataFrame, labels: DataFrame, threshold: int | None = None) -> DataFrame:
     """The documents that pass, with all their columns."""
     weights = materialize(log_ratios(docs, labels))
+    rows = docs.select(F.struct(*docs.columns).alias("doc"), "text", weights.scalar().alias(WEIGHTS))
+    rows = rows.select("doc", _scores(F.col("text"), F.col(WEIGHTS)).alias("v")).select("doc", "v.base_failed", "v.n_grams", "v.llr_micro")
+    # Written with the texts: to read them again costs less than to score them again, as a filter below the scores would, too.
+    rows = materialize(rows)
     if threshold is None:
-        scored = docs.select("doc_id", "text", weights.scalar().alias(WEIGHTS)).select("doc_id", _scores(F.col("text"), F.col(WEIGHTS)).alias("v"))
-        threshold = fit_threshold(scored.select("doc_id", "v.*"), labels)
-    v = _scores(F.col("text"), F.col(WEIGHTS))
-    return docs.withColumn(WEIGHTS, weights.scalar()).where(let(v, lambda x: passes(x["base_failed"], x["n_grams"], x["llr_micro"], threshold))).drop(WEIGHTS)
+        threshold = fit_threshold(rows.select("doc.doc_id", "base_failed", "n_grams", "llr_micro"), labels)
+    return rows.where(passes(F.col("base_failed"), F.col("n_grams"), F.col("llr_micro"), threshold)).select("doc.*")
 
 
 def _scores(text: Column, weights: Column) -> Column:

@@ -99,6 +99,16 @@ def test_quality_threshold_by_all_labelled(spark):
     assert {r.doc_id for r in quality.keep(docs, labels).select("doc_id").collect()} == passed
 
 
+def test_quality_target_is_whole(spark):
+    """Where every document is trusted, the target is the corpus, so every ratio is zero; rows without an id count as raw."""
+    ids = by_md5(range(20_100))
+    docs = spark.createDataFrame([(i, "a b" if k < 20_000 else "c d") for k, i in enumerate(ids)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, 1, 0) for i in ids], "doc_id long, quality int, toxic int")
+    assert set(quality.log_ratios(docs, labels).first().weights) == {0}
+    more = docs.unionByName(spark.createDataFrame([(None, "a b")] * 50, docs.schema))
+    assert any(quality.log_ratios(more, labels).first().weights)
+
+
 def test_sharding(spark):
     docs = spark.createDataFrame([(i, t, i) for i, t in enumerate(texts() * 5)] + [(None, "x", 0), (1, "dup", 0)], "doc_id long, text string, arc int")
     got = sharding.shard(docs, 4, 16).collect()
