@@ -81,9 +81,12 @@ def cut(symbols: np.ndarray, k: int, most: int = 1 << 20) -> list[tuple[int, np.
 
 
 class Segments:
-    """The segments of several texts: for each its text, anchor, start, windows, anchor offset, content hash and how often it follows itself."""
+    """The segments of several texts: for each its text, anchor, start, windows, anchor offset, content hash and how often it follows itself.
 
-    def __init__(self, texts: list[np.ndarray], kind):
+    If not ``whole``, only the anchors are there, each segment's own.
+    """
+
+    def __init__(self, texts: list[np.ndarray], kind, whole: bool = True):
         k, g = kind.k, kind.g
         sizes = np.array([len(t) for t in texts], np.int64)
         begin = np.concatenate([[0], np.cumsum(sizes)])
@@ -105,6 +108,9 @@ class Segments:
         new[1:] = (at[1:] != at[:-1]) | ~inside[:-1] | (owner[1:n] != owner[: n - 1])
         first = np.flatnonzero(new & inside)
         ends = np.append(np.flatnonzero(new | ~inside), n)
+        if not whole:
+            self.anchor = hashes[at[first]]
+            return
         count = ends[np.searchsorted(ends, first, "right")] - first
         # Hashes of ranges: differences of prefix sums of value * BASE**place, scaled back to place 0.
         places = np.ones(len(symbols) + 1, np.uint64)

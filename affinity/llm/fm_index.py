@@ -81,15 +81,15 @@ class FMIndex:
 
         Suffixes are compared past a sequence's end too.
         """
-        rank = np.unique(symbols, return_inverse=True)[1].astype(np.int64)
-        order, size, before = np.argsort(rank, kind="stable"), 1, np.zeros(len(rank), np.int64)
+        rank = symbols.astype(np.int64)
+        order, size, before = np.argsort(rank), 1, np.zeros(len(rank), np.int64)
         while size < depth:
             shift = min(size, depth - 1 - size) or 1
             before = rank
             after = np.zeros(len(rank), np.int64)
             after[:-shift] = rank[shift:] + 1
             key = rank * (int(after.max(initial=0)) + 1) + after
-            order = np.argsort(key, kind="stable")
+            order = np.argsort(key)
             own = key[order]
             rank = np.empty(len(key), np.int64)
             rank[order] = np.cumsum(np.append(0, own[1:] != own[:-1]))

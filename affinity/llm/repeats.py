@@ -30,6 +30,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -62,12 +63,7 @@ def segments(docs: DataFrame, kind: type) -> DataFrame:
         symbols = kind()
         for batch in batches:
             for part in text_slices(batch, 1 << 20):
-                row, begin, parts = [], [], []
-                for k, text in enumerate(_column(part, "text").to_pylist()):
-                    for at, own in anchors.cut(symbols.read(text), symbols.k):
-                        row.append(k)
-                        begin.append(at)
-                        parts.append(own)
+                row, begin, parts = _cut(part, symbols)
                 salts = np.array(_column(part, "salt").to_pylist(), np.int64)
                 # Parts of a long text one by one, so that memory is bounded.
                 for few in _runs([len(x) for x in parts], 1 << 20):
@@ -84,6 +80,32 @@ def segments(docs: DataFrame, kind: type) -> DataFrame:
     return docs.where("doc_id IS NOT NULL").select("doc_id", "text", salt().alias("salt")).mapInArrow(run, SEGMENT)
 
 
+def anchor_counts(docs: DataFrame, kind: type) -> DataFrame:
+    """The anchors of the segments of all documents with an id, and how many segments in each run of texts have them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        symbols = kind()
+        for batch in batches:
+            for part in text_slices(batch, 1 << 20):
+                parts = _cut(part, symbols)[2]
+                for few in _runs([len(x) for x in parts], 1 << 20):
+                    found, times = np.unique(anchors.Segments([parts[k] for k in few], symbols, False).anchor, return_counts=True)
+                    yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array(times.astype(np.int64))], ["anchor", "times"])
+
+    return docs.where("doc_id IS NOT NULL").select("text").mapInArrow(run, "anchor long, times long")
+
+
+def _cut(part: pa.RecordBatch, symbols) -> tuple[list[int], list[int], list[np.ndarray]]:
+    """The symbols of a batch's texts, long ones in parts: the row, the place and the symbols of each."""
+    row, begin, parts = [], [], []
+    for k, text in enumerate(_column(part, "text").to_pylist()):
+        for at, own in anchors.cut(symbols.read(text), symbols.k):
+            row.append(k)
+            begin.append(at)
+            parts.append(own)
+    return row, begin, parts
+
+
 def _runs(sizes: list[int], most: int) -> Iterator[range]:
     """Neighbours of at most so much in all, or one of more."""
     first = total = 0
@@ -111,36 +133,47 @@ def class_texts(docs: DataFrame, classes: DataFrame, kind: type) -> DataFrame:
     first = classes.select("anchor", "content", "k", F.col("first.doc_id").alias("doc"), *unpacked(F.col("first.place")))
     own = F.collect_list(F.struct("anchor", "content", "k", "start", "n", "offset")).alias("own")
     wanted = first.groupBy("doc", "salt").agg(own)
-    rows = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").alias("doc"), salt().alias("salt"), "text").join(wanted, ["doc", "salt"])
+    rows = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").alias("doc"), salt().alias("salt"), "text").join(wanted.hint("merge"), ["doc", "salt"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         symbols = kind()
         for batch in batches:
             for part in text_slices(batch):
-                names = ["anchor", "content", "k", "n", "offset"]
-                out = {x: [] for x in ["doc", *names, "at", "symbols"]}
-                for doc, text, own in zip(_column(part, "doc").to_pylist(), _column(part, "text").to_pylist(), _column(part, "own").to_pylist(), strict=True):
-                    read = symbols.read(text)
-                    for c in own:
-                        taken = read[c["start"] : c["start"] + c["n"] + symbols.k - 1]
-                        if len(taken) == c["n"] + symbols.k - 1:  # else another text of the same id and salt
-                            for x in names:
-                                out[x].append(c[x])
-                            out["doc"].append(doc)
-                            out["at"].append(c["start"] + c["offset"])
-                            out["symbols"].append(taken.tobytes())
-                kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary()]
-                yield pa.RecordBatch.from_arrays([pa.array(out[x], t) for x, t in zip(out, kinds, strict=True)], list(out))
-
+                own = _column(part, "own")
+                anchor, content, k, start, n, offset = [x.to_numpy() for x in own.flatten().flatten()]
+                read = [symbols.read(text) for text in _column(part, "text").to_pylist()]
+                sizes = np.array([len(x) for x in read], np.int64)
+                begin, every = np.cumsum(sizes) - sizes, np.concatenate(read)
+                row = np.repeat(np.arange(len(read)), pc.list_value_length(own).to_numpy())
+                length = n.astype(np.int64) + symbols.k - 1
+                there = np.flatnonzero(start + length <= sizes[row])  # else another text of the same id and salt
+                # Long texts have many classes: so many symbols at a time.
+                ends = np.cumsum(length[there])
+                a = 0
+                while a < len(there):
+                    b = max(a + 1, int(np.searchsorted(ends, (ends[a - 1] if a else 0) + (1 << 22), "right")))
+                    few = there[a:b]
+                    a = b
+                    until = np.cumsum(length[few])
+                    spots = np.arange(until[-1]) + np.repeat((begin[row] + start)[few] - until + length[few], length[few])
+                    bounds = np.append(0, until * every.itemsize).astype(np.int32)
+                    taken = pa.Array.from_buffers(pa.binary(), len(few), [None, pa.py_buffer(bounds), pa.py_buffer(every[spots])])
+                    longs = [pa.array(x[few]) for x in (anchor, content, k)]
+                    ints = [pa.array(x[few].astype(np.int32)) for x in (n, offset, start + offset)]
+                    yield pa.RecordBatch.from_arrays([_column(part, "doc").take(pa.array(row[few])), *longs, *ints, taken], names)
+
+    names = ["doc", "anchor", "content", "k", "n", "offset", "at", "symbols"]
     schema = "doc long, anchor long, content long, k long, n int, offset int, at int, symbols binary"
     return rows.select("doc", "text", "own").mapInArrow(run, schema)
 
 
 def once(table: pa.Table) -> pa.Table:
     """The classes of a shard, each once: rows that repeat an id and its text bring theirs again."""
-    keys = np.stack([table[x].to_numpy() for x in ("anchor", "content")], axis=1)
-    _, first = np.unique(keys, axis=0, return_index=True)
-    return table if len(first) == len(keys) else table.take(pa.array(np.sort(first)))
+    anchor, content = (table[x].to_numpy() for x in ("anchor", "content"))
+    order = np.lexsort((content, anchor))
+    new = np.ones(len(order), bool)
+    new[1:] = (np.diff(anchor[order]) != 0) | (np.diff(content[order]) != 0)
+    return table if new.all() else table.take(pa.array(np.sort(order[new])))
 
 
 def one_by_one(texts: DataFrame, kind: type) -> DataFrame:
@@ -177,7 +210,7 @@ def first_occurrences(docs: DataFrame, kind: type, resolve: Callable, many: int
     ``resolve(table, kind)`` finds these for a shard's classes.
     """
     own = segments(docs, kind)
-    repeated = materialize(own.groupBy("anchor").agg(F.sum("times").alias("rows")).where("rows > 1"))
+    repeated = materialize(anchor_counts(docs, kind).groupBy("anchor").agg(F.sum("times").alias("rows")).where("rows > 1"))
     own = materialize(met(own, repeated.select("anchor"), hot_keys(repeated, "rows"), ["anchor"], F.col("content")))
     first = F.min(F.struct("doc_id", (F.col("start") + F.col("offset")).alias("at"), "place")).alias("first")
     classes = materialize(own.select("*", *unpacked(F.col("place"))).groupBy("anchor", "content").agg(first, F.count("*").alias("rows")))
@@ -221,7 +254,7 @@ def merged(ranges: Column) -> Column:
 
 def without(docs: DataFrame, removed: DataFrame, function: Callable, schema: str) -> DataFrame:
     """Apply ``function(texts, ranges)``, which gives record-batch columns, to every document."""
-    rows = docs.select("doc_id", "text", salt().alias("salt")).join(removed, ["doc_id", "salt"], "left").select("doc_id", "text", "ranges")
+    rows = docs.select("doc_id", "text", salt().alias("salt")).join(removed.hint("merge"), ["doc_id", "salt"], "left").select("doc_id", "text", "ranges")
     names = [x.split()[0] for x in schema.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -29,22 +29,22 @@ def resolve(table: pa.Table, kind) -> pa.Table:
     """The first document of every window of a shard's classes, by backward search in the shard's index."""
     k = kind.k
     table = repeats.once(table)
-    n = np.array(table["n"].to_pylist(), np.int64)
-    hashes = [np.frombuffer(x, np.uint64) for x in table["symbols"].to_pylist()]
+    n = table["n"].to_numpy().astype(np.int64)
+    hashes = np.frombuffer(b"".join(table["symbols"].to_pylist()), np.uint64)
     sizes = n + k - 1
-    _, numbers = np.unique(np.concatenate(hashes), return_inverse=True)
+    _, numbers = np.unique(hashes, return_inverse=True)
     begin = np.concatenate([[0], np.cumsum(sizes + 1)])
     owner = np.repeat(np.arange(len(n)), sizes)
     spot = np.arange(len(owner)) + owner  # a 0 ends each class
     symbols = np.zeros(begin[-1], np.int64)
     symbols[spot] = numbers + 1
-    docs = np.array(table["doc"].to_pylist(), np.int64)
+    docs = table["doc"].to_numpy()
     index = fm_index.FMIndex(symbols, k, np.repeat(docs, sizes + 1))
     owner = np.repeat(np.arange(len(n)), n)
     step = np.arange(len(owner)) - np.repeat(np.cumsum(n) - n, n)
     best = index.least_label(index.stream(symbols, begin[:-1], n))
     where, first, last, doc = anchors.runs_of(best, owner, step)
-    offset = np.array(table["offset"].to_pylist(), np.int64)[where]
+    offset = table["offset"].to_numpy().astype(np.int64)[where]
     ints = [pa.array(x.astype(np.int32)) for x in (offset - last, offset - first)]
     taken = pa.array(where)
     at = pa.array(np.zeros(len(where), np.int32))

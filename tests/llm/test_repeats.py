@@ -156,3 +156,10 @@ def test_long_text_is_cut_without_loss():
     parts = anchors.cut(read, 100, 700)
     assert sum(len(x) - 99 for _, x in parts) == 4901
     assert all((read[a : a + len(x)] == x).all() for a, x in parts)
+
+
+def test_texts_are_shuffled_at_every_size(spark):
+    """Few removals don't turn the last join into a broadcast, which larger tables couldn't follow."""
+    docs = spark.createDataFrame([(i, " ".join(f"w{k + i % 3}" for k in range(30))) for i in range(40)], "doc_id long, text string")
+    plan = substring_fm.digests(docs)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
