@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from affinity.llm import bpe, decontam, neardup, pii, quality, secret_scan, sharding, substring_fm, substring_sa, url_filter
+from affinity.llm import bpe, decontam, merkle, neardup, pii, quality, secret_scan, sharding, substring_fm, substring_sa, url_filter
 from affinity.llm.common import table
 
 RANKS = "byte_bpe_50k.tiktoken"
@@ -66,7 +66,12 @@ def op10_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_sa.digests(table(spark, sf_dir, "documents"))
 
 
-QUERIES = [op1_llr_quality, op2_bounded_ring, op3_minhash_dedup, op4_secret_ownership, op5_boosted_pii, op6_byte_bpe, op7_link_trust, op8_decontaminate, op9_fm_substrings, op10_suffix_array]
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's leaf, proof and roots, and the verdict on a copy with tampered rows."""
+    return merkle.manifest(table(spark, sf_dir, "documents"))
+
+
+QUERIES = [op1_llr_quality, op2_bounded_ring, op3_minhash_dedup, op4_secret_ownership, op5_boosted_pii, op6_byte_bpe, op7_link_trust, op8_decontaminate, op9_fm_substrings, op10_suffix_array, op11_merkle_manifest]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -85,4 +90,5 @@ def oracle_sql() -> dict[str, str]:
         "op8_decontaminate": decontam.judge_sql(),
         "op9_fm_substrings": substring_fm.digests_sql(),
         "op10_suffix_array": substring_sa.digests_sql(),
+        "op11_merkle_manifest": merkle.manifest_sql(),
     }
