@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from affinity.llm import bpe, decontam, merkle, neardup, pii, quality, secret_scan, sharding, substring_fm, substring_sa, url_filter
+from affinity.llm import bpe, decontam, divergence, merkle, neardup, pii, quality, secret_scan, sharding, substring_fm, substring_sa, url_filter
 from affinity.llm.common import table
 
 RANKS = "byte_bpe_50k.tiktoken"
@@ -71,7 +71,12 @@ def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.manifest(table(spark, sf_dir, "documents"))
 
 
-QUERIES = [op1_llr_quality, op2_bounded_ring, op3_minhash_dedup, op4_secret_ownership, op5_boosted_pii, op6_byte_bpe, op7_link_trust, op8_decontaminate, op9_fm_substrings, op10_suffix_array, op11_merkle_manifest]
+def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How each language's sources differ in their words."""
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
+QUERIES = [op1_llr_quality, op2_bounded_ring, op3_minhash_dedup, op4_secret_ownership, op5_boosted_pii, op6_byte_bpe, op7_link_trust, op8_decontaminate, op9_fm_substrings, op10_suffix_array, op11_merkle_manifest, op12_source_divergence]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -91,4 +96,5 @@ def oracle_sql() -> dict[str, str]:
         "op9_fm_substrings": substring_fm.digests_sql(),
         "op10_suffix_array": substring_sa.digests_sql(),
         "op11_merkle_manifest": merkle.manifest_sql(),
+        "op12_source_divergence": divergence.audit_sql(),
     }
