@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from affinity.llm import bpe, decontam, divergence, merkle, neardup, pii, quality, secret_scan, sharding, substring_fm, substring_sa, url_filter
+from affinity.llm import bpe, decontam, divergence, embedding_dedup, merkle, neardup, pii, quality, secret_scan, sharding, substring_fm, substring_sa, url_filter
 from affinity.llm.common import table
 
 RANKS = "byte_bpe_50k.tiktoken"
@@ -76,7 +76,12 @@ def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.audit(table(spark, sf_dir, "documents"))
 
 
-QUERIES = [op1_llr_quality, op2_bounded_ring, op3_minhash_dedup, op4_secret_ownership, op5_boosted_pii, op6_byte_bpe, op7_link_trust, op8_decontaminate, op9_fm_substrings, op10_suffix_array, op11_merkle_manifest, op12_source_divergence]
+def op13_hnsw_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each vector's links and component of near-duplicates."""
+    return embedding_dedup.dedup(table(spark, sf_dir, "embeddings"))
+
+
+QUERIES = [op1_llr_quality, op2_bounded_ring, op3_minhash_dedup, op4_secret_ownership, op5_boosted_pii, op6_byte_bpe, op7_link_trust, op8_decontaminate, op9_fm_substrings, op10_suffix_array, op11_merkle_manifest, op12_source_divergence, op13_hnsw_embeddings]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -97,4 +102,5 @@ def oracle_sql() -> dict[str, str]:
         "op10_suffix_array": substring_sa.digests_sql(),
         "op11_merkle_manifest": merkle.manifest_sql(),
         "op12_source_divergence": divergence.audit_sql(),
+        "op13_hnsw_embeddings": embedding_dedup.dedup_sql(),
     }
