@@ -93,6 +93,11 @@ def met(many: DataFrame, few: DataFrame, hot: DataFrame, keys: list[str], spread
     return every.select(*many.columns, *[F.col("m")[c].alias(c) for c in columns])
 
 
+def row_of(df: DataFrame) -> Column:
+    """All columns of a row as one struct, whatever their names."""
+    return F.struct(*[F.col(f"`{c.replace('`', '``')}`") for c in df.columns])
+
+
 def let(value: Column, body) -> Column:
     """``body(value)`` with the value computed once per row, also where body uses it in a lambda."""
     return F.element_at(F.transform(F.array(value), body), 1)

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from affinity.llm import window_scan
-from affinity.llm.common import text_slices
+from affinity.llm.common import row_of, text_slices
 
 BLOCK_WORDS = 300_000
 SCHEMA = T.StructType(
@@ -86,7 +86,7 @@ def keep(docs: DataFrame, benchmark: DataFrame, most: int = BLOCK_WORDS) -> Data
     A long document is dropped for one passage of 13 words too; a word or two of
     a short item, which any text may hold, count only by their share.
     """
-    found = _with_hits(docs.select(F.struct(*docs.columns).alias("row"), "text"), benchmark, most)
+    found = _with_hits(docs.select(row_of(docs).alias("row"), "text"), benchmark, most)
     return found.where(~(contaminated() | holds_passage())).select("row.*")
 
 

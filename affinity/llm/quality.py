@@ -31,7 +31,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from affinity.llm.common import BLANK_CLASS, CRC_CTES, CRC_OF_HX, blank_words, let, materialize
+from affinity.llm.common import BLANK_CLASS, CRC_CTES, CRC_OF_HX, blank_words, let, materialize, row_of
 
 #: Buckets of single words, and as many again of word pairs.
 BUCKETS = 4096
@@ -156,7 +156,7 @@ def judge(docs: DataFrame, labels: DataFrame, threshold: int | None = None) -> D
 def keep(docs: DataFrame, labels: DataFrame, threshold: int | None = None) -> DataFrame:
     """The documents that pass, with all their columns."""
     weights = materialize(log_ratios(docs, labels))
-    rows = docs.select(F.struct(*docs.columns).alias("doc"), "text", weights.scalar().alias(WEIGHTS))
+    rows = docs.select(row_of(docs).alias("doc"), "text", weights.scalar().alias(WEIGHTS))
     rows = rows.select("doc", _scores(F.col("text"), F.col(WEIGHTS)).alias("v")).select("doc", "v.base_failed", "v.n_grams", "v.llr_micro")
     # Written with the texts: to read them again costs less than to score them again, as a filter below the scores would, too.
     rows = materialize(rows)

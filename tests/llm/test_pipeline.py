@@ -65,3 +65,15 @@ def test_stages_on_odd_rows(spark, tmp_path):
         out = stage(spark, docs, str(tmp_path))
         assert out.schema.names == docs.schema.names
         assert sorted(((r.doc_id, r.text, r.item_ids) for r in out.collect()), key=str) == sorted(((i, t, "x") for i, t in some), key=str)
+
+
+def test_stages_on_any_column_names(spark, tmp_path):
+    """Names with dots, backticks and spaces pass through all stages that keep columns; the last one ignores them."""
+    write(spark, str(tmp_path))
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet").where("doc_id < 20").selectExpr("*", "1 AS `a.b`", "2 AS `doc.text`", "3 AS `c d`", "4 AS `e``f`", "5 AS row")
+    for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
+        out = stage(spark, docs, str(tmp_path))
+        assert out.count() == 20
+        if k < 4:
+            assert out.schema.names == docs.schema.names
+            assert [tuple(r)[5:] for r in out.collect()] == [(1, 2, 3, 4, 5)] * 20
