@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from affinity.operators import frontier, layers, traversal
+from affinity.operators import frontier, layers, neighbour_index, traversal
 from affinity.plans.registry import Registry, table
 
 REGISTRY = Registry()
@@ -234,6 +234,27 @@ def knn_cosine(spark: SparkSession, sf_dir: str) -> DataFrame:
     return frontier.nearest(table(spark, sf_dir, "embeddings"), "vec_id", "embedding").drop("cosine")
 
 
+@REGISTRY.add(f"WITH {KNN_SQL.format(k=8)} SELECT id, other, rank FROM near WHERE id % 100 = 0")
+def knn_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 8 nearest others of a hundredth of the vectors, by cells and angle bounds, exact."""
+    points = table(spark, sf_dir, "embeddings")
+    index = neighbour_index.CellIndex(points, "vec_id", "embedding")
+    return index.nearest(points.where("vec_id % 100 = 0"), "vec_id").drop("cosine")
+
+
+@REGISTRY.add()
+def knn_index_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same from as many cells as nine tenths of the neighbours take: true neighbours, those found, recall."""
+    points = table(spark, sf_dir, "embeddings")
+    index = neighbour_index.CellIndex(points, "vec_id", "embedding")
+    asked = points.where("vec_id % 100 = 0")
+    probes, _ = index.probes_for(0.95)
+    pairs = lambda d: d.select("id", "other")
+    true, found = pairs(index.nearest(asked, "vec_id")), pairs(index.nearest(asked, "vec_id", probes=probes))
+    both = true.join(found.withColumn("hit", F.lit(1)), ["id", "other"], "left").agg(F.count("*").alias("neighbours"), F.count("hit").alias("found"))
+    return both.withColumn("recall", F.col("found") / F.col("neighbours")).withColumn("probes", F.lit(probes)).withColumn("cells", F.lit(len(index.centres)))
+
+
 @REGISTRY.add(f"""WITH {KNN_SQL.format(k=8)}, {HOME_SQL}
 SELECT other AS node, count(DISTINCT id) AS sources, list_sort(list(DISTINCT id)) AS via FROM near
 WHERE id IN (SELECT node FROM home) AND other NOT IN (SELECT node FROM home) GROUP BY other ORDER BY sources DESC, node LIMIT 20""")
