@@ -1,11 +1,11 @@
 """How the sources of a language differ in their words: smoothed term shares, chi-square contributions.
 
 The terms of a text are its runs of letters (all code points from 128 on count as
-letters), only A-Z lower-cased. One aggregation, combined before its shuffle,
-counts each term's occurrences and documents by language and source. A term's
-counts are then one row: an array over the language's sources, zero where it
-doesn't occur. Higher-order functions turn each row into the sources' shares, and
-from these each pair of sources gets the term's contribution, which partial
+letters), only A-Z lower-cased. Each task counts its texts' terms, occurrences and
+documents, by language and source; one shuffle brings the counts of a term
+together. They are then one row: an array over the language's sources, zero where
+it doesn't occur. Higher-order functions turn each row into the sources' shares,
+and from these each pair of sources gets the term's contribution, which partial
 aggregation sums where it arises: a shuffle has one row for each pair and task.
 
 A term that fills a third of all texts is a few partial rows; a source that holds
@@ -22,6 +22,10 @@ kept term: its pairs have the value 0. An empty table gives no rows.
 
 from __future__ import annotations
 
+from collections import Counter
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -31,21 +35,56 @@ LEAST_DOCS, SCALE, MOST_TERMS = 3, 1_000_000_000, 200
 #: Parts into which a language's terms are dealt to meet its heads.
 SALTS = 64
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-NO_LETTERS = r"[\x00-\x40\x5B-\x60\x7B-\x7F]+"
+#: What becomes of each byte: A to Z are lower-cased, other bytes under 128 but a to z are spaces.
+LETTERS = bytes(c if c >= 128 or chr(c) in LOWER else c + 32 if chr(c) in UPPER else 32 for c in range(256))
+#: Bytes of a text that are cut into terms at once, and counts that a task holds at most before it gives them out.
+PIECE_BYTES, MOST_HELD = 4 << 20, 400_000
 
 
-def terms(text: Column) -> Column:
-    """The terms of a text, in order."""
-    return F.array_remove(F.split(F.translate(text, UPPER, LOWER), NO_LETTERS, -1), "")
+def terms(text: str) -> Iterator[list[bytes]]:
+    """The terms of a text in order, as UTF-8, a long text's in several lists."""
+    data = text.encode().translate(LETTERS)
+    begin = 0
+    while begin < len(data):
+        end = data.find(b" ", begin + PIECE_BYTES) if len(data) > begin + PIECE_BYTES else -1
+        end = len(data) if end < 0 else end
+        yield data[begin:end].split(b" ")
+        begin = end + 1
 
 
 def counted(docs: DataFrame) -> DataFrame:
-    """lang, source, term, n (occurrences), d (documents)."""
+    """lang, source, term, n (occurrences), d (documents); rows of one term are in one partition.
+
+    A task counts its texts by language and source as long as it holds fewer than
+    ``MOST_HELD`` counts, then gives them out, so they are combined before the shuffle.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[tuple, tuple[Counter, Counter]] = {}
+
+        def given() -> Iterator[pa.RecordBatch]:
+            for (lang, source), (n, d) in held.items():
+                del n[b""], d[b""]
+                words = list(n)
+                columns = [pa.array([lang] * len(words), pa.string()), pa.array([source] * len(words), pa.string()), pa.array(words, pa.binary()).cast(pa.string())]
+                yield pa.RecordBatch.from_arrays([*columns, pa.array([n[t] for t in words], pa.int64()), pa.array([d[t] for t in words], pa.int64())], ["lang", "source", "term", "n", "d"])
+            held.clear()
+
+        for batch in batches:
+            for lang, source, text in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+                n, d = held.setdefault((lang, source), (Counter(), Counter()))
+                own: set[bytes] = set()
+                for some in terms(text):
+                    n.update(some)
+                    own.update(some)
+                d.update(own)
+            if sum(len(n) for n, _ in held.values()) > MOST_HELD:
+                yield from given()
+        yield from given()
+
     read = docs.select(*[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in ("lang", "source", "text")])
-    # A text's terms, and each of them once.
-    both = read.select("lang", "source", terms(F.col("text")).alias("own")).select("lang", "source", F.posexplode(F.array("own", F.array_distinct("own"))).alias("once", "some"))
-    each = both.select("lang", "source", "once", F.explode("some").alias("term"))
-    return each.groupBy("lang", "source", "term").agg(F.sum(1 - F.col("once")).alias("n"), F.sum("once").alias("d"))
+    each = read.mapInArrow(run, "lang string, source string, term string, n long, d long")
+    return each.repartition("lang", "term").groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("d").alias("d"))
 
 
 def share(n: Column, total: Column, kept: Column) -> Column:
@@ -85,12 +124,13 @@ def audit(docs: DataFrame) -> DataFrame:
     totals = totals.groupBy("lang").agg(F.array_sort(F.collect_list(F.struct("i", "n"))).alias("t"), F.max("kept").alias("kept"), F.sum("n").alias("all"))
     heads = materialize(sources.join(totals.select("lang", F.col("t.n").alias("totals"), "kept", "all"), "lang", "left"))
     each = by_language(rows, heads)
-    shares = each.select("lang", "term", "sources", "counts", F.transform("counts", lambda n, i: share(n, F.get("totals", i), F.col("kept"))).alias("shares"), share(F.aggregate("counts", F.lit(0).cast("long"), lambda a, n: a + n), F.col("all"), F.col("kept")).alias("q"))
+    shares = materialize(each.select("lang", "term", "sources", "counts", F.transform("counts", lambda n, i: share(n, F.get("totals", i), F.col("kept"))).alias("shares"), share(F.aggregate("counts", F.lit(0).cast("long"), lambda a, n: a + n), F.col("all"), F.col("kept")).alias("q")))
     ranked = Window.partitionBy("lang", "source").orderBy(F.desc("value"), "item")
 
     place = shares.select("lang", "shares", F.posexplode("shares").alias("i", "p"))
-    given = place.select("lang", "i", F.posexplode(F.transform("shares", lambda q: contribution(F.col("p"), q))).alias("j", "value"))
-    sums = given.where("i <> j").groupBy("lang", "i", "j").agg(F.sum("value").alias("value"))
+    # The contributions are computed as generated code: as a higher-order function they took seven times as long.
+    given = place.select("lang", "i", "p", F.posexplode("shares").alias("j", "q")).where("i <> j")
+    sums = given.groupBy("lang", "i", "j").agg(F.sum(contribution(F.col("p"), F.col("q"))).alias("value"))
     asked = heads.select("lang", "sources", F.posexplode("sources").alias("i", "source")).select("lang", "i", "source", F.posexplode("sources").alias("j", "item")).where("i <> j")
     pairs = asked.join(sums, ["lang", "i", "j"], "left").select("lang", "source", F.lit("pair").alias("part"), "item", F.coalesce("value", F.lit(0).cast("long")).alias("value"))
     pairs = pairs.withColumn("rank", F.row_number().over(ranked))

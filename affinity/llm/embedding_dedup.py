@@ -165,7 +165,10 @@ def neighbours(known: DataFrame, limit: float = LIMIT) -> DataFrame:
     sizes = sizes.select("dim", parts(LEAST_SHARDS, SHARD_ROWS).alias("shards"), parts(LEAST_BLOCKS, BLOCK_ROWS).alias("blocks"))
     dealt = known.select("cid", "weight", "dim", "embedding").join(sizes, "dim")
     home = F.pmod(F.xxhash64("cid"), F.col("shards")).cast("int")
-    index = materialize(dealt.withColumn("shard", home).groupBy("dim", "shard").applyInArrow(build, "dim int, shard int, piece int, data binary"))
+    n = known.count()
+    # A stated number of partitions, as adaptive execution would put these small but slow groups into few tasks.
+    tasks = max(int(known.sparkSession.conf.get("spark.sql.shuffle.partitions")), 4 * LEAST_SHARDS * LEAST_BLOCKS, 2 * (n // SHARD_ROWS) * (n // BLOCK_ROWS))
+    index = materialize(dealt.withColumn("shard", home).repartition(tasks, "dim", "shard").groupBy("dim", "shard").applyInArrow(build, "dim int, shard int, piece int, data binary"))
     each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     copies = index.join(sizes, "dim").select("dim", "shard", "piece", "data", each("blocks").alias("block"))
     asked = dealt.withColumn("block", F.pmod(F.xxhash64("cid", F.lit(1)), F.col("blocks")).cast("int")).select("cid", "dim", "embedding", "block", each("shards").alias("shard"))
@@ -184,6 +187,7 @@ def neighbours(known: DataFrame, limit: float = LIMIT) -> DataFrame:
         return pa.concat_tables([sums, stars, audit])
 
     keys = ["dim", "shard", "block"]
+    asked, copies = asked.repartition(tasks, *keys), copies.repartition(tasks, *keys)
     return materialize(asked.groupBy(*keys).cogroup(copies.groupBy(*keys)).applyInArrow(run, FOUND))
 
 
