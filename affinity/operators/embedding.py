@@ -1,68 +1,13 @@
-"""Node embeddings: metapath walks, skip-gram vectors, projection."""
+"""Node embeddings: skip-gram vectors of walks, projection."""
 
 from __future__ import annotations
 
-import random
-from collections.abc import Iterator
-
-import pyarrow as pa
 from pyspark.ml.feature import PCA, Normalizer, Word2Vec
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-STEPS, WALKS, TAG_SHARE = 39, 8, 0.4
 DIMENSIONS, WINDOW, EPOCHS = 128, 5, 5
-#: Edges and tags up to which walks are made by workers that hold the whole graph.
-WHOLE_GRAPH_ROWS = 3_000_000
-
-
-def walks(edges: DataFrame, tagged: DataFrame, seed: int = 42, each: int = WALKS, steps: int = STEPS) -> DataFrame:
-    """Metapath random walks from every node: node, walk, tokens.
-
-    A step goes, with a chance of 0.4 and if the node has tags, by a uniform tag
-    to a uniform other node of it (two tokens); else to a neighbour drawn by
-    weight; a dead end stops. ``edges`` has (src, dst, weight), ``tagged``
-    (node, tag). A walk's draws depend on seed, node and walk alone, so a lost
-    task's walks come out the same.
-    """
-    if (size := edges.count() + tagged.count()) > WHOLE_GRAPH_ROWS:
-        raise ValueError(f"{size} edges and tags; workers hold {WHOLE_GRAPH_ROWS} at most")
-    near: dict = {}
-    for r in edges.orderBy("src", "dst").collect():
-        near.setdefault(r["src"], []).append((r["dst"], float(r["weight"])))
-        near.setdefault(r["dst"], []).append((r["src"], float(r["weight"])))
-    tags_of: dict = {}
-    nodes_of: dict = {}
-    for r in tagged.select("node", "tag").distinct().orderBy("node", "tag").collect():
-        tags_of.setdefault(r["node"], []).append(r["tag"])
-        nodes_of.setdefault(r["tag"], []).append(r["node"])
-
-    def walk(start, rng: random.Random) -> list[str]:
-        at, out = start, [f"artist::{start}"]
-        for _ in range(steps):
-            if tags_of.get(at) and rng.random() < TAG_SHARE:
-                tag = rng.choice(tags_of[at])
-                others = [x for x in nodes_of[tag] if x != at]
-                if others:
-                    at = rng.choice(others)
-                    out += [f"tag::{tag}", f"artist::{at}"]
-                    continue
-            if not near.get(at):
-                break
-            at = rng.choices([b for b, _ in near[at]], [w for _, w in near[at]])[0]
-            out.append(f"artist::{at}")
-        return out
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = [(n, k) for n in batch.column(0).to_pylist() for k in range(each)]
-            tokens = [walk(n, random.Random(f"{seed}/{n}/{k}")) for n, k in rows]
-            yield pa.RecordBatch.from_arrays([pa.array([n for n, _ in rows], batch.schema.field(0).type), pa.array([k for _, k in rows], pa.int32()), pa.array(tokens)], ["node", "walk", "tokens"])
-
-    nodes = edges.select(F.explode(F.array("src", "dst")).alias("node")).union(tagged.select("node")).distinct()
-    kind = nodes.schema["node"].dataType.simpleString()
-    return nodes.mapInArrow(run, f"node {kind}, walk int, tokens array<string>")
 
 
 def skip_gram(corpus: DataFrame, seed: int = 42, size: int = DIMENSIONS, epochs: int = EPOCHS, partitions: int | None = None) -> DataFrame:

@@ -6,7 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from affinity.functions import vectors
-from affinity.operators import layers, order
+from affinity.operators import embedding, factors, layers, order, walks
+from affinity.operators.order import drawn
+from affinity.operators.session import cut
 
 PASS_AUC = 0.7
 
@@ -16,12 +18,6 @@ def holdout(edges: DataFrame, share: float = 0.1, seed: int = 42) -> DataFrame:
     return edges.withColumn("held_out", drawn(F.col("src"), F.col("dst"), F.lit(seed)) < int(share * 2**32))
 
 
-def drawn(*parts: Column) -> Column:
-    """A number of 32 bits that follows from its parts alone."""
-    key = F.concat_ws(":", *[p.cast("string") for p in parts])
-    return F.conv(F.substring(F.md5(key.cast("binary")), 1, 8), 16, 10).cast("long")
-
-
 def negatives(edges: DataFrame, nodes: DataFrame, per_node: int, seed: int = 42, most: Column | None = None) -> DataFrame:
     """Pairs of nodes without an edge, drawn by hash: src, dst; exactly ``most`` if it is given and so many are drawn.
 
@@ -69,6 +65,35 @@ def cosine_scores(pairs: DataFrame, points: DataFrame, vector: str) -> DataFrame
     return both.withColumn("score", vectors.cosine(F.col("src_vector"), F.col("dst_vector"))).drop("src_vector", "dst_vector")
 
 
+def held_out_pairs(edges: DataFrame, share: float, seed: int, per_node: int = 4) -> DataFrame:
+    """Held-out edges between nodes of the training graph and as many drawn pairs without an edge: src, dst, y."""
+    split = holdout(edges, share, seed)
+    nodes = layers.endpoints(split.where("NOT held_out"))
+    held = split.where("held_out").select("src", "dst")
+    for end in ("src", "dst"):
+        held = held.join(nodes.withColumnRenamed("node", end), end, "left_semi")
+    apart = negatives(edges, nodes, per_node, seed, most=held.agg(F.count("*").alias("n")).scalar())
+    return held.withColumn("y", F.lit(True)).unionByName(apart.withColumn("y", F.lit(False)))
+
+
+def link_prediction(edges: DataFrame, tagged: DataFrame, share: float = 0.1, seed: int = 42, size: int = factors.DIMENSIONS, each: int = walks.WALKS, steps: int = walks.STEPS) -> DataFrame:
+    """How well vectors trained without the held-out edges tell these from drawn pairs, beside the degrees' product.
+
+    auc_vectors, auc_degrees, n_positive, n_negative. Pairs with an end that has no
+    vector have a cosine of 0. Nodes of the walks are named by their strings.
+    """
+    edges = cut(edges)
+    train = cut(holdout(edges, share, seed).where("NOT held_out").drop("held_out"))
+    pairs = cut(held_out_pairs(edges, share, seed))
+    vectors_ = cut(embedding.node_vectors(factors.token_vectors(walks.walks(train, tagged, seed, each, steps), size)))
+    ends = lambda end: vectors_.select(F.col("node").alias(f"{end}_name"), F.col("vector").alias(f"{end}_vector"))
+    named = pairs.withColumns({f"{end}_name": F.col(end).cast("string") for end in ("src", "dst")})
+    both = named.join(ends("src"), "src_name", "left").join(ends("dst"), "dst_name", "left")
+    near = both.select("y", F.coalesce(vectors.cosine(F.col("src_vector"), F.col("dst_vector")), F.lit(0.0)).alias("score"))
+    by_vectors, by_degrees = auc(near, "score", "y"), auc(preferential_attachment(pairs, train), "score", "y")
+    return by_vectors.select(F.col("auc").alias("auc_vectors"), "n_positive", "n_negative").withColumn("auc_degrees", by_degrees.select("auc").scalar())
+
+
 def silhouette(points: DataFrame, id: str, label: str, vector: str) -> DataFrame:
     """Mean cosine silhouette over labels: label, n, silhouette.
 

@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from affinity.functions import vectors
-from affinity.operators import evaluate
+from affinity.operators.order import drawn
 from affinity.operators.session import cut
 
 #: Points from which the centres are fitted, rounds of k-means, centres, points in a block, queries of the recall measure.
@@ -38,7 +38,7 @@ NEAR = "id long, other long, cosine double"
 
 def lowest(rows: DataFrame, id: str, most: int, salt: str) -> DataFrame:
     """At most so many rows of least hash of their id; the limit is taken in each task first."""
-    return rows.orderBy(evaluate.drawn(F.col(id), F.lit(salt)), id).limit(most)
+    return rows.orderBy(drawn(F.col(id), F.lit(salt)), id).limit(most)
 
 
 def fitted(sample: np.ndarray, cells: int) -> np.ndarray:
