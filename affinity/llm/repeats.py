@@ -20,7 +20,7 @@ shuffled by document, the same way at every size.
 Rows without an id keep all of their text and aren't compared. Rows that repeat
 an id are one document for the order of occurrences ("earlier" is the smaller id,
 then the earlier start in any of its rows), but each row loses what its own text
-repeats; different texts of one id are told apart by 18 bits of a hash. Texts of
+repeats; different texts of one id are told apart by 64 bits of a hash. Texts of
 any length are cut in overlapping parts.
 """
 
@@ -37,9 +37,9 @@ from pyspark.sql import functions as F
 from affinity.llm import anchors, signatures
 from affinity.llm.common import hot_keys, let, materialize, met, running, text_slices
 
-#: ``place`` packs start (31 bits), n (7), offset (7) and the salt of the text (18).
-SALT_BITS, BITS = 18, 7
-SEGMENT = "doc_id long, anchor long, content long, place long, times int"
+#: ``place`` packs start (31 bits), n (7) and offset (7).
+BITS = 7
+SEGMENT = "doc_id long, body long, anchor long, content long, place long, times int"
 CLASS = "anchor long, content long, lo int, hi int, doc long, at int"
 #: Classes of an anchor from which its windows are aggregated one by one.
 MANY_CLASSES = 4000
@@ -51,9 +51,9 @@ def _column(batch: pa.RecordBatch, name: str) -> pa.Array:
     return batch.column(batch.schema.get_field_index(name))
 
 
-def salt() -> Column:
-    """What tells texts of one id apart."""
-    return F.xxhash64("text").bitwiseAND(F.lit((1 << SALT_BITS) - 1)).cast("int")
+def body() -> Column:
+    """What tells texts of one id apart: a hash of 64 bits."""
+    return F.xxhash64("text")
 
 
 def segments(docs: DataFrame, kind: type) -> DataFrame:
@@ -64,20 +64,20 @@ def segments(docs: DataFrame, kind: type) -> DataFrame:
         for batch in batches:
             for part in text_slices(batch, 1 << 20):
                 row, begin, parts = _cut(part, symbols)
-                salts = np.array(_column(part, "salt").to_pylist(), np.int64)
                 # Parts of a long text one by one, so that memory is bounded.
                 for few in _runs([len(x) for x in parts], 1 << 20):
                     found = anchors.Segments([parts[k] for k in few], symbols)
                     if len(found.text):
                         where = np.array([row[k] for k in few])[found.text]
                         start = found.start + np.array([begin[k] for k in few])[found.text]
-                        place = ((start << BITS | found.n) << BITS | found.offset) << SALT_BITS | salts[where]
+                        place = (start << BITS | found.n) << BITS | found.offset
+                        rows = pa.array(where)
                         yield pa.RecordBatch.from_arrays(
-                            [_column(part, "doc_id").take(pa.array(where)), pa.array(found.anchor.view(np.int64)), pa.array(found.content.view(np.int64)), pa.array(place), pa.array(found.times.astype(np.int32))],
-                            ["doc_id", "anchor", "content", "place", "times"],
+                            [_column(part, "doc_id").take(rows), _column(part, "body").take(rows), pa.array(found.anchor.view(np.int64)), pa.array(found.content.view(np.int64)), pa.array(place), pa.array(found.times.astype(np.int32))],
+                            ["doc_id", "body", "anchor", "content", "place", "times"],
                         )
 
-    return docs.where("doc_id IS NOT NULL").select("doc_id", "text", salt().alias("salt")).mapInArrow(run, SEGMENT)
+    return docs.where("doc_id IS NOT NULL").select("doc_id", "text", body().alias("body")).mapInArrow(run, SEGMENT)
 
 
 def anchor_counts(docs: DataFrame, kind: type) -> DataFrame:
@@ -119,21 +119,20 @@ def _runs(sizes: list[int], most: int) -> Iterator[range]:
 
 
 def unpacked(place: Column) -> list[Column]:
-    """start, n, offset and salt of packed places."""
+    """start, n and offset of packed places."""
     low = lambda c, bits: c.bitwiseAND(F.lit((1 << bits) - 1)).cast("int")
     shift = lambda bits: F.shiftright(place, bits)
     return [
-        shift(2 * BITS + SALT_BITS).cast("int").alias("start"), low(shift(BITS + SALT_BITS), BITS).alias("n"),
-        low(shift(SALT_BITS), BITS).alias("offset"), low(place, SALT_BITS).alias("salt"),
+        shift(2 * BITS).cast("int").alias("start"), low(shift(BITS), BITS).alias("n"), low(place, BITS).alias("offset"),
     ]
 
 
 def class_texts(docs: DataFrame, classes: DataFrame, kind: type) -> DataFrame:
     """The symbols of each class, from its first occurrence: the class's columns and ``symbols`` (binary)."""
-    first = classes.select("anchor", "content", "k", F.col("first.doc_id").alias("doc"), *unpacked(F.col("first.place")))
+    first = classes.select("anchor", "content", "k", F.col("first.doc_id").alias("doc"), F.col("first.body").alias("body"), *unpacked(F.col("first.place")))
     own = F.collect_list(F.struct("anchor", "content", "k", "start", "n", "offset")).alias("own")
-    wanted = first.groupBy("doc", "salt").agg(own)
-    rows = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").alias("doc"), salt().alias("salt"), "text").join(wanted.hint("merge"), ["doc", "salt"])
+    wanted = first.groupBy("doc", "body").agg(own)
+    rows = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").alias("doc"), body().alias("body"), "text").join(wanted.hint("merge"), ["doc", "body"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         symbols = kind()
@@ -146,7 +145,7 @@ def class_texts(docs: DataFrame, classes: DataFrame, kind: type) -> DataFrame:
                 begin, every = np.cumsum(sizes) - sizes, np.concatenate(read)
                 row = np.repeat(np.arange(len(read)), pc.list_value_length(own).to_numpy())
                 length = n.astype(np.int64) + symbols.k - 1
-                there = np.flatnonzero(start + length <= sizes[row])  # else another text of the same id and salt
+                there = np.flatnonzero(start + length <= sizes[row])  # else another text of the same id and hash
                 # Long texts have many classes: so many symbols at a time.
                 ends = np.cumsum(length[there])
                 a = 0
@@ -212,7 +211,7 @@ def first_occurrences(docs: DataFrame, kind: type, resolve: Callable, many: int
     own = segments(docs, kind)
     repeated = materialize(anchor_counts(docs, kind).groupBy("anchor").agg(F.sum("times").alias("rows")).where("rows > 1"))
     own = materialize(met(own, repeated.select("anchor"), hot_keys(repeated, "rows"), ["anchor"], F.col("content")))
-    first = F.min(F.struct("doc_id", (F.col("start") + F.col("offset")).alias("at"), "place")).alias("first")
+    first = F.min(F.struct("doc_id", (F.col("start") + F.col("offset")).alias("at"), "place", "body")).alias("first")
     classes = materialize(own.select("*", *unpacked(F.col("place"))).groupBy("anchor", "content").agg(first, F.count("*").alias("rows")))
     kinds = materialize(classes.groupBy("anchor").agg(F.count("*").alias("k")))
     several = met(classes.select("anchor", "content", "first"), kinds, hot_keys(kinds, "k"), ["anchor"], F.col("content"))
@@ -225,20 +224,20 @@ def first_occurrences(docs: DataFrame, kind: type, resolve: Callable, many: int
 
 
 def removals(docs: DataFrame, kind: type, resolve: Callable, earlier: Callable[[Column, Column, Column, Column], Column], many: int = MANY_CLASSES) -> DataFrame:
-    """The symbols to remove from each text that loses some: doc_id, salt, ranges (start, end exclusive)."""
+    """The symbols to remove from each text that loses some: doc_id, body, ranges (start, end exclusive)."""
     own, classes, runs = first_occurrences(docs, kind, resolve, many)
     keys, k = ["anchor", "content"], kind.k
     hit = met(own, runs.withColumnRenamed("at", "best_at"), hot_keys(classes, "rows"), keys, F.xxhash64("doc_id", "place"))
-    hit = hit.select("doc_id", "times", "lo", "hi", "doc", "best_at", *unpacked(F.col("place")))
+    hit = hit.select("doc_id", "body", "times", "lo", "hi", "doc", "best_at", *unpacked(F.col("place")))
     at = F.col("start") + F.col("offset")
     # Of segments that follow themselves, the later ones may repeat the first.
     gone = lambda shift: F.coalesce(earlier(F.col("doc"), F.col("best_at"), F.col("doc_id"), at + shift), F.lit(False))
     first, later = gone(F.lit(0)), gone(F.col("n")) & (F.col("times") > 1)
     a = F.greatest(F.col("start"), at - F.col("hi")) + F.when(first, 0).otherwise(F.col("n"))
     b = F.least(F.col("start") + F.col("n") - 1, at - F.col("lo")) + k + (F.col("times") - 1) * F.col("n")
-    ranges = hit.where(first | later).select("doc_id", "salt", a.alias("a"), b.alias("b")).where(F.col("b") - F.col("a") >= k)
-    listed = ranges.groupBy("doc_id", "salt").agg(F.array_sort(F.collect_set(F.struct("a", "b"))).alias("r"))
-    return materialize(listed.select("doc_id", "salt", merged(F.col("r")).alias("ranges")))
+    ranges = hit.where(first | later).select("doc_id", "body", a.alias("a"), b.alias("b")).where(F.col("b") - F.col("a") >= k)
+    listed = ranges.groupBy("doc_id", "body").agg(F.array_sort(F.collect_set(F.struct("a", "b"))).alias("r"))
+    return materialize(listed.select("doc_id", "body", merged(F.col("r")).alias("ranges")))
 
 
 def merged(ranges: Column) -> Column:
@@ -254,7 +253,7 @@ def merged(ranges: Column) -> Column:
 
 def without(docs: DataFrame, removed: DataFrame, function: Callable, schema: str) -> DataFrame:
     """Apply ``function(texts, ranges)``, which gives record-batch columns, to every document."""
-    rows = docs.select("doc_id", "text", salt().alias("salt")).join(removed.hint("merge"), ["doc_id", "salt"], "left").select("doc_id", "text", "ranges")
+    rows = docs.select("doc_id", "text", body().alias("body")).join(removed.hint("merge"), ["doc_id", "body"], "left").select("doc_id", "text", "ranges")
     names = [x.split()[0] for x in schema.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -73,6 +73,17 @@ def test_brute(spark, many):
     assert sorted(map(tuple, substring_sa.digests(frame, many).collect()), key=str) == brute_bytes(docs)
 
 
+def test_texts_of_one_id(spark):
+    """Each row of a repeated id loses what its own text repeats, however many texts the id has and however alike their hashes are."""
+    shared, other = [f"s{k}" for k in range(20)], [f"o{k}" for k in range(20)]
+    docs = [(0, " ".join(shared)), (1, " ".join([*shared, "a16"])), (1, " ".join([*other, "b449"]))]
+    # The hashes of the last two agree in 18 bits.
+    docs += [(7, f"{' '.join(shared) if k % 100 == 0 else ' '.join(other[k % 7 :])} tail {k}") for k in range(5000)]
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    assert sorted(map(tuple, substring_fm.digests(frame).collect()), key=str) == brute_words(docs)
+    assert sorted(map(tuple, substring_sa.digests(frame).collect()), key=str) == brute_bytes(docs)
+
+
 def test_empty(spark):
     none = spark.createDataFrame([], "doc_id long, text string")
     assert substring_fm.dedup(none).count() == 0
