@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from affinity.operators.order import drawn
-from affinity.operators.session import cut
+from affinity.operators.session import written
 
 DIMENSIONS, WINDOW, NEGATIVES, SMOOTHING, ROUNDS = 128, 5, 5, 0.75, 5
 
@@ -41,7 +41,7 @@ def cooccurrences(corpus: DataFrame, window: int = WINDOW) -> DataFrame:
 
 def shifted_pmi(counts: DataFrame, negatives: int = NEGATIVES, smoothing: float = SMOOTHING) -> DataFrame:
     """The positive part of each pair's log ratio to the negatives' chance: a, b, value."""
-    sizes = cut(counts.groupBy("a").agg(F.sum("n").alias("size")))
+    sizes = written(counts.groupBy("a").agg(F.sum("n").alias("size")))
     total = sizes.agg(F.sum(F.pow("size", F.lit(smoothing))).alias("t")).scalar()
     b = sizes.select(F.col("a").alias("b"), (F.pow("size", F.lit(smoothing)) / total).alias("p"))
     value = F.log(F.col("n") / (F.col("size") * F.col("p"))) - math.log(negatives)
@@ -99,29 +99,29 @@ def power_iteration(table: DataFrame, back: DataFrame, size: int, rounds: int, s
     """An orthonormal block (b, v) that spans the leading right singular vectors of a table; ``back`` is its transpose."""
     more = size + 8  # a few spare columns make the last ones settle
     start = table.select("b").distinct().select("b", array_to_vector(F.transform(F.sequence(F.lit(1), F.lit(more)), lambda k: drawn(F.col("b"), k, F.lit(seed)) / float(1 << 32) - 0.5)).alias("v"))
-    block = cut(start)
+    block = written(start)
     for _ in range(rounds):
-        left = cut(times(table, block))
+        left = written(times(table, block))
         left = turned(left, whitening(gram(left), -0.5)[0], "a")
-        block = cut(times(back, left.withColumnRenamed("a", "b")).withColumnRenamed("a", "b"))
-        block = cut(turned(block, whitening(gram(block), -0.5)[0], "b"))
+        block = written(times(back, left.withColumnRenamed("a", "b")).withColumnRenamed("a", "b"))
+        block = written(turned(block, whitening(gram(block), -0.5)[0], "b"))
     return block
 
 
 def factors(table: DataFrame, size: int = DIMENSIONS, rounds: int = ROUNDS, seed: int = 42) -> DataFrame:
     """The left factor of a sparse table (a, b, value >= 0), columns scaled by the roots of the singular values: token, vector."""
-    table = cut(table)
-    back = cut(table.select(F.col("b").alias("a"), F.col("a").alias("b"), "value"))
+    table = written(table)
+    back = written(table.select(F.col("b").alias("a"), F.col("a").alias("b"), "value"))
     if table.isEmpty():
         return table.select(F.col("a").alias("token"), F.array(F.col("value")).alias("vector"))
-    last = cut(times(table, power_iteration(table, back, size, rounds, seed)))
+    last = written(times(table, power_iteration(table, back, size, rounds, seed)))
     axes, values = whitening(gram(last), 0.0)
     return turned(last, (axes / np.sqrt(values))[:, :size], "a").select(F.col("a").alias("token"), vector_to_array("v").alias("vector"))
 
 
 def token_vectors(corpus: DataFrame, size: int = DIMENSIONS, window: int = WINDOW, negatives: int = NEGATIVES) -> DataFrame:
     """Vectors of walk tokens, as skip-gram with negative sampling fits them: token, vector."""
-    return factors(shifted_pmi(cut(cooccurrences(corpus, window)), negatives), size)
+    return factors(shifted_pmi(written(cooccurrences(corpus, window)), negatives), size)
 
 
 def _matrix(column: pa.Array | Column) -> np.ndarray:

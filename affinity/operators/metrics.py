@@ -1,14 +1,10 @@
-"""Graph metrics: degree, PageRank, betweenness, communities, degree distribution."""
+"""Graph metrics: degree, PageRank, label propagation, degree distribution, clustering."""
 
 from __future__ import annotations
 
-import heapq
 import math
-from collections import defaultdict
-from collections.abc import Iterator
 
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -16,8 +12,6 @@ from affinity.operators import layers
 from affinity.operators.session import cut
 
 DAMPING = 0.85
-#: Edges up to which a graph goes whole to a worker or the driver, for the metrics that need all of it at once.
-WHOLE_GRAPH_EDGES = 2_000_000
 
 
 def degree_centrality(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -53,132 +47,6 @@ def pagerank(edges: DataFrame, rounds: int = 100, tolerance: float | None = 1e-6
     return rank
 
 
-def _neighbours(edges: list[tuple], distance: str | None) -> dict:
-    out = defaultdict(list)
-    for a, b, w in edges:
-        d = 1.0 if distance is None else w if distance == "weight" else 1.0 / w
-        out[a].append((b, d))
-        out[b].append((a, d))
-    return out
-
-
-def dependencies(source, neighbours: dict) -> dict:
-    """What the shortest paths from one source add to each node's betweenness."""
-    dist, count, before, order = {source: 0.0}, defaultdict(float, {source: 1.0}), defaultdict(list), []
-    done, heap, tick = set(), [(0.0, 0, source)], 0
-    while heap:
-        d, _, v = heapq.heappop(heap)
-        if v in done:
-            continue
-        done.add(v)
-        order.append(v)
-        for w, length in neighbours[v]:
-            through = d + length
-            if w not in dist or through < dist[w]:
-                dist[w], count[w], before[w] = through, count[v], [v]
-                tick += 1
-                heapq.heappush(heap, (through, tick, w))
-            elif through == dist[w] and w not in done:
-                count[w] += count[v]
-                before[w].append(v)
-    share = defaultdict(float)
-    for w in reversed(order):
-        for v in before[w]:
-            share[v] += count[v] / count[w] * (1 + share[w])
-    share.pop(source, None)
-    return share
-
-
-def betweenness(edges: DataFrame, distance: str | None = "weight") -> DataFrame:
-    """Normalised betweenness: node, betweenness.
-
-    ``distance`` "weight" takes weights as lengths (strong ties are long),
-    "inverse" as strengths, None counts edges. Sources are spread over the
-    cluster; each worker holds the graph, so edges are bounded.
-    """
-    if (size := edges.count()) > WHOLE_GRAPH_EDGES:
-        raise ValueError(f"{size} edges; betweenness is exact for {WHOLE_GRAPH_EDGES} at most, prune first")
-    listed = [(r["src"], r["dst"], float(r["weight"])) for r in edges.select("src", "dst", "weight").orderBy("src", "dst").collect()]
-    nodes = layers.endpoints(edges)
-    kind = nodes.schema["node"].dataType.simpleString()
-    n = nodes.count()
-    scale = 1.0 / ((n - 1) * (n - 2)) if n > 2 else 1.0  # each pair is seen from both ends
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        neighbours = _neighbours(listed, distance)
-        total = defaultdict(float)
-        for batch in batches:
-            for source in batch.column(0).to_pylist():
-                total[source] += 0.0
-                for v, x in dependencies(source, neighbours).items():
-                    total[v] += x
-            kept = sorted(total)
-            yield pa.RecordBatch.from_arrays([pa.array(kept, batch.schema.field(0).type), pa.array([total[v] for v in kept])], ["node", "part"])
-            total.clear()
-
-    parts = nodes.repartition(edges.sparkSession.sparkContext.defaultParallelism, "node").mapInArrow(run, f"node {kind}, part double")
-    return parts.groupBy("node").agg((F.sum("part") * scale).alias("betweenness"))
-
-
-def modularity(edges: list[tuple], part: dict) -> float:
-    """The modularity of a partition of weighted edges."""
-    total = sum(w for *_, w in edges)
-    inside, ends = defaultdict(float), defaultdict(float)
-    for a, b, w in edges:
-        ends[part[a]] += w
-        ends[part[b]] += w
-        inside[part[a]] += w * (part[a] == part[b])
-    return sum(inside[c] / total - (ends[c] / (2 * total)) ** 2 for c in ends) if total else 0.0
-
-
-def louvain(edges: list[tuple]) -> dict:
-    """Communities by greedy modularity with levels; nodes are visited in sorted order, so the result is fixed."""
-    place = {v: v for a, b, _ in edges for v in (a, b)}
-    level = [(a, b, w) for a, b, w in edges]
-    total = sum(w for *_, w in edges) or 1.0
-    while True:
-        near, degree = defaultdict(lambda: defaultdict(float)), defaultdict(float)
-        for a, b, w in level:
-            degree[a] += w
-            degree[b] += w
-            if a != b:
-                near[a][b] += w
-                near[b][a] += w
-        own = {v: v for v in degree}
-        weight, moved, any_move = dict(degree), True, False
-        while moved:
-            moved = False
-            for v in sorted(own):
-                links = defaultdict(float)
-                for u, w in near[v].items():
-                    links[own[u]] += w
-                old = own[v]
-                weight[old] -= degree[v]
-                gain = lambda c: links[c] - weight[c] * degree[v] / (2 * total)  # noqa: B023, E731
-                best = min(sorted({old, *links}), key=lambda c: (-gain(c), c != old))  # noqa: B023
-                if gain(best) <= gain(old) + 1e-12:
-                    best = old
-                weight[best] += degree[v]
-                if best != old:
-                    own[v], moved, any_move = best, True, True
-        place = {v: own[c] for v, c in place.items()}
-        if not any_move:
-            return place
-        folded = defaultdict(float)
-        for a, b, w in level:
-            folded[tuple(sorted((own[a], own[b])))] += w
-        level = [(a, b, w) for (a, b), w in sorted(folded.items())]
-
-
-def communities(edges: DataFrame) -> DataFrame:
-    """Louvain communities: node, community (named by a member). The graph is bounded, as it is taken whole."""
-    if (size := edges.count()) > WHOLE_GRAPH_EDGES:
-        raise ValueError(f"{size} edges; use label_propagation for more than {WHOLE_GRAPH_EDGES}")
-    listed = [(r["src"], r["dst"], float(r["weight"])) for r in edges.select("src", "dst", "weight").orderBy("src", "dst").collect()]
-    kind = edges.schema["src"].dataType.simpleString()
-    return edges.sparkSession.createDataFrame(sorted(louvain(listed).items()), f"node {kind}, community {kind}")
-
-
 def label_propagation(edges: DataFrame, rounds: int = 10) -> DataFrame:
     """Communities at any size: each node takes the label of most weight around it, the least of equals: node, community.
 

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from affinity.functions import vectors
 from affinity.operators.order import drawn
-from affinity.operators.session import cut
+from affinity.operators.session import written
 
 #: Points from which the centres are fitted, rounds of k-means, centres, points in a block, queries of the recall measure.
 SAMPLE, ROUNDS, MOST_CELLS, BLOCK, ASKED = 20_000, 8, 2048, 4096, 256
@@ -70,7 +70,7 @@ class CellIndex:
         self.parts = [max(1, -(-known.get(c, (0, 0))[0] // BLOCK)) for c in range(wanted)]
         self.widest = np.array([known.get(c, (0, -4.0))[1] for c in range(wanted)])
         parts = F.element_at(F.array(*map(F.lit, self.parts)), F.col("cell") + 1) if wanted else F.lit(1)
-        self.rows = cut(placed.select("cell", F.pmod(F.xxhash64("id"), parts).cast("int").alias("part"), "id", "v"))
+        self.rows = written(placed.select("cell", F.pmod(F.xxhash64("id"), parts).cast("int").alias("part"), "id", "v"))
 
     def _placed(self, unit: DataFrame) -> DataFrame:
         """Each point's nearest centre and the angle to it."""
@@ -145,7 +145,7 @@ class CellIndex:
         first = probes or max(1, len(centres) // 16)
         found = self.compared(self.looked_up(asked, lambda v, _: _nearest_cells(v, centres, first)), k)
         if probes is None:
-            found = cut(found)
+            found = written(found)
             bound = _ranked(found, k).where(F.col("rank") == k).select("id", "cosine")
             again = asked.join(bound, "id", "left").withColumn("cosine", F.coalesce("cosine", F.lit(-1.0)))
 
@@ -166,7 +166,7 @@ class CellIndex:
         """
         if not len(self.centres):
             return 1, 1.0
-        own = cut(lowest(self.rows.select("id", "v"), "id", asked, "recall"))
+        own = written(lowest(self.rows.select("id", "v"), "id", asked, "recall"))
         every = np.arange(len(self.centres))
         whole = self.compared(self.looked_up(own, lambda v, _: (np.repeat(np.arange(len(v)), len(every)), np.tile(every, len(v)))), k)
         true = _ranked(whole, k).join(self.rows.select(F.col("id").alias("other"), "cell"), "other").join(own, "id").select("cell", "v")

@@ -34,3 +34,15 @@ def cut(df: DataFrame) -> DataFrame:
     if context._jsc.sc().getCheckpointDir().isEmpty():
         context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint()
+
+
+def written(df: DataFrame) -> DataFrame:
+    """A result written to the shared folder and read again.
+
+    Unlike a checkpoint it leaves nothing of the old plan, not even the constraints that
+    the optimizer carries along, which grow without bound in long iterations; the number of
+    partitions follows the size. It changes no setting of the session.
+    """
+    path = scratch(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

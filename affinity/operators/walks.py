@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from affinity.operators.order import drawn
-from affinity.operators.session import cut
+from affinity.operators.session import written
 
 STEPS, WALKS, TAG_SHARE = 39, 8, 0.4
 BLOCK, EVERY = 256, 4
@@ -41,9 +41,9 @@ class Choices:
         sizes = choices.groupBy("key").agg(parts.alias("parts"))
         dealt = choices.join(sizes, "key").withColumn("block", block_of(F.col("item"), F.col("parts")))
         listed = F.array_sort(F.collect_list(F.struct("item", "weight")))
-        self.blocks = cut(dealt.groupBy("key", "parts", "block").agg(listed.alias("items")))
+        self.blocks = written(dealt.groupBy("key", "parts", "block").agg(listed.alias("items")))
         each = F.struct(F.col("block").alias("item"), summed(F.col("items")).alias("weight"))
-        self.directory = cut(self.blocks.groupBy("key", "parts").agg(F.array_sort(F.collect_list(each)).alias("entries")))
+        self.directory = written(self.blocks.groupBy("key", "parts").agg(F.array_sort(F.collect_list(each)).alias("entries")))
 
 
 def chance(step: int, seed: int, *what: Column) -> Column:
@@ -94,7 +94,7 @@ def walks(edges: DataFrame, tagged: DataFrame, seed: int = 42, each: int = WALKS
     good = edges.where("weight > 0 AND src IS NOT NULL AND dst IS NOT NULL").select("src", "dst", F.col("weight").cast("double").alias("weight"))
     both = good.unionByName(good.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "weight"))
     near = Choices(both.groupBy(F.col("src").alias("key"), F.col("dst").alias("item")).agg(F.sum("weight").alias("weight")))
-    tags = cut(tagged.where("node IS NOT NULL AND tag IS NOT NULL").select("node", "tag").distinct().withColumn("weight", F.lit(1.0)))
+    tags = written(tagged.where("node IS NOT NULL AND tag IS NOT NULL").select("node", "tag").distinct().withColumn("weight", F.lit(1.0)))
     tags_of = Choices(tags.select(F.col("node").alias("key"), F.col("tag").alias("item"), "weight"))
     nodes_of = Choices(tags.select(F.col("tag").alias("key"), F.col("node").alias("item"), "weight"))
     nodes = good.select(F.explode(F.array("src", "dst")).alias("node")).union(tags.select("node")).distinct()
@@ -111,7 +111,7 @@ def walks(edges: DataFrame, tagged: DataFrame, seed: int = 42, each: int = WALKS
         taken = F.struct(F.when(F.col("other").isNotNull(), F.col("tag")).alias("tag"), to.alias("at"))
         state = moved.select(*WALK, to.alias("at"), F.when(to.isNull(), F.col("recent")).otherwise(F.concat("recent", F.array(taken))).alias("recent"))
         if step % EVERY == 0 or step == steps:
-            state = cut(state)
+            state = written(state)
             log.append(state.select(*WALK, F.lit(step).alias("step"), "recent"))
             state = state.where("at IS NOT NULL").withColumn("recent", none)
     artist = lambda x: F.concat(F.lit("artist::"), x["at"].cast("string"))
