@@ -10,33 +10,67 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 # The packed metadata format. Clauses follow one another in this order; the date and descriptors are required.
-CLAUSES = ["Composer", "Producer", "Conductor", "Writer", "Lyricist", "Arranger"]
 META = (
     r'(?U)#\s*Track:\s*"([^"]+)"\s*by\s*(.+?)\.\s*'
-    + "".join(rf"(?:{c}:\s*(.+?)\.\s*)?" for c in CLAUSES)
-    + r"Released on\s*([\d-]+)\.\s*Descriptors:\s*(.+?)\.?\s*$"
+    r"(?:Composer:\s*(.+?)\.\s*)?"
+    r"(?:Producer:\s*(.+?)\.\s*)?"
+    r"(?:Conductor:\s*(.+?)\.\s*)?"
+    r"(?:Writer:\s*(.+?)\.\s*)?"
+    r"(?:Lyricist:\s*(.+?)\.\s*)?"
+    r"(?:Arranger:\s*(.+?)\.\s*)?"
+    r"Released on\s*([\d-]+)\.\s*Descriptors:\s*(.+?)\.?\s*$"
 )
 MARK = "\x01"
-TRACK, CREDIT, RELEASED, DESCRIPTORS = 1, 2, 9, 10
-GROUP = {c: 3 + k for k, c in enumerate(CLAUSES)}
+TRACK, CREDIT, COMPOSER, PRODUCER, WRITER, RELEASED, DESCRIPTORS = 1, 2, 3, 4, 6, 9, 10
 ARTIST = r""""([^"]+)"\(spotify:artist:([A-Za-z0-9]+)\)|([A-Za-z0-9 .'&]+)\(spotify:artist:([A-Za-z0-9]+)\)"""
 # Tokens that mark another version of a title, in the order of the alternation, and the ordered tests of a version's type.
-VERSIONS = ["Live", "Live From", "Live At", "Remaster(?:ed)?", "Radio Edit", "Remix", "Acoustic", "Deluxe", "A COLORS SHOW", r"feat\..+"]
-VERSION = rf"(?iU)\s*-\s*(?:{'|'.join(VERSIONS)})"
+VERSION = r"(?iU)\s*-\s*(?:Live|Live From|Live At|Remaster(?:ed)?|Radio Edit|Remix|Acoustic|Deluxe|A COLORS SHOW|feat\..+)"
 VERSION_TYPES = [("live", "live"), ("remaster", "remaster"), ("remix", "remix"), ("radio edit", "radio_edit"), ("acoustic", "acoustic")]
 # Separators that an even number of quotes follows, so none in quotes.
 OUTSIDE_QUOTES = r'(?:\s*,?\s+and\s+|,)(?=(?:[^"]*"[^"]*")*[^"]*$)'
-# Descriptors that name a macro genre, by genre, and those that name a mood.
+# Descriptors that name a macro genre, and those that name a mood.
 MACRO_GENRES = {
-    "country_americana": ["country", "country blues", "americana", "folk rock", "honky tonk"],
-    "hip_hop_rap": ["hip hop", "rap", "pop rap", "trap", "trap latino"],
-    "pop": ["pop", "bubblegum pop", "easy listening"],
-    "r_and_b_soul": ["r&b", "soul", "soul funk", "soulful", "motown", "jazz blues"],
-    "indie_folk": ["indie folk", "folk", "folk pop", "indie pop", "indie"],
-    "alternative_rock": ["alternative rock", "rock", "grunge", "britpop", "garage rock", "new wave"],
-    "latin": ["latin", "reggaeton", "salsa", "sierreno", "merengue"],
-    "electronic": ["house", "club", "electronic", "ibiza"],
-    "classical_musicals": ["musicals", "classical"],
+    "country": "country_americana",
+    "country blues": "country_americana",
+    "americana": "country_americana",
+    "folk rock": "country_americana",
+    "honky tonk": "country_americana",
+    "hip hop": "hip_hop_rap",
+    "rap": "hip_hop_rap",
+    "pop rap": "hip_hop_rap",
+    "trap": "hip_hop_rap",
+    "trap latino": "hip_hop_rap",
+    "pop": "pop",
+    "bubblegum pop": "pop",
+    "easy listening": "pop",
+    "r&b": "r_and_b_soul",
+    "soul": "r_and_b_soul",
+    "soul funk": "r_and_b_soul",
+    "soulful": "r_and_b_soul",
+    "motown": "r_and_b_soul",
+    "jazz blues": "r_and_b_soul",
+    "indie folk": "indie_folk",
+    "folk": "indie_folk",
+    "folk pop": "indie_folk",
+    "indie pop": "indie_folk",
+    "indie": "indie_folk",
+    "alternative rock": "alternative_rock",
+    "rock": "alternative_rock",
+    "grunge": "alternative_rock",
+    "britpop": "alternative_rock",
+    "garage rock": "alternative_rock",
+    "new wave": "alternative_rock",
+    "latin": "latin",
+    "reggaeton": "latin",
+    "salsa": "latin",
+    "sierreno": "latin",
+    "merengue": "latin",
+    "house": "electronic",
+    "club": "electronic",
+    "electronic": "electronic",
+    "ibiza": "electronic",
+    "musicals": "classical_musicals",
+    "classical": "classical_musicals",
 }
 MOODS = ["sad", "melancholy", "slow", "romantic", "love", "cozy", "chill", "calm", "nostalgia", "moody", "sensual", "classy", "soulful", "nature", "acoustic"]
 # Tags that name no genre.
@@ -69,8 +103,8 @@ def parse_packed(packed_name: Column) -> Column:
         return F.struct(
             field(TRACK).alias("track_name"),
             artists(field(CREDIT)).alias("artists"),
-            split_names(F.coalesce(field(GROUP["Composer"]), field(GROUP["Writer"]))).alias("composers"),
-            split_names(field(GROUP["Producer"])).alias("producers"),
+            split_names(F.coalesce(field(COMPOSER), field(WRITER))).alias("composers"),
+            split_names(field(PRODUCER)).alias("producers"),
             field(RELEASED).alias("release_date"),
             split_quoted(field(DESCRIPTORS)).alias("descriptors"),
         )
@@ -122,9 +156,9 @@ def decade(year: Column) -> Column:
     return (F.floor(year / 10) * 10).cast("int")
 
 
-def classify(values: Column, groups: dict[str, list[str]] = MACRO_GENRES, unknown: str | None = "unknown") -> Column:
+def classify(values: Column, groups: dict[str, str] = MACRO_GENRES, unknown: str | None = "unknown") -> Column:
     """The groups that values belong to, each once, in order; ``[unknown]`` where none does."""
-    lookup = F.create_map(*[F.lit(x) for group, own in groups.items() for value in own for x in (value, group)])
+    lookup = F.create_map(*[F.lit(x) for pair in groups.items() for x in pair])
     found = F.array_distinct(F.filter(F.transform(values, lambda v: F.try_element_at(lookup, v)), lambda g: g.isNotNull()))
     return found if unknown is None else F.when(F.size(found) > 0, found).otherwise(F.array(F.lit(unknown)))
 

@@ -79,12 +79,13 @@ def jaccard_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def compounds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """First words of names, and whole names as comma-separated compounds."""
+    """The words of names (but one), and whole names as comma-separated compounds."""
     part = table(spark, sf_dir, "part")
-    return part.select(F.split_part("p_name", F.lit(" "), F.lit(1)).alias("name")).union(part.where("p_size > 10").select(F.replace("p_name", F.lit(" "), F.lit(", ")))).distinct()
+    word = lambda k: F.split_part("p_name", F.lit(" "), F.lit(k)).alias("name")
+    return part.select(word(1)).union(part.where("NOT contains(p_name, 'gizmo')").select(word(2))).union(part.where("p_size > 10").select(F.replace("p_name", F.lit(" "), F.lit(", ")))).distinct()
 
 
-@REGISTRY.add("""WITH names AS (SELECT DISTINCT split_part(p_name, ' ', 1) AS name FROM part UNION SELECT DISTINCT replace(p_name, ' ', ', ') FROM part WHERE p_size > 10),
+@REGISTRY.add("""WITH names AS (SELECT DISTINCT split_part(p_name, ' ', 1) AS name FROM part UNION SELECT DISTINCT split_part(p_name, ' ', 2) FROM part WHERE NOT contains(p_name, 'gizmo') UNION SELECT DISTINCT replace(p_name, ' ', ', ') FROM part WHERE p_size > 10),
 junk AS (SELECT name, list_transform(string_split(name, ','), lambda x: trim(x)) AS parts FROM names WHERE contains(name, ',')),
 each AS (SELECT name, parts, unnest(parts) AS part FROM junk)
 SELECT e.name, e.parts FROM each e JOIN names n ON n.name = e.part GROUP BY e.name, e.parts HAVING count(*) = len(e.parts)""")
@@ -93,7 +94,7 @@ def compound_junk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedupe.compound_junk(compounds(spark, sf_dir))
 
 
-@REGISTRY.add("""WITH names AS (SELECT DISTINCT split_part(p_name, ' ', 1) AS name FROM part UNION SELECT DISTINCT replace(p_name, ' ', ', ') FROM part WHERE p_size > 10),
+@REGISTRY.add("""WITH names AS (SELECT DISTINCT split_part(p_name, ' ', 1) AS name FROM part UNION SELECT DISTINCT split_part(p_name, ' ', 2) FROM part WHERE NOT contains(p_name, 'gizmo') UNION SELECT DISTINCT replace(p_name, ' ', ', ') FROM part WHERE p_size > 10),
 junk AS (SELECT name, list_transform(string_split(name, ','), lambda x: trim(x)) AS parts FROM names WHERE contains(name, ',')),
 each AS (SELECT name, parts, unnest(parts) AS part FROM junk),
 bad AS (SELECT e.name, e.parts FROM each e JOIN names n ON n.name = e.part GROUP BY e.name, e.parts HAVING count(*) = len(e.parts)),

@@ -124,14 +124,14 @@ def emerging_gap(spark: SparkSession, sf_dir: str) -> DataFrame:
     return temporal.emerging(table(spark, sf_dir, "part").select(F.col("p_partkey").alias("item")), old, "item")
 
 
-@REGISTRY.add("""WITH r AS (SELECT DISTINCT user_id FROM events WHERE ts >= TIMESTAMP '2024-01-28'),
+@REGISTRY.add("""WITH r AS (SELECT DISTINCT user_id FROM events WHERE ts >= TIMESTAMP '2024-01-30 18:00:00'),
 s AS (SELECT CASE WHEN hour(ts) BETWEEN 6 AND 11 THEN 'morning' WHEN hour(ts) BETWEEN 12 AND 16 THEN 'afternoon' WHEN hour(ts) BETWEEN 17 AND 21 THEN 'evening' ELSE 'night' END AS slot, user_id, count(*) AS n
     FROM events WHERE user_id NOT IN (SELECT user_id FROM r) GROUP BY ALL)
 SELECT slot, user_id, n FROM s QUALIFY row_number() OVER (PARTITION BY slot ORDER BY n DESC, user_id) = 1""")
 def mood_time_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     """For each part of the day who is most active and wasn't seen lately."""
     own = events(spark, sf_dir).select(temporal.daypart(F.col("hour")).alias("slot"), "user_id", "ts", F.lit(1).cast("long").alias("n"))
-    recent = own.where(F.col("ts") >= F.lit("2024-01-28").cast("timestamp_ntz")).select("user_id")
+    recent = own.where(F.col("ts") >= F.lit("2024-01-30 18:00:00").cast("timestamp_ntz")).select("user_id")
     return temporal.slot_match(own, "slot", "user_id", "n", recent)
 
 
