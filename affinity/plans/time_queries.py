@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from affinity.operators import layers, temporal
 from affinity.plans.registry import Registry, table
+from affinity.streaming import replay
+from affinity.streaming import sessions as stream_sessions
 
 REGISTRY = Registry()
 CALENDAR_SQL = """h AS (SELECT l_shipdate AS ts, l_quantity::BIGINT AS seconds, p_type AS genre, p_brand AS brand, l_partkey AS item, date_trunc('month', l_shipdate)::DATE AS month, year(l_shipdate)::INTEGER AS year
@@ -104,6 +106,14 @@ def sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return temporal.sessions(table(spark, sf_dir, "events"), "user_id")
 
 
+@REGISTRY.add(f"WITH {_sessions_sql(30)} SELECT user_id, min(ts) AS start, max(ts) AS end, count(*) AS plays FROM s GROUP BY user_id, session")
+def sessions_streamed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same of a stream that stops and goes on from its checkpoint three times."""
+    rows = table(spark, sf_dir, "events").select("user_id", "ts")
+    found = replay.replayed(rows, "ts", lambda stream: stream_sessions.sessions(stream, "user_id"))
+    return found.select("user_id", *[F.col(c).cast("timestamp_ntz").alias(c) for c in ("start", "end")], "plays")
+
+
 @REGISTRY.add(f"""WITH {_sessions_sql(240)}, o AS (SELECT DISTINCT user_id, session, event_type AS m FROM s)
 SELECT a.m AS src, b.m AS dst, count(*) AS weight FROM o a JOIN o b ON a.user_id = b.user_id AND a.session = b.session AND a.m < b.m GROUP BY ALL""")
 def session_cooccurrence(spark: SparkSession, sf_dir: str) -> DataFrame:
