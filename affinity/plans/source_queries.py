@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from affinity.operators import atlas, identity, layers, temporal, traversal
-from affinity.operators.session import scratch
+from affinity.operators.session import cut, scratch
 from affinity.plans.graph_queries import CO_SQL, PLAYS_SQL, plays, strong
 from affinity.plans.registry import Registry, table
 from affinity.sources import files
@@ -14,10 +14,14 @@ from affinity.sources import files
 REGISTRY = Registry()
 
 
-def written(one_row: DataFrame, column: Column) -> str:
-    """The path of a document written from one row."""
-    path = scratch(one_row.sparkSession)
-    one_row.select(column.alias("value")).write.text(path)
+#: Rows of one written document: few, so that also the smallest tables make several files.
+ROWS = 500
+
+
+def objects(rows: DataFrame, key: str) -> str:
+    """The folder of JSON objects that hold a table by key."""
+    path = scratch(rows.sparkSession)
+    files.write_json_maps(rows, key, path, ROWS)
     return path
 
 
@@ -32,7 +36,9 @@ def export_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = part.select(F.col("p_partkey").cast("string").alias("uri"), F.col("p_name").alias("name"), F.col("p_size").cast("long").alias("played_seconds"), F.when(F.col("p_size") > 25, F.concat(F.lit("day"), F.col("p_size").cast("string"))).alias("last_played_at"))
     item = F.struct("uri", "name", "played_seconds", "last_played_at")
     pick = lambda recent: F.struct(F.collect_list(F.when((F.col("played_seconds") > 25) == F.lit(recent), item)).alias("items"))
-    path = written(rows.agg(F.struct(pick(False).alias("top_tracks"), pick(True).alias("recent_tracks")).alias("e")), F.to_json("e"))
+    exports = files.in_pieces(rows, "uri", most=ROWS).groupBy("piece").agg(F.struct(pick(False).alias("top_tracks"), pick(True).alias("recent_tracks")).alias("e"))
+    path = scratch(spark)
+    files.write_documents(exports, F.to_json("e"), path)
     top, recent = files.read_export(spark, path)
     return top.withColumn("recent", F.lit(False)).unionByName(recent.withColumn("recent", F.lit(True))).drop("pos")
 
@@ -53,7 +59,7 @@ def _cache(spark: SparkSession, sf_dir: str) -> DataFrame:
 def cache_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The match edges of an artist cache, read from one JSON object."""
     own = _cache(spark, sf_dir).select("key", "name", "similar", F.col("tags").alias("genres"))
-    return files.similar_edges(files.read_artists(spark, written(files.json_map(own, "key"), F.col("json"))))
+    return files.similar_edges(files.read_artists(spark, objects(own, "key")))
 
 
 @REGISTRY.add("SELECT p_name || '/' || p_partkey AS name, p_size AS depth, [p_brand] AS tags FROM part")
@@ -61,7 +67,7 @@ def universe_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The entries of a crawled universe."""
     own = _cache(spark, sf_dir).drop("key")
     keyed = own.withColumn("key", F.col("name"))
-    return files.read_universe(spark, written(files.json_map(keyed, "key"), F.col("json"))).select("name", "depth", "tags")
+    return files.read_universe(spark, objects(keyed, "key")).select("name", "depth", "tags")
 
 
 @REGISTRY.add(f"""WITH {CO_SQL} SELECT a.p_name AS src, b.p_name AS dst, CASE WHEN weight > 2 THEN 'influenced' ELSE 'sounds_like' END AS type, CASE WHEN weight > 3 THEN 'n' || weight END AS note
@@ -69,11 +75,13 @@ FROM strong s JOIN part a ON a.p_partkey = s.src JOIN part b ON b.p_partkey = s.
 def property_graph_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The edges of a property graph by its nodes' names."""
     node = F.struct(F.col("p_partkey").cast("string").alias("id"), F.col("p_name").alias("name"))
-    nodes = table(spark, sf_dir, "part").agg(F.struct(F.collect_list(node).alias("artists"), F.array().cast("array<struct<id:string>>").alias("genres")).alias("nodes"))
+    nodes = files.in_pieces(table(spark, sf_dir, "part"), "p_partkey", most=ROWS).groupBy("piece").agg(F.collect_list(node).alias("artists"))
     edge = F.struct(F.col("src").cast("string").alias("from"), F.col("dst").cast("string").alias("to"), F.when(F.col("weight") > 2, "influenced").otherwise("sounds_like").alias("type"), F.when(F.col("weight") > 3, F.concat(F.lit("n"), F.col("weight").cast("string"))).alias("note"))
-    edges = strong(spark, sf_dir).agg(F.collect_list(edge).alias("edges"))
-    both = nodes.withColumn("edges", edges.scalar())
-    graph = files.read_graph(spark, written(both, F.to_json(F.struct("nodes", "edges"))))
+    edges = files.in_pieces(cut(strong(spark, sf_dir)), "src", "dst", most=ROWS).groupBy("piece").agg(F.collect_list(edge).alias("edges"))
+    both = nodes.join(edges, "piece", "full").select("piece", F.struct("artists", F.array().cast("array<struct<id:string>>").alias("genres")).alias("nodes"), "edges")
+    path = scratch(spark)
+    files.write_documents(both, F.to_json(F.struct("nodes", "edges")), path)
+    graph = files.read_graph(spark, path)
     return layers.resolved(graph["edges"], graph["artists"].select("id", "name"))
 
 
@@ -134,3 +142,10 @@ def network_elements(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What an interactive network page shows: a JSON line for each node and edge."""
     nodes = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("node"), F.col("p_name").alias("label"), F.col("p_type").alias("kind"))
     return atlas.network_elements(nodes, strong(spark, sf_dir))
+
+
+@REGISTRY.add("SELECT p_partkey::VARCHAR AS key, p_name AS name, p_size AS size, [p_brand, p_type] AS tags FROM part")
+def json_objects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A table written as JSON objects of some rows each, in files of their own, and read by as many tasks."""
+    part = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("key"), F.col("p_name").alias("name"), F.col("p_size").alias("size"), F.array("p_brand", "p_type").alias("tags"))
+    return files.read_map(spark, objects(part, "key"), "struct<name:string,size:int,tags:array<string>>").select("key", "value.*")

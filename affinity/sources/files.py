@@ -115,6 +115,28 @@ def json_map(df: DataFrame, key: str, pretty: bool = False) -> DataFrame:
     return df.agg(F.to_json(entries, {"pretty": str(pretty).lower()}).alias("json"))
 
 
+#: Rows of a document, when a table is written as several JSON documents.
+DOCUMENT_ROWS = 50_000
+
+
+def in_pieces(rows: DataFrame, *by: str, most: int = DOCUMENT_ROWS) -> DataFrame:
+    """Adds ``piece``: by hash, about ``most`` rows of each; rows that agree in ``by`` are in one."""
+    pieces = max(1, -(-rows.count() // most))
+    return rows.withColumn("piece", F.pmod(F.xxhash64(*by), F.lit(pieces)).cast("int"))
+
+
+def write_documents(documents: DataFrame, column: Column, path: str) -> None:
+    """A text for each row (one a ``piece``), each in a file of its own, so that as many tasks read them as there are."""
+    documents.select("piece", column.alias("value")).write.mode("overwrite").partitionBy("piece").text(path)
+
+
+def write_json_maps(df: DataFrame, key: str, path: str, most: int = DOCUMENT_ROWS) -> None:
+    """A table of any size as JSON objects by a key, keys sorted in each, one object a file; ``read_map`` reads them all."""
+    fields = F.struct(*[F.col(c) for c in sorted(df.columns) if c != key])
+    entries = F.map_from_entries(F.array_sort(F.collect_list(F.struct(F.col(key).cast("string").alias("k"), fields.alias("v")))))
+    write_documents(in_pieces(df, key, most=most).groupBy("piece").agg(F.to_json(entries).alias("json")), F.col("json"), path)
+
+
 def write_matrix(points: DataFrame, path: str) -> None:
     """Vectors as Parquet, sorted by name within files."""
     points.select("node", F.transform("vector", lambda x: x.cast("float")).alias("vector")).sortWithinPartitions("node").write.mode("overwrite").parquet(path)

@@ -98,3 +98,13 @@ def test_streamed_sessions(spark, tmp_path):
     query.awaitTermination()
     got = sorted((r.who, r.plays) for r in spark.table("found").collect())
     assert got == [("u", 1), ("u", 2), ("v", 1)]  # the last session is still open
+
+
+def test_many_documents(spark, tmp_path):
+    """A table as several JSON objects: each row in one of them, each file read for itself, read back whole."""
+    rows = spark.range(95).selectExpr("concat('k', id) AS key", "id AS n", "array(id, id + 1) AS list")
+    files.write_json_maps(rows, "key", str(tmp_path / "maps"), 10)
+    assert len(list((tmp_path / "maps").glob("piece=*/part-*"))) > 5
+    back = files.read_map(spark, str(tmp_path / "maps"), "struct<n:long,list:array<long>>")
+    assert sorted(tuple(r) for r in back.select("key", "value.*").collect()) == sorted(tuple(r) for r in rows.collect())
+    files.write_json_maps(rows.limit(0), "key", str(tmp_path / "none"), 10)
