@@ -53,19 +53,20 @@ def times(table: DataFrame, block: DataFrame) -> DataFrame:
     return table.join(block, "b").groupBy("a").agg(Summarizer.sum(F.col("v"), F.col("value")).alias("v"))
 
 
-def gram(block: DataFrame) -> np.ndarray:
-    """The inner products of the columns of a block of vectors."""
+def gram(block: DataFrame, other: DataFrame | None = None) -> np.ndarray:
+    """The inner products of the columns of a block of vectors (b, v), with themselves or with those of another block."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = None
         for batch in batches:
             if batch.num_rows:
-                v = _matrix(batch.column(0))
-                total = v.T @ v + (0 if total is None else total)
+                v, w = _matrix(batch.column(0)), _matrix(batch.column(1))
+                total = v.T @ w + (0 if total is None else total)
         if total is not None:
             yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(total), dtype=np.int32)), pa.array(list(total), pa.list_(pa.float64()))], ["i", "row"])
 
-    parts = block.select(vector_to_array("v").alias("v")).mapInArrow(run, "i int, row array<double>")
+    both = block.withColumn("w", F.col("v")) if other is None else block.join(other.withColumnRenamed("v", "w"), "b")
+    parts = both.select(vector_to_array("v").alias("v"), vector_to_array("w").alias("w")).mapInArrow(run, "i int, row array<double>")
     summed = parts.groupBy("i").agg(vector_to_array(Summarizer.sum(array_to_vector("row"))).alias("row"))
     return np.array([r["row"] for r in summed.orderBy("i").collect()])  # size * size numbers
 
@@ -119,6 +120,28 @@ def factors(table: DataFrame, size: int = DIMENSIONS, rounds: int = ROUNDS, seed
     return turned(last, (axes / np.sqrt(values))[:, :size], "a").select(F.col("a").alias("token"), vector_to_array("v").alias("vector"))
 
 
+def neighbour_projection(near: DataFrame, size: int = 2, rounds: int = 20, seed: int = 42) -> DataFrame:
+    """Coordinates that keep neighbours near: the slowest waves over the graph of neighbours (Laplacian eigenmaps): id, at.
+
+    ``near`` has (id, other); links count both ways. Parts of the graph without a link
+    between them lie on points of their own in some coordinates.
+    """
+    links = near.select(F.col("id").alias("a"), F.col("other").alias("b")).where("a <> b")
+    links = written(links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
+    degree = written(links.groupBy("a").agg(F.sqrt(F.count("*").cast("double")).alias("root")))
+    scaled = links.join(degree, "a").join(degree.withColumnsRenamed({"a": "b", "root": "other_root"}), "b").select("a", "b", (0.5 / (F.col("root") * F.col("other_root"))).alias("value"))
+    # Half a loop on each node makes all eigenvalues positive, so that the largest are the slowest waves.
+    table = written(scaled.unionByName(degree.select("a", F.col("a").alias("b"), F.lit(0.5).alias("value"))))
+    if table.isEmpty():
+        return table.select(F.col("a").alias("id"), F.array(F.col("value")).alias("at"))
+    block = written(power_iteration(table, table, size + 1, rounds, seed))
+    products = gram(block, times(table, block).withColumnRenamed("a", "b"))
+    values, axes = np.linalg.eigh((products + products.T) / 2)
+    waves = axes[:, np.argsort(-values)[1 : size + 1]]  # the first one is the degrees' root
+    at = turned(block, waves, "b").withColumnRenamed("b", "a").join(degree, "a")
+    return at.select(F.col("a").alias("id"), F.transform(vector_to_array("v"), lambda x: x / F.col("root")).alias("at"))
+
+
 def token_vectors(corpus: DataFrame, size: int = DIMENSIONS, window: int = WINDOW, negatives: int = NEGATIVES) -> DataFrame:
     """Vectors of walk tokens, as skip-gram with negative sampling fits them: token, vector."""
     return factors(shifted_pmi(written(cooccurrences(corpus, window)), negatives), size)

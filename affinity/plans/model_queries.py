@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from affinity.operators import communities as louvain
-from affinity.operators import embedding, evaluate, frontier, layers, metrics, shortest, walks
+from affinity.operators import embedding, evaluate, factors, frontier, layers, metrics, shortest, walks
 from affinity.operators.session import cut
 from affinity.plans.graph_queries import CO_SQL, plays, strong
 from affinity.plans.registry import Registry, table
@@ -177,3 +177,10 @@ def auc_embedding(spark: SparkSession, sf_dir: str) -> DataFrame:
 def project_2d(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Vectors on their first two principal components."""
     return embedding.projected(table(spark, sf_dir, "embeddings"), "vec_id", "embedding")
+
+
+@REGISTRY.add()
+def project_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vectors on the two slowest waves over their graph of 8 nearest; tested by the neighbours kept, against principal components."""
+    near = frontier.nearest(table(spark, sf_dir, "embeddings"), "vec_id", "embedding")
+    return factors.neighbour_projection(near).withColumn("at", F.transform("at", lambda x: F.round(x, 6)))
