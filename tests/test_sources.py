@@ -38,6 +38,37 @@ def test_similarity_source(spark, tmp_path):
     assert [tuple(r) for r in got.collect()] == [("A", "B", 0.5)]
 
 
+def test_similarity_stream(spark, tmp_path):
+    """Each file is read once over restarts; failures of all tasks count against one budget."""
+    spark.dataSource.register(similarity.SimilaritySource)
+    folder = tmp_path / "in"
+    folder.mkdir()
+
+    def put(name, text=None):
+        (folder / f"{name}.json").write_text(text or json.dumps({"name": name, "similar": [{"name": "Z", "match": "0.5"}, {"name": "Y", "match": "0.1"}]}))
+
+    def run():
+        stream = spark.readStream.format("similarity").option("path", str(folder)).option("floor", "0.2").option("errors", str(tmp_path / "errors")).option("budget", "2").load()
+        query = stream.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "marks")).trigger(availableNow=True).start()
+        query.awaitTermination()
+        return sorted(r.src for r in spark.read.parquet(str(tmp_path / "out")).collect())
+
+    put("A")
+    put("B")
+    assert run() == ["A", "B"]
+    put("C")
+    put("D", "no json")
+    assert run() == ["A", "B", "C"]
+    assert run() == ["A", "B", "C"]
+    put("E", "[]")
+    put("F", "{")
+    put("G")
+    assert run() == ["A", "B", "C", "G"]
+    put("H")
+    with pytest.raises(Exception, match="3 files failed, 2 may"):
+        run()
+
+
 def test_retry():
     waits, calls = [], []
 
