@@ -9,8 +9,9 @@ Walks that don't look something up are dealt out in the same join by a lane of
 their own, and joined with nothing.
 
 Every draw is a hash of the seed, the walk, the step and what is drawn, so walks
-are the same on any cluster and after any loss. What ``EVERY`` steps gave is
-written: it is both the next steps' input and the log of the walks.
+are the same on any cluster and after any loss. What a step gave is written: it is
+both the next step's input and the log of the walks. The step's number is a column,
+so that all steps share one generated code.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ from affinity.operators.order import drawn
 from affinity.operators.session import written
 
 STEPS, WALKS, TAG_SHARE = 39, 8, 0.4
-BLOCK, EVERY = 256, 4
+BLOCK = 256
 WALK = ["node", "walk"]
 
 
@@ -46,9 +47,9 @@ class Choices:
         self.directory = written(self.blocks.groupBy("key", "parts").agg(F.array_sort(F.collect_list(each)).alias("entries")))
 
 
-def chance(step: int, seed: int, *what: Column) -> Column:
+def chance(seed: int, *what: Column) -> Column:
     """A number between 0 and 1, both excluded, by a hash."""
-    return (drawn(F.lit(seed), F.col("node"), F.col("walk"), F.lit(step), *what) + 0.5) / float(1 << 32)
+    return (drawn(F.lit(seed), F.col("node"), F.col("walk"), F.col("step"), *what) + 0.5) / float(1 << 32)
 
 
 def summed(items: Column) -> Column:
@@ -67,7 +68,7 @@ def picked(items: Column, at: Column) -> Column:
     return F.aggregate(items, start, step)["item"]
 
 
-def chosen(walks: DataFrame, by: Column, asks: Column, table: Choices, name: str, step: int, seed: int, own: bool = True) -> DataFrame:
+def chosen(walks: DataFrame, by: Column, asks: Column, table: Choices, name: str, seed: int, own: bool = True) -> DataFrame:
     """Adds one choice of a key, drawn by weight; null for walks that don't ask or have none. Without ``own`` where the walk is isn't a choice."""
     asks = F.coalesce(asks & by.isNotNull(), F.lit(False))
     lane = F.when(asks, 0).otherwise(1 + F.pmod(F.xxhash64(*WALK), F.lit(1 << 16))).cast("int")
@@ -76,10 +77,10 @@ def chosen(walks: DataFrame, by: Column, asks: Column, table: Choices, name: str
     if not own:
         less = lambda x: F.struct(x["item"].alias("item"), (x["weight"] - F.when(x["item"] == block_of(F.col("at"), F.col("parts")), 1.0).otherwise(0.0)).alias("weight"))
         both = both.withColumn("entries", F.filter(F.transform("entries", less), lambda x: x["weight"] > 0))
-    both = both.withColumn("block", picked(F.col("entries"), chance(step, seed, F.lit(name), F.lit("block"))))
+    both = both.withColumn("block", picked(F.col("entries"), chance(seed, F.lit(name), F.lit("block"))))
     both = both.join(table.blocks.select("key", "block", "items").withColumn("lane", F.lit(0)), ["key", "block", "lane"], "left")
     items = F.col("items") if own else F.filter("items", lambda x: x["item"] != F.col("at"))
-    return both.withColumn(name, picked(items, chance(step, seed, F.lit(name)))).select(*walks.columns, name)
+    return both.withColumn(name, picked(items, chance(seed, F.lit(name)))).select(*walks.columns, name)
 
 
 def walks(edges: DataFrame, tagged: DataFrame, seed: int = 42, each: int = WALKS, steps: int = STEPS) -> DataFrame:
@@ -100,21 +101,20 @@ def walks(edges: DataFrame, tagged: DataFrame, seed: int = 42, each: int = WALKS
     nodes = good.select(F.explode(F.array("src", "dst")).alias("node")).union(tags.select("node")).distinct()
     kind, tag_kind = nodes.schema["node"].dataType.simpleString(), tags.schema["tag"].dataType.simpleString()
     none = F.array().cast(f"array<struct<tag:{tag_kind},at:{kind}>>")
-    start = nodes.select("node", F.explode(F.sequence(F.lit(0), F.lit(each - 1))).alias("walk"), F.col("node").alias("at"))
-    log = [start.select(*WALK, F.lit(0).alias("step"), F.array(F.struct(F.lit(None).cast(tag_kind).alias("tag"), "at")).alias("recent"))]
-    state = start.withColumn("recent", none)
-    for step in range(1, steps + 1):
-        by_tag = chosen(state, F.col("at"), chance(step, seed, F.lit("mode")) < TAG_SHARE, tags_of, "tag", step, seed)
-        moved = chosen(by_tag, F.col("tag"), F.lit(True), nodes_of, "other", step, seed, own=False)
-        moved = chosen(moved, F.col("at"), F.col("other").isNull(), near, "next", step, seed)
+    start = nodes.select("node", F.explode(F.sequence(F.lit(0), F.lit(each - 1))).alias("walk"), F.lit(0).alias("step"), F.col("node").alias("at"))
+    log = [start.select(*WALK, "step", F.array(F.struct(F.lit(None).cast(tag_kind).alias("tag"), "at")).alias("taken"))]
+    state = written(start)
+    for _ in range(steps):
+        state = state.where("at IS NOT NULL").withColumn("step", F.col("step") + 1)
+        by_tag = chosen(state, F.col("at"), chance(seed, F.lit("mode")) < TAG_SHARE, tags_of, "tag", seed)
+        moved = chosen(by_tag, F.col("tag"), F.lit(True), nodes_of, "other", seed, own=False)
+        moved = chosen(moved, F.col("at"), F.col("other").isNull(), near, "next", seed)
         to = F.coalesce("other", "next")
         taken = F.struct(F.when(F.col("other").isNotNull(), F.col("tag")).alias("tag"), to.alias("at"))
-        state = moved.select(*WALK, to.alias("at"), F.when(to.isNull(), F.col("recent")).otherwise(F.concat("recent", F.array(taken))).alias("recent"))
-        if step % EVERY == 0 or step == steps:
-            state = written(state)
-            log.append(state.select(*WALK, F.lit(step).alias("step"), "recent"))
-            state = state.where("at IS NOT NULL").withColumn("recent", none)
+        state = written(moved.select(*WALK, "step", to.alias("at"), F.when(to.isNull(), none).otherwise(F.array(taken)).alias("taken")))
+        log.append(state.select(*WALK, "step", "taken"))
+        state = state.select(*WALK, "step", "at")
     artist = lambda x: F.concat(F.lit("artist::"), x["at"].cast("string"))
     tokens = lambda x: F.when(x["tag"].isNull(), F.array(artist(x))).otherwise(F.array(F.concat(F.lit("tag::"), x["tag"].cast("string")), artist(x)))
-    listed = F.array_sort(F.collect_list(F.struct("step", F.flatten(F.transform("recent", tokens)).alias("tokens"))))  # one for each time it is written
+    listed = F.array_sort(F.collect_list(F.struct("step", F.flatten(F.transform("taken", tokens)).alias("tokens"))))  # one for each step
     return reduce(DataFrame.unionByName, log).groupBy(*WALK).agg(F.flatten(F.transform(listed, lambda x: x["tokens"])).alias("tokens"))

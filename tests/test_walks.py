@@ -96,8 +96,8 @@ def test_choices_follow_their_weights(spark, monkeypatch):
     monkeypatch.setattr(walks, "BLOCK", 3)
     weights = {f"b{k}": 1.0 + k % 4 for k in range(10)}
     table = walks.Choices(spark.createDataFrame([("hub", b, w) for b, w in weights.items()], "key string, item string, weight double"))
-    states = spark.range(20_000).select(F.lit("hub").alias("node"), F.col("id").alias("walk"), F.lit("hub").alias("at"))
-    got = {r.to: r["count"] for r in walks.chosen(states, F.col("at"), F.lit(True), table, "to", 1, SEED).groupBy("to").count().collect()}
+    states = spark.range(20_000).select(F.lit("hub").alias("node"), F.col("id").alias("walk"), F.lit(1).alias("step"), F.lit("hub").alias("at"))
+    got = {r.to: r["count"] for r in walks.chosen(states, F.col("at"), F.lit(True), table, "to", SEED).groupBy("to").count().collect()}
     total = sum(weights.values())
     for b, w in weights.items():
         want = 20_000 * w / total
