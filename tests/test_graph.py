@@ -180,10 +180,10 @@ def test_walks_and_vectors(spark):
     block = lambda p: [(f"{p}{a}", f"{p}{b}", 1.0) for a, b in itertools.combinations(range(5), 2)]
     edges = spark.createDataFrame(block("a") + block("b"), EDGES)
     tagged = spark.createDataFrame([(f"a{k}", "t") for k in range(5)] + [("lone", "u")], "node string, tag string")
-    walks = walks_of(edges, tagged, each=6).cache()
+    walks = walks_of(edges, tagged, each=6, steps=10).cache()
     assert walks.count() == 6 * 11
     assert {tuple(r.tokens) for r in walks.where("node = 'lone'").collect()} == {("artist::lone",)}
-    again = walks_of(edges, tagged, each=6)
+    again = walks_of(edges, tagged, each=6, steps=10)
     assert rows(walks) == rows(again)
     vectors = embedding.node_vectors(embedding.skip_gram(walks, size=8, epochs=3))
     pairs = spark.createDataFrame([(f"a{i}", f"a{j}", True) for i, j in itertools.combinations(range(5), 2)] + [(f"a{i}", f"b{j}", False) for i in range(5) for j in range(5)], "src string, dst string, y boolean")
