@@ -159,16 +159,6 @@ def coherence(points: DataFrame, id: str, vector: str, library: DataFrame, trial
     return out.withColumn("passed", F.col("real") > F.col("mean") + F.col("sd"))
 
 
-def spread(values: Column) -> Column:
-    """The population deviation of values over their mean level, as a struct (mean, sd)."""
-    return F.struct(F.avg(values).alias("mean"), F.stddev_pop(values).alias("sd"))
-
-
-def coherent(real: float, trials: DataFrame, value: str = "silhouette") -> DataFrame:
-    """Whether a silhouette exceeds random trials' mean by a deviation: mean, sd, passed."""
-    return trials.agg(F.avg(value).alias("mean"), F.stddev_pop(value).alias("sd")).withColumn("passed", F.lit(real) > F.col("mean") + F.col("sd"))
-
-
 def consistency(runs: DataFrame) -> DataFrame:
     """For each ordered pair in how many of the seeds' runs (seed, id, other, hit) it was hit: id, other, hits, runs."""
     return runs.groupBy("id", "other").agg(F.sum(F.col("hit").cast("long")).alias("hits"), F.count_distinct("seed").alias("runs"))

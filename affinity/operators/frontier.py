@@ -109,14 +109,6 @@ def loved(nodes: DataFrame, response: str = "will_response") -> DataFrame:
     return nodes.where(F.col(response).isin(LOVED))
 
 
-def profile(tracks: DataFrame, vocabulary: list[str]) -> Column:
-    """A vector of a track: descriptors one-hot, log seconds, year scaled to the corpus."""
-    years = tracks.agg(F.min("release_year").alias("low"), F.max("release_year").alias("high")).first()
-    span = max(1, (years["high"] or 0) - (years["low"] or 0))
-    flags = [F.array_contains("descriptors", d).cast("double") for d in vocabulary]
-    return F.array(*flags, F.log1p(F.col("played_seconds").cast("double")), (F.coalesce("release_year", F.lit(years["low"] or 0)) - (years["low"] or 0)) / span)
-
-
 def track_features(tracks: DataFrame, id: str, vocabulary: list[str], macros: list[str]) -> DataFrame:
     """A track's vector: descriptors one-hot, log seconds over the most, year scaled to the corpus, macro genres one-hot: id, vector.
 
