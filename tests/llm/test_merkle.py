@@ -82,7 +82,7 @@ def test_few_rows(spark):
         assert got == plain(rows)
 
 
-@pytest.mark.parametrize("arity,size", itertools.product([2, 3], [1, 2, 3, 10, 64]))
+@pytest.mark.parametrize("arity,size", list(itertools.product([2, 3], [1, 2, 3, 10, 64])))
 def test_merges_in_any_order(arity, size):
     """However leaves are split and fragments are merged, the same node is left; paths fold to it."""
     leaves = [(0, i, h(str(i))) for i in range(size)]
