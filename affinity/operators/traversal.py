@@ -10,6 +10,8 @@ from affinity.operators.session import cut
 # Labels that end a walk up the genres.
 STOP_LABELS = ["music genre", "music", "art", "genre", "popular music", "entertainment"]
 MAX_HOPS = 6
+#: Labels that a task walks up about.
+TASK_LABELS = 1 << 16
 
 
 def best_first(seeds: DataFrame, edges: DataFrame, most: int, max_rounds: int = 200) -> DataFrame:
@@ -138,24 +140,24 @@ def walk_to_root(parents: DataFrame, starts: DataFrame, stops: list[str] = STOP_
     """The path of each start label up a hierarchy: label, path, root.
 
     ``parents`` has (child, pos, parent); the first parent in order that is no
-    stop label and not yet on the path is taken, for at most ``hops`` steps.
+    stop label and not yet on the path is taken, for at most ``hops`` steps. Each step
+    is a join of all walks, so there is no limit on their number.
     """
     spark = parents.sparkSession
-    own = parents.where(~F.col("parent").isin(stops))
-    listed = own.groupBy("child").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "parent"))), lambda x: x["parent"]).alias("parents"))
-    return spark.sql(
-        f"""
-        WITH RECURSIVE walk(label, path, at) AS (
-            SELECT label, array(label), label FROM {{starts}}
-            UNION ALL
-            SELECT label, array_append(path, next), next FROM (
-                SELECT w.label, w.path, try_element_at(filter(p.parents, x -> NOT array_contains(w.path, x)), 1) AS next
-                FROM walk w JOIN {{parents}} p ON p.child = w.at WHERE size(w.path) <= {hops})
-            WHERE next IS NOT NULL)
-        SELECT label, max_by(path, size(path)) AS path, element_at(max_by(path, size(path)), -1) AS root FROM walk GROUP BY label""",
-        starts=starts.select("label").distinct(),
-        parents=listed,
-    )
+    labels = starts.select("label").distinct()
+    # Explicit numbers, as small rows would be put into few tasks whose sorts grow with the table.
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism, -(-labels.count() // TASK_LABELS))
+    own = parents.where(~F.col("parent").isin(stops)).repartition(tasks, "child")
+    listed = own.groupBy(F.col("child").alias("at")).agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "parent"))), lambda x: x["parent"]).alias("parents"))
+    listed = listed.withColumn("lane", F.lit(0)).repartition(tasks, "at", "lane")
+    walk = labels.select("label", F.array("label").alias("path"), F.col("label").alias("at"))
+    for _ in range(hops):
+        # Walks that have ended are dealt out by a lane of their own.
+        lane = F.when(F.col("at").isNull(), 1 + F.pmod(F.xxhash64("label"), F.lit(1 << 16))).otherwise(0).cast("int")
+        both = walk.withColumn("lane", lane).repartition(tasks, "at", "lane").join(listed, ["at", "lane"], "left")
+        both = both.withColumn("next", F.try_element_at(F.filter("parents", lambda x: ~F.array_contains("path", x)), F.lit(1)))
+        walk = both.select("label", F.when(F.col("next").isNull(), F.col("path")).otherwise(F.array_append("path", F.col("next"))).alias("path"), F.col("next").alias("at"))
+    return walk.select("label", "path", F.element_at("path", -1).alias("root"))
 
 
 def lineage(edges: DataFrame, start: Column, types: list[str], hops: int = 4) -> DataFrame:
