@@ -6,13 +6,22 @@ undirected layers keep ``src < dst``. Layers stay apart until ``collapse``.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from affinity.operators.session import written
+
 MIN_LISTENING = 60
 MIN_MATCH = 0.15
 #: Which layer gives a collapsed edge its type: the first present, but for influence, which replaces all.
 PRECEDENCE = ["collab", "production", "similarity"]
+#: Members and pairs that a task of a join by group has about; members of one piece of a group; members of a block at most, groups compared at once.
+TASK_MEMBERS, TASK_PAIRS, PIECE, BLOCK, GROUPS_AT_ONCE = 1 << 19, 1 << 20, 4096, 8192, 1024
 
 
 def listening(plays: DataFrame, who: str, what: str, seconds: str, least: float = 1) -> DataFrame:
@@ -23,15 +32,87 @@ def listening(plays: DataFrame, who: str, what: str, seconds: str, least: float
 def pairs(members: DataFrame, group: str, member: str, max_group: int | None = None) -> DataFrame:
     """Unordered pairs of distinct members by group, counted over groups: src, dst, weight.
 
-    Members are made distinct first, so a pair counts once a group. The join is
-    on the group; ``max_group`` leaves larger groups out where pairs of a crowd
-    mean nothing (off by default: nothing is dropped unasked).
+    Members are made distinct first, so a pair counts once a group; ``max_group`` leaves
+    larger groups out where pairs of a crowd mean nothing (off by default: nothing is
+    dropped unasked). Groups are counted first. Mostly they are joined with themselves,
+    large ones piece by piece, over as many tasks as members and pairs need, so that a
+    task's memory is bounded. Where the groups hold more pairs than the members have,
+    blocks of members are compared instead, each pair once.
     """
-    own = members.select(F.col(group).alias("g"), F.col(member).alias("m")).where("g IS NOT NULL AND m IS NOT NULL").distinct()
+    own = members.select(F.col(group).alias("g"), F.col(member).alias("m")).where("g IS NOT NULL AND m IS NOT NULL")
+    least = max(int(own.sparkSession.conf.get("spark.sql.shuffle.partitions")), own.sparkSession.sparkContext.defaultParallelism)
+    parts = max(least, -(-own.count() // TASK_MEMBERS))
+    own = written(own.repartition(parts, "g", "m").distinct())
+    sizes = own.repartition(parts, "g").groupBy("g").agg(F.count("*").alias("n"))
     if max_group is not None:
-        own = own.join(own.groupBy("g").count().where(F.col("count") <= max_group).select("g"), "g", "left_semi")
-    a, b = own.withColumnRenamed("m", "src"), own.withColumnRenamed("m", "dst")
-    return a.join(b, "g").where("src < dst").groupBy("src", "dst").agg(F.count("*").alias("weight"))
+        own = own.join(sizes.where(F.col("n") <= max_group).select("g"), "g", "left_semi")
+        sizes = sizes.where(F.col("n") <= max_group)
+    found = sizes.agg(F.max("n").alias("most"), F.sum(F.col("n") * (F.col("n") - 1) / 2).alias("pairs")).first()
+    if found["most"] is None:
+        return own.select(F.col("m").alias("src"), F.col("m").alias("dst"), F.lit(0).cast("long").alias("weight")).limit(0)
+    known = own.agg(F.count_distinct("m")).first()[0] if found["pairs"] > TASK_PAIRS else None
+    if known is not None and found["pairs"] > known * (known - 1) / 2:
+        return _block_pairs(own, known, least)
+    tasks = max(parts, int(-(-found["pairs"] // TASK_PAIRS)))
+    if found["most"] <= PIECE:
+        dealt = own.repartition(tasks, "g")
+        both = dealt.withColumnRenamed("m", "src").join(dealt.withColumnRenamed("m", "dst"), "g").where("src < dst")
+    else:
+        pieces = own.join(sizes.select("g", F.ceil(F.col("n") / PIECE).cast("int").alias("pieces")), "g").withColumn("piece", F.pmod(F.xxhash64("m"), F.col("pieces")).cast("int"))
+        one = pieces.select("g", F.col("m").alias("a"), F.col("piece").alias("i"), F.explode(F.sequence("piece", F.col("pieces") - 1)).alias("j"))
+        two = pieces.select("g", F.col("m").alias("b"), F.col("piece").alias("j"), F.explode(F.sequence(F.lit(0), "piece")).alias("i"))
+        both = one.repartition(tasks, "g", "i", "j").join(two.repartition(tasks, "g", "i", "j"), ["g", "i", "j"])
+        both = both.where("i < j OR a < b").select(F.least("a", "b").alias("src"), F.greatest("a", "b").alias("dst"))
+    return both.select("src", "dst").repartition(tasks, "src", "dst").groupBy("src", "dst").agg(F.count("*").alias("weight"))
+
+
+def _block_pairs(own: DataFrame, members: int, least: int) -> DataFrame:
+    """Pairs of members (g, m; distinct) by their common groups, block by block; only blocks are shuffled."""
+    blocks = min(members, max(-(-members // BLOCK), int(np.ceil(np.sqrt(6 * least)))))
+    kind = own.schema["m"].dataType.simpleString()
+    listed = own.groupBy("m").agg(F.collect_list("g").alias("gs"))
+    packed = listed.groupBy(F.pmod(F.xxhash64("m"), F.lit(blocks)).cast("int").alias("j")).agg(F.collect_list(F.struct("m", "gs")).alias("right"))
+    left = packed.select(F.col("j").alias("i"), F.col("right").alias("left"), F.explode(F.sequence("j", F.lit(blocks - 1))).alias("j"))
+    both = left.join(packed, "j").select("i", "j", "left", "right").repartition(blocks * (blocks + 1) // 2)
+    return both.mapInArrow(_common_groups, f"src {kind}, dst {kind}, weight long")
+
+
+def _common_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """For each two blocks of members the pairs with a common group and the number of these."""
+
+    def flags(rows: np.ndarray, codes: np.ndarray, n: int, first: int) -> np.ndarray:
+        out = np.zeros((n, GROUPS_AT_ONCE), np.float32)
+        inside = (codes >= first) & (codes < first + GROUPS_AT_ONCE)
+        out[rows[inside], codes[inside] - first] = 1
+        return out
+
+    for batch in batches:
+        for i, j, one, two in zip(*(batch.column(c) for c in range(4)), strict=True):
+            sides = [x.values for x in (one, two)]
+            lists = [x.field("gs") for x in sides]
+            groups = pa.concat_arrays([x.flatten() for x in lists]).dictionary_encode()
+            codes = np.split(groups.indices.to_numpy(), [len(lists[0].flatten())])
+            rows = [np.repeat(np.arange(len(x)), pc.list_value_length(x).to_numpy()) for x in lists]
+            names = pa.concat_arrays([x.field("m") for x in sides]).dictionary_encode()
+            order = pc.sort_indices(names.dictionary)
+            place = np.empty(len(order), np.int64)
+            place[order.to_numpy()] = np.arange(len(order))
+            a, b = np.split(place[names.indices.to_numpy()], [len(sides[0])])
+            names = names.dictionary.take(order)
+            step = max(1, (1 << 21) // max(len(b), GROUPS_AT_ONCE))
+            for start in range(0, len(a), step):
+                own = a[start : start + step]
+                mine = (rows[0] >= start) & (rows[0] < start + step)
+                common = np.zeros((len(own), len(b)), np.float32)
+                for first in range(0, len(groups.dictionary), GROUPS_AT_ONCE):
+                    common += flags(rows[0][mine] - start, codes[0][mine], len(own), first) @ flags(rows[1], codes[1], len(b), first).T
+                keep = common > 0
+                if i == j:
+                    keep &= own[:, None] < b[None, :]
+                row, column = np.nonzero(keep)
+                x, y = own[row], b[column]
+                columns = [names.take(pa.array(np.minimum(x, y))), names.take(pa.array(np.maximum(x, y))), pa.array(common[row, column].astype(np.int64))]
+                yield pa.RecordBatch.from_arrays(columns, ["src", "dst", "weight"])
 
 
 def similarity(directed: DataFrame, library: DataFrame, floor: float = MIN_MATCH) -> DataFrame:

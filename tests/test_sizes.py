@@ -23,3 +23,52 @@ def test_walks_to_root_are_not_limited(spark):
         while path[-1] > 1 and path[-1] // 2 != 3 and len(path) <= 4:
             path.append(path[-1] // 2)
         assert got[label] == (path, path[-1])
+
+
+@pytest.mark.parametrize("kind,members,groups,size,blocks", [("long", 60, 200, 4, False), ("string", 40, 6, 30, True), ("long", 60, 12, 25, False)])
+def test_pairs_of_few_and_many_groups(spark, monkeypatch, kind, members, groups, size, blocks):
+    """Pairs by group, by pieces of large groups and by blocks of members, against all pairs."""
+    for name, value in (("TASK_MEMBERS", 50), ("TASK_PAIRS", 200), ("PIECE", 10), ("BLOCK", 16), ("GROUPS_AT_ONCE", 4)):
+        monkeypatch.setattr(layers, name, value)
+    taken = []
+    whole = layers._block_pairs
+    monkeypatch.setattr(layers, "_block_pairs", lambda *a: taken.append(1) or whole(*a))
+    rng = random.Random(5)
+    name = (lambda k: k) if kind == "long" else (lambda k: f"é{k}")
+    own = {g: rng.sample(range(members), size) for g in range(groups)}
+    if groups == 12:
+        own = {g: m if g < 4 else m[:2] for g, m in own.items()}
+    rows = [(f"g{g}", name(m)) for g, found in own.items() for m in found]
+    frame = spark.createDataFrame([*rows, *rows[:20], (None, name(1)), ("g1", None)], f"g string, m {kind}")
+    want = Counter(pair for found in own.values() for pair in itertools.combinations(sorted(map(name, found)), 2))
+    got = layers.pairs(frame, "g", "m").collect()
+    assert {(r.src, r.dst): r.weight for r in got} == want and len(got) == len(want)
+    assert bool(taken) == blocks
+    assert layers.pairs(frame, "g", "m", 3).count() == len({p for m in own.values() if len(m) <= 3 for p in itertools.combinations(sorted(map(name, m)), 2)})
+
+
+def test_cells_of_neighbours():
+    """Few queries meet many points in one row of cells; shuffles don't grow with the square of the points."""
+    assert frontier.grid(9_000, 900_000, 24)[0] == 1
+    for n in (12_000, 120_000, 720_000):
+        rows, columns = frontier.grid(n, n, 24)
+        assert rows * columns >= 24 and (rows + columns) * n <= 24 * n
+        assert n / min(rows, columns) <= frontier.SIDE * 1.01
+    assert frontier.grid(10, 10, 24) == (1, 1)
+
+
+def test_neighbours_over_cells(spark, monkeypatch):
+    """Few queries and equals over several cells and blocks, against all pairs."""
+    monkeypatch.setattr(frontier, "SIDE", 50)
+    monkeypatch.setattr(frontier, "BLOCK", 8)
+    rng = random.Random(4)
+    v = {k: [float(rng.randint(1, 3)) for _ in range(3)] for k in rng.sample(range(1000), 160)}
+    points = spark.createDataFrame(list(v.items()), "id long, v array<double>").repartition(5)
+    asked = sorted(v)[::9]
+    length = lambda x: sum(e * e for e in x) ** 0.5 + 1e-9
+    cosine = lambda x, y: round(sum(a * b for a, b in zip(v[x], v[y], strict=True)) / length(v[x]) / length(v[y]), 10)
+    found = frontier.nearest(points, "id", "v", 5, spark.createDataFrame([(k,) for k in asked], "id long")).collect()
+    assert len(found) == 5 * len(asked)
+    for k in asked:
+        best = sorted((-cosine(k, j), j) for j in v if j != k)[:5]
+        assert [r.other for r in sorted(found, key=lambda r: r["rank"]) if r.id == k] == [j for _, j in best]
