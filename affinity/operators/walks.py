@@ -9,9 +9,12 @@ Walks that don't look something up are dealt out in the same join by a lane of
 their own, and joined with nothing.
 
 Every draw is a hash of the seed, the walk, the step and what is drawn, so walks
-are the same on any cluster and after any loss. What a step gave is written: it is
-both the next step's input and the log of the walks. The step's number is a column,
-so that all steps share one generated code.
+are the same on any cluster and after any loss. ``TOGETHER`` steps are one plan,
+and what they gave is written: it is both the next ones' input and the log of the
+walks. The step's number is a column, so that all plans share one generated code.
+
+A draw is looked up in running sums that were made once, by native functions: no
+step goes over a block's choices in an interpreted function.
 """
 
 from __future__ import annotations
@@ -26,6 +29,8 @@ from affinity.operators.session import written
 
 STEPS, WALKS, TAG_SHARE = 39, 8, 0.4
 BLOCK = 256
+#: Steps that are one plan.
+TOGETHER = 1
 WALK = ["node", "walk"]
 
 
@@ -35,16 +40,23 @@ def block_of(item: Column, parts: Column) -> Column:
 
 
 class Choices:
-    """Choices (key, item, weight): ``directory`` (key, parts, blocks: item, weight) and ``blocks`` (key, block, items: item, weight)."""
+    """Choices (key, item, weight): ``blocks`` (key, parts, block, items, ends) and ``directory`` (key, parts, entries, ends).
+
+    ``items`` has a block's (item, weight) in order, ``entries`` a key's blocks in the same form, and
+    ``ends`` the running sums of their weights. Where every key has one block the directory isn't asked.
+    """
 
     def __init__(self, choices: DataFrame):
         parts = F.ceil(F.count("*") / F.greatest(F.lit(float(BLOCK)), F.sqrt(F.count("*"))))
         sizes = choices.groupBy("key").agg(parts.alias("parts"))
         dealt = choices.join(sizes, "key").withColumn("block", block_of(F.col("item"), F.col("parts")))
         listed = F.array_sort(F.collect_list(F.struct("item", "weight")))
-        self.blocks = written(dealt.groupBy("key", "parts", "block").agg(listed.alias("items")))
-        each = F.struct(F.col("block").alias("item"), summed(F.col("items")).alias("weight"))
-        self.directory = written(self.blocks.groupBy("key", "parts").agg(F.array_sort(F.collect_list(each)).alias("entries")))
+        blocks = dealt.groupBy("key", "parts", "block").agg(listed.alias("items"))
+        self.blocks = written(blocks.withColumn("ends", running(F.col("items"))))
+        each = F.struct(F.col("block").alias("item"), F.element_at("ends", -1).alias("weight"))
+        directory = self.blocks.groupBy("key", "parts").agg(F.array_sort(F.collect_list(each)).alias("entries"))
+        self.directory = written(directory.withColumn("ends", running(F.col("entries"))))
+        self.split = not self.directory.where("parts > 1").isEmpty()
 
 
 def chance(seed: int, *what: Column) -> Column:
@@ -52,35 +64,58 @@ def chance(seed: int, *what: Column) -> Column:
     return (drawn(F.lit(seed), F.col("node"), F.col("walk"), F.col("step"), *what) + 0.5) / float(1 << 32)
 
 
-def summed(items: Column) -> Column:
-    """The weight of all items."""
-    return F.aggregate(items, F.lit(0.0), lambda a, x: a + x["weight"])
+def running(items: Column) -> Column:
+    """The running sums of the weights, in order."""
+    start = F.array().cast("array<double>")
+    return F.aggregate(items, start, lambda a, x: F.array_append(a, F.coalesce(F.try_element_at(a, F.lit(-1)), F.lit(0.0)) + x["weight"]))
 
 
-def picked(items: Column, at: Column) -> Column:
-    """The item at a share of the weights' running sum."""
-    start = F.struct(F.lit(0.0).alias("sum"), F.get(items, 0)["item"].alias("item"), F.lit(False).alias("done"))
-    goal = at * summed(items)
+def reached(ends: Column, goal: Column) -> Column:
+    """The place, from 1, of the first running sum that reaches a goal: where it would be put in order."""
+    return F.array_position(F.sort_array(F.array_append(ends, goal)), goal)
 
-    def step(a: Column, x: Column) -> Column:
-        return F.struct((a["sum"] + x["weight"]).alias("sum"), F.when(a["done"], a["item"]).otherwise(x["item"]).alias("item"), (a["done"] | (a["sum"] + x["weight"] >= goal)).alias("done"))
 
-    return F.aggregate(items, start, step)["item"]
+def picked(items: Column, place: Column) -> Column:
+    """The item at a place, from 1; null at none."""
+    return F.get(items, F.least(F.coalesce(place.cast("int"), F.lit(0)), F.size(items)) - 1)["item"]
 
 
 def chosen(walks: DataFrame, by: Column, asks: Column, table: Choices, name: str, seed: int, own: bool = True) -> DataFrame:
-    """Adds one choice of a key, drawn by weight; null for walks that don't ask or have none. Without ``own`` where the walk is isn't a choice."""
+    """Adds one choice of a key, drawn by weight; null for walks that don't ask or have none.
+
+    Without ``own`` where the walk is isn't a choice; all weights are 1 then, and places after its own move up by one.
+    """
     asks = F.coalesce(asks & by.isNotNull(), F.lit(False))
     lane = F.when(asks, 0).otherwise(1 + F.pmod(F.xxhash64(*WALK), F.lit(1 << 16))).cast("int")
-    both = walks.withColumn("key", F.coalesce(by, F.lit(None).cast(table.blocks.schema["key"].dataType))).withColumn("lane", lane)
-    both = both.join(table.directory.withColumn("lane", F.lit(0)), ["key", "lane"], "left")
-    if not own:
-        less = lambda x: F.struct(x["item"].alias("item"), (x["weight"] - F.when(x["item"] == block_of(F.col("at"), F.col("parts")), 1.0).otherwise(0.0)).alias("weight"))
-        both = both.withColumn("entries", F.filter(F.transform("entries", less), lambda x: x["weight"] > 0))
-    both = both.withColumn("block", picked(F.col("entries"), chance(seed, F.lit(name), F.lit("block"))))
-    both = both.join(table.blocks.select("key", "block", "items").withColumn("lane", F.lit(0)), ["key", "block", "lane"], "left")
-    items = F.col("items") if own else F.filter("items", lambda x: x["item"] != F.col("at"))
-    return both.withColumn(name, picked(items, chance(seed, F.lit(name)))).select(*walks.columns, name)
+    # Draws are columns below the joins, so that each is hashed once.
+    draws = {"at_block": chance(seed, F.lit(name), F.lit("block")), "at_item": chance(seed, F.lit(name))}
+    both = walks.withColumns({"key": F.coalesce(by, F.lit(None).cast(table.blocks.schema["key"].dataType)), "lane": lane, **draws})
+    ends, at_block, at_item = F.col("ends"), F.col("at_block"), F.col("at_item")
+    if table.split:
+        both = both.join(table.directory.withColumn("lane", F.lit(0)), ["key", "lane"], "left")
+        if own:
+            place = reached(ends, at_block * F.element_at(ends, -1))
+        else:
+            last = F.element_at(ends, -1) - 1
+            both = both.withColumn("goal", F.when(last > 0, F.ceil(at_block * last).cast("double")))
+            goal = F.col("goal")
+            mine = F.array_position(F.col("entries")["item"], block_of(F.col("at"), F.col("parts")))
+            before = F.coalesce(F.get(ends, mine.cast("int") - 2), F.lit(0.0))
+            place = reached(ends, F.when(goal <= before, goal).otherwise(goal + 1))
+        both = both.withColumn("block", picked(F.col("entries"), place)).drop("parts", "entries", "ends")
+        both = both.join(table.blocks.withColumn("lane", F.lit(0)), ["key", "block", "lane"], "left")
+    else:
+        both = both.join(table.blocks.withColumn("lane", F.lit(0)), ["key", "lane"], "left")
+    if own:
+        place = reached(ends, at_item * F.element_at(ends, -1))
+    else:
+        both = both.withColumn("mine", F.array_position(F.col("items")["item"], F.col("at")))  # 0 in other blocks
+        mine = F.col("mine")
+        last = F.element_at(ends, -1) - F.when(mine > 0, 1).otherwise(0)
+        both = both.withColumn("goal", F.when(last > 0, F.ceil(at_item * last)))
+        goal = F.col("goal")
+        place = F.when((mine > 0) & (goal >= mine), goal + 1).otherwise(goal)
+    return both.withColumn(name, picked(F.col("items"), place)).select(*walks.columns, name)
 
 
 def walks(edges: DataFrame, tagged: DataFrame, seed: int = 42, each: int = WALKS, steps: int = STEPS) -> DataFrame:
@@ -103,15 +138,19 @@ def walks(edges: DataFrame, tagged: DataFrame, seed: int = 42, each: int = WALKS
     none = F.array().cast(f"array<struct<tag:{tag_kind},at:{kind}>>")
     start = nodes.select("node", F.explode(F.sequence(F.lit(0), F.lit(each - 1))).alias("walk"), F.lit(0).alias("step"), F.col("node").alias("at"))
     log = [start.select(*WALK, "step", F.array(F.struct(F.lit(None).cast(tag_kind).alias("tag"), "at")).alias("taken"))]
-    state = written(start)
-    for _ in range(steps):
-        state = state.where("at IS NOT NULL").withColumn("step", F.col("step") + 1)
-        by_tag = chosen(state, F.col("at"), chance(seed, F.lit("mode")) < TAG_SHARE, tags_of, "tag", seed)
-        moved = chosen(by_tag, F.col("tag"), F.lit(True), nodes_of, "other", seed, own=False)
-        moved = chosen(moved, F.col("at"), F.col("other").isNull(), near, "next", seed)
-        to = F.coalesce("other", "next")
-        taken = F.struct(F.when(F.col("other").isNotNull(), F.col("tag")).alias("tag"), to.alias("at"))
-        state = written(moved.select(*WALK, "step", to.alias("at"), F.when(to.isNull(), none).otherwise(F.array(taken)).alias("taken")))
+    spread = max(int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions")), edges.sparkSession.sparkContext.defaultParallelism)
+    state = written(start.repartition(spread, *WALK))
+    for first in range(0, steps, TOGETHER):
+        state = state.where("at IS NOT NULL").withColumn("taken", none)
+        for _ in range(min(TOGETHER, steps - first)):
+            state = state.withColumn("step", F.col("step") + 1)
+            by_tag = chosen(state, F.col("at"), chance(seed, F.lit("mode")) < TAG_SHARE, tags_of, "tag", seed)
+            moved = chosen(by_tag, F.col("tag"), F.lit(True), nodes_of, "other", seed, own=False)
+            moved = chosen(moved, F.col("at"), F.col("other").isNull(), near, "next", seed)
+            to = F.coalesce("other", "next")
+            taken = F.struct(F.when(F.col("other").isNotNull(), F.col("tag")).alias("tag"), to.alias("at"))
+            state = moved.select(*WALK, "step", to.alias("at"), F.when(to.isNull(), F.col("taken")).otherwise(F.array_append("taken", taken)).alias("taken"))
+        state = written(state)
         log.append(state.select(*WALK, "step", "taken"))
         state = state.select(*WALK, "step", "at")
     artist = lambda x: F.concat(F.lit("artist::"), x["at"].cast("string"))
