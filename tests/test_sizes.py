@@ -72,3 +72,39 @@ def test_neighbours_over_cells(spark, monkeypatch):
     for k in asked:
         best = sorted((-cosine(k, j), j) for j in v if j != k)[:5]
         assert [r.other for r in sorted(found, key=lambda r: r["rank"]) if r.id == k] == [j for _, j in best]
+
+
+@pytest.mark.parametrize("kind", ["float", "double"])
+def test_cells_follow_cores(spark, monkeypatch, kind):
+    """More shuffle partitions deal vectors to no more cells, floats are dealt as floats, and six times as many vectors are dealt no more often."""
+    assert frontier.grid(615_000, 615_000, 36) == frontier.grid(102_000, 102_000, 36) == (6, 6)
+    monkeypatch.setattr(frontier, "BLOCK", 4)
+    asked, dealt = [], []
+    grid, kept = frontier.grid, frontier._cell_nearest
+    monkeypatch.setattr(frontier, "grid", lambda q, n, tasks: asked.append(tasks) or grid(q, n, tasks))
+
+    def seen(k):
+        inner = kept(k)
+
+        def run(table):
+            assert str(table.schema.field("v").type.value_type) == kind
+            return inner(table)
+
+        return dealt.append(k) or run
+
+    monkeypatch.setattr(frontier, "_cell_nearest", seen)
+    rng = random.Random(6)
+    v = {k: [rng.random() for _ in range(5)] for k in range(90)}
+    points = spark.createDataFrame(list(v.items()), f"id long, v array<{kind}>")
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "300")
+    try:
+        plan = frontier.nearest(points, "id", "v", 3)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    found = plan.collect()
+    assert asked[0] <= max(24, 3 * spark.sparkContext.defaultParallelism) and dealt == [3]
+    cosine = lambda x, y: sum(a * b for a, b in zip(v[x], v[y], strict=True)) / (sum(a * a for a in v[x]) * sum(b * b for b in v[y])) ** 0.5
+    for k in v:
+        best = sorted((-cosine(k, j), j) for j in v if j != k)[:3]
+        assert [r.other for r in sorted(found, key=lambda r: r["rank"]) if r.id == k] == [j for _, j in best]
