@@ -47,6 +47,14 @@ def test_pairs_of_few_and_many_groups(spark, monkeypatch, kind, members, groups,
     assert layers.pairs(frame, "g", "m", 3).count() == len({p for m in own.values() if len(m) <= 3 for p in itertools.combinations(sorted(map(name, m)), 2)})
 
 
+def test_tasks_of_pairs_follow_their_number(spark, monkeypatch):
+    """Ten times as many pairs are counted in ten times as many tasks, whatever the number of shuffle partitions."""
+    monkeypatch.setattr(layers, "TASK_PAIRS", 100)
+    for groups in (80, 800):
+        found = layers.pairs(spark.range(groups * 5).selectExpr("id div 5 AS g", "id AS m"), "g", "m")
+        assert found.rdd.getNumPartitions() == groups * 10 // 100 and found.count() == groups * 10
+
+
 def test_cells_of_neighbours():
     """Few queries meet many points in one row of cells; shuffles don't grow with the square of the points."""
     assert frontier.grid(9_000, 900_000, 24)[0] == 1
