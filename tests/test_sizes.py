@@ -7,6 +7,7 @@ from collections import Counter
 import pytest
 
 from affinity.operators import frontier, layers, traversal
+from affinity.plans import taste_queries
 
 
 def test_walks_to_root_are_not_limited(spark):
@@ -116,3 +117,35 @@ def test_cells_follow_cores(spark, monkeypatch, kind):
     for k in v:
         best = sorted((-cosine(k, j), j) for j in v if j != k)[:3]
         assert [r.other for r in sorted(found, key=lambda r: r["rank"]) if r.id == k] == [j for _, j in best]
+
+
+def test_hover_lines_deal_vectors_by_cores(spark, monkeypatch, tmp_path):
+    """With many shuffle partitions the map's vectors are dealt to no more cells than cores take, and every line is right."""
+    dealt, grid = [], frontier.grid
+    monkeypatch.setattr(frontier, "BLOCK", 4)
+    monkeypatch.setattr(frontier, "grid", lambda *a: dealt.append(grid(*a)) or dealt[-1])
+    rng = random.Random(7)
+    v = {k: [float(rng.randint(1, 9)) for _ in range(64)] for k in rng.sample(range(500), 90)}
+    spark.createDataFrame([(k, x, k % 3) for k, x in v.items()], "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "300")
+    try:
+        plan = taste_queries.atlas_hover(spark, str(tmp_path))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    rows, columns = dealt[0]
+    assert rows * columns <= 2 * max(24, 3 * spark.sparkContext.defaultParallelism)
+    length = {k: sum(e * e for e in x) ** 0.5 for k, x in v.items()}
+    cosine = lambda x, y: round(sum(a * b for a, b in zip(v[x], v[y], strict=True)) / (length[x] * length[y]), 10)
+    near = {k: ", ".join(f"v{j}" for _, j in sorted((-cosine(k, j), j) for j in v if j != k)[:5]) for k in v}
+    tag = {0: "?", 1: "&lt;1&gt;", 2: "&lt;2&gt;"}
+    assert sorted((r.node, r.line) for r in plan.collect()) == sorted((k, f"<b>v{k}</b><br>tag: {tag[k % 3]}<br>nearest: {near[k]}") for k in v)
+
+
+def test_repeated_ids_are_not_their_own_neighbours(spark, monkeypatch):
+    """Rows of one id never name that id, whether they meet in one block or in several."""
+    monkeypatch.setattr(frontier, "BLOCK", 8)
+    rng = random.Random(8)
+    rows = [(k % 12, [rng.random() for _ in range(4)]) for k in range(60)]
+    found = frontier.nearest(spark.createDataFrame(rows, "id long, v array<double>"), "id", "v", 5).collect()
+    assert len(found) == 12 * 5 and all(r.id != r.other for r in found)
