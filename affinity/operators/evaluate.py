@@ -38,14 +38,14 @@ def negatives(edges: DataFrame, nodes: DataFrame, per_node: int, seed: int = 42,
 
 
 def auc(scored: DataFrame, score: str, label: str) -> DataFrame:
-    """ROC-AUC of a score, equals sharing their rank: auc, n_positive, n_negative, passed.
+    """ROC-AUC of a score, equals sharing their rank: auc (null without both labels), n_positive, n_negative, passed.
 
     Scores are counted by value first, then summed range by range of their order.
     """
     counts = scored.groupBy(F.col(score).alias("s")).agg(F.sum(F.col(label).cast("long")).alias("pos"), F.count("*").alias("n"))
     counts = counts.select("s", "pos", (F.col("n") - F.col("pos")).alias("neg"))
     summed = order.summed_before(counts, [F.col("s")], F.col("neg"), "below")
-    total = summed.agg(F.sum(F.col("pos") * (2 * F.col("below") + F.col("neg"))).alias("u2"), F.sum("pos").alias("n_positive"), F.sum("neg").alias("n_negative"))
+    total = summed.agg(F.sum(F.col("pos") * (2 * F.col("below") + F.col("neg"))).alias("u2"), *[F.coalesce(F.sum(c), F.lit(0).cast("long")).alias(n) for c, n in (("pos", "n_positive"), ("neg", "n_negative"))])
     value = F.when((F.col("n_positive") > 0) & (F.col("n_negative") > 0), F.col("u2") / (2 * F.col("n_positive") * F.col("n_negative")))
     return total.select(value.alias("auc"), "n_positive", "n_negative").withColumn("passed", F.coalesce(F.col("auc") >= PASS_AUC, F.lit(False)))
 

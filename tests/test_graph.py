@@ -168,6 +168,8 @@ def test_auc_and_holdout(spark):
     want = sum((a > b) + 0.5 * (a == b) for a, x in scored for b, y in scored if x and not y) / 6
     got = evaluate.auc(spark.createDataFrame(scored, "s double, y boolean"), "s", "y").first()
     assert got.auc == pytest.approx(want)
+    none = spark.createDataFrame([], "s double, y boolean")
+    assert tuple(evaluate.auc(none, "s", "y").first()) == (None, 0, 0, False)  # as SQL counts
     edges = spark.createDataFrame([(f"a{k}", f"b{k}") for k in range(4000)], "src string, dst string")
     assert 0.08 < evaluate.holdout(edges).where("held_out").count() / 4000 < 0.12
     nodes = layers.endpoints(edges).limit(50)
