@@ -20,8 +20,10 @@ MIN_LISTENING = 60
 MIN_MATCH = 0.15
 #: Which layer gives a collapsed edge its type: the first present, but for influence, which replaces all.
 PRECEDENCE = ["collab", "production", "similarity"]
-#: Members and pairs that a task of a join by group has about; members of one piece of a group; members of a block at most, groups compared at once.
-TASK_MEMBERS, TASK_PAIRS, PIECE, BLOCK, GROUPS_AT_ONCE = 1 << 19, 1 << 20, 4096, 8192, 1024
+#: Members and pairs that a task of a join by group has about; members of one piece of a group; members of a block at most, groups compared at once; pairs for each member of a group from which groups are crowds.
+TASK_MEMBERS, TASK_PAIRS, PIECE, BLOCK, GROUPS_AT_ONCE, CROWD = 1 << 19, 1 << 20, 4096, 8192, 1024, 8
+#: Members of groups that a block lists at most.
+LISTED = 1 << 18
 
 
 def listening(plays: DataFrame, who: str, what: str, seconds: str, least: float = 1) -> DataFrame:
@@ -37,7 +39,9 @@ def pairs(members: DataFrame, group: str, member: str, max_group: int | None = N
     dropped unasked). Groups are counted first. Mostly they are joined with themselves,
     large ones piece by piece, over as many tasks as members and pairs need, so that a
     task's memory is bounded. Where the groups hold more pairs than the members have,
-    blocks of members are compared instead, each pair once.
+    these are summed in each task first if groups are small (few members that meet in many
+    groups), and if groups are crowds, blocks of members are compared instead, each pair
+    once for each slice of the groups that a block can list.
     """
     own = members.select(F.col(group).alias("g"), F.col(member).alias("m")).where("g IS NOT NULL AND m IS NOT NULL")
     least = max(int(own.sparkSession.conf.get("spark.sql.shuffle.partitions")), own.sparkSession.sparkContext.defaultParallelism)
@@ -47,12 +51,13 @@ def pairs(members: DataFrame, group: str, member: str, max_group: int | None = N
     if max_group is not None:
         own = own.join(sizes.where(F.col("n") <= max_group).select("g"), "g", "left_semi")
         sizes = sizes.where(F.col("n") <= max_group)
-    found = sizes.agg(F.max("n").alias("most"), F.sum(F.col("n") * (F.col("n") - 1) / 2).alias("pairs")).first()
+    found = sizes.agg(F.max("n").alias("most"), F.sum("n").alias("rows"), F.sum(F.col("n") * (F.col("n") - 1) / 2).alias("pairs")).first()
     if found["most"] is None:
         return own.select(F.col("m").alias("src"), F.col("m").alias("dst"), F.lit(0).cast("long").alias("weight")).limit(0)
     known = own.agg(F.count_distinct("m")).first()[0] if found["pairs"] > TASK_PAIRS else None
-    if known is not None and found["pairs"] > known * (known - 1) / 2:
-        return _block_pairs(own, known, least)
+    again = known is not None and found["pairs"] > known * (known - 1) / 2
+    if again and found["pairs"] > CROWD * found["rows"]:
+        return _block_pairs(own, known, found["rows"], least)
     tasks = max(parts, int(-(-found["pairs"] // TASK_PAIRS)))
     if found["most"] <= PIECE:
         dealt = own.repartition(tasks, "g")
@@ -63,18 +68,23 @@ def pairs(members: DataFrame, group: str, member: str, max_group: int | None = N
         two = pieces.select("g", F.col("m").alias("b"), F.col("piece").alias("j"), F.explode(F.sequence(F.lit(0), "piece")).alias("i"))
         both = one.repartition(tasks, "g", "i", "j").join(two.repartition(tasks, "g", "i", "j"), ["g", "i", "j"])
         both = both.where("i < j OR a < b").select(F.least("a", "b").alias("src"), F.greatest("a", "b").alias("dst"))
-    return both.select("src", "dst").repartition(tasks, "src", "dst").groupBy("src", "dst").agg(F.count("*").alias("weight"))
+    both = both.select("src", "dst")
+    if not again:
+        both = both.repartition(tasks, "src", "dst")
+    return both.groupBy("src", "dst").agg(F.count("*").alias("weight"))
 
 
-def _block_pairs(own: DataFrame, members: int, least: int) -> DataFrame:
-    """Pairs of members (g, m; distinct) by their common groups, block by block; only blocks are shuffled."""
+def _block_pairs(own: DataFrame, members: int, rows: int, least: int) -> DataFrame:
+    """Pairs of members (g, m; distinct; so many rows) by their common groups, block by block; only blocks are shuffled, and sums where groups are sliced."""
     blocks = min(members, max(-(-members // BLOCK), int(np.ceil(np.sqrt(6 * least)))))
+    slices = -(-rows // (blocks * LISTED))
     kind = own.schema["m"].dataType.simpleString()
-    listed = own.groupBy("m").agg(F.collect_list("g").alias("gs"))
-    packed = listed.groupBy(F.pmod(F.xxhash64("m"), F.lit(blocks)).cast("int").alias("j")).agg(F.collect_list(F.struct("m", "gs")).alias("right"))
-    left = packed.select(F.col("j").alias("i"), F.col("right").alias("left"), F.explode(F.sequence("j", F.lit(blocks - 1))).alias("j"))
-    both = left.join(packed, "j").select("i", "j", "left", "right").repartition(blocks * (blocks + 1) // 2)
-    return both.mapInArrow(_common_groups, f"src {kind}, dst {kind}, weight long")
+    listed = own.groupBy("m", F.pmod(F.xxhash64("g", F.lit("slice")), F.lit(slices)).cast("int").alias("s")).agg(F.collect_list("g").alias("gs"))
+    packed = listed.groupBy("s", F.pmod(F.xxhash64("m"), F.lit(blocks)).cast("int").alias("j")).agg(F.collect_list(F.struct("m", "gs")).alias("right"))
+    left = packed.select("s", F.col("j").alias("i"), F.col("right").alias("left"), F.explode(F.sequence("j", F.lit(blocks - 1))).alias("j"))
+    both = left.join(packed.hint("merge"), ["s", "j"]).select("i", "j", "left", "right").repartition(slices * blocks * (blocks + 1) // 2)
+    found = both.mapInArrow(_common_groups, f"src {kind}, dst {kind}, weight long")
+    return found if slices == 1 else found.groupBy("src", "dst").agg(F.sum("weight").alias("weight"))
 
 
 def _common_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -82,7 +92,7 @@ def _common_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
 
     def flags(rows: np.ndarray, codes: np.ndarray, n: int, first: int) -> np.ndarray:
         out = np.zeros((n, GROUPS_AT_ONCE), np.float32)
-        inside = (codes >= first) & (codes < first + GROUPS_AT_ONCE)
+        inside = slice(*np.searchsorted(codes, [first, first + GROUPS_AT_ONCE]))  # codes ascend
         out[rows[inside], codes[inside] - first] = 1
         return out
 
@@ -93,6 +103,8 @@ def _common_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
             groups = pa.concat_arrays([x.flatten() for x in lists]).dictionary_encode()
             codes = np.split(groups.indices.to_numpy(), [len(lists[0].flatten())])
             rows = [np.repeat(np.arange(len(x)), pc.list_value_length(x).to_numpy()) for x in lists]
+            orders = [np.argsort(x, kind="stable") for x in codes]
+            codes, rows = ([x[order] for x, order in zip(y, orders, strict=True)] for y in (codes, rows))
             names = pa.concat_arrays([x.field("m") for x in sides]).dictionary_encode()
             order = pc.sort_indices(names.dictionary)
             place = np.empty(len(order), np.int64)

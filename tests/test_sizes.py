@@ -48,6 +48,29 @@ def test_pairs_of_few_and_many_groups(spark, monkeypatch, kind, members, groups,
     assert layers.pairs(frame, "g", "m", 3).count() == len({p for m in own.values() if len(m) <= 3 for p in itertools.combinations(sorted(map(name, m)), 2)})
 
 
+def test_few_members_in_many_groups(spark, monkeypatch):
+    """Few members that meet in many small groups aren't listed with all their groups."""
+    monkeypatch.setattr(layers, "TASK_PAIRS", 200)
+    monkeypatch.setattr(layers, "_block_pairs", lambda *a: pytest.fail("lists of groups"))
+    rng = random.Random(9)
+    own = {g: rng.sample("abcdef", rng.randint(1, 5)) for g in range(900)}
+    frame = spark.createDataFrame([(g, m) for g, found in own.items() for m in found], "g long, m string")
+    want = Counter(pair for found in own.values() for pair in itertools.combinations(sorted(found), 2))
+    assert {(r.src, r.dst): r.weight for r in layers.pairs(frame, "g", "m").collect()} == want
+
+
+def test_crowds_are_compared_in_slices_of_groups(spark, monkeypatch):
+    """No block lists more than its share of the groups, and slices add up."""
+    for name, value in (("TASK_PAIRS", 200), ("GROUPS_AT_ONCE", 4), ("CROWD", 2), ("LISTED", 50)):
+        monkeypatch.setattr(layers, name, value)
+    rng = random.Random(10)
+    own = {g: rng.sample(range(24), 12) for g in range(300)}
+    frame = spark.createDataFrame([(f"g{g}", m) for g, found in own.items() for m in found], "g string, m long")
+    want = Counter(pair for found in own.values() for pair in itertools.combinations(sorted(found), 2))
+    found = layers.pairs(frame, "g", "m").collect()
+    assert {(r.src, r.dst): r.weight for r in found} == want and len(found) == len(want)
+
+
 def test_tasks_of_pairs_follow_their_number(spark, monkeypatch):
     """Ten times as many pairs are counted in ten times as many tasks, whatever the number of shuffle partitions."""
     monkeypatch.setattr(layers, "TASK_PAIRS", 100)
