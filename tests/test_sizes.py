@@ -6,7 +6,7 @@ from collections import Counter
 
 import pytest
 
-from affinity.operators import frontier, layers, traversal
+from affinity.operators import frontier, layers, neighbour_index, traversal
 from affinity.plans import taste_queries
 
 
@@ -106,6 +106,35 @@ def test_neighbours_over_cells(spark, monkeypatch):
         assert [r.other for r in sorted(found, key=lambda r: r["rank"]) if r.id == k] == [j for _, j in best]
 
 
+def test_like_tracks_look_into_few_cells(spark, monkeypatch):
+    """Few of all pairs are compared; every answer is that of all pairs, copies and tracks without features included."""
+    rng = random.Random(11)
+    tracks = [(k, [rng.choice("abc")], [rng.choice("xy")], rng.choice([50, rng.randint(1, 10**6)]), rng.randint(2000, 2003)) for k in range(0, 6000, 2)]
+    tracks += [(k, [], [], 0, 2000) for k in (1, 3001, 5999)]
+    frame = spark.createDataFrame(tracks, "id long, descriptors array<string>, macros array<string>, played_seconds long, release_year int")
+    asked, rows = [*range(0, 6000, 100), 3001], []
+    looked_up = neighbour_index.CellIndex.looked_up
+
+    def seen(self, *a):
+        rows.append((looked_up(self, *a), self.rows))
+        return rows[-1][0]
+
+    monkeypatch.setattr(neighbour_index.CellIndex, "looked_up", seen)
+    got = frontier.more_like(frame, "id", list("abc"), list("xy"), 5, spark.createDataFrame([(k,) for k in asked], "id long")).collect()
+    sizes = [points.groupBy("cell", "part").count() for _, points in rows]
+    pairs = sum(asks.join(n, ["cell", "part"]).agg({"count": "sum"}).first()[0] or 0 for (asks, _), n in zip(rows, sizes, strict=True))
+    assert pairs < len(asked) * len(tracks) / 4
+    v = {r.id: r.vector for r in frontier.track_features(frame, "id", list("abc"), list("xy")).collect()}
+    length = {k: sum(e * e for e in x) ** 0.5 + 1e-9 for k, x in v.items()}
+    for k in asked:
+        cosine = {j: round(sum(a * b for a, b in zip(v[k], x, strict=True)) / length[k] / length[j], 11) for j, x in v.items() if j != k}
+        own = sorted((r for r in got if r.id == k), key=lambda r: r["rank"])
+        assert [round(cosine[r.other], 10) for r in own] == [round(c, 10) for c in sorted(cosine.values(), reverse=True)[:5]]
+        assert len({r.other for r in own}) == 5 and [(-r.cosine, r.other) for r in own] == sorted((-r.cosine, r.other) for r in own)
+        if k == 3001:
+            assert [r.other for r in own] == [0, 1, 2, 4, 6]
+
+
 @pytest.mark.parametrize("kind", ["float", "double"])
 def test_cells_follow_cores(spark, monkeypatch, kind):
     """More shuffle partitions deal vectors to no more cells, floats are dealt as floats, and six times as many vectors are dealt no more often."""
